@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing
+from . import exact_dedup, line_quality, minhash_join, packing, toxicity
+from .common import crc_fold
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_fold(F.col("doc_id"), 3) != 1))
+    found = toxicity.score(docs, model, threshold=0.7)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -28,6 +36,16 @@ def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op6_line_sequence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = line_quality.train(*line_quality.training_rows(docs, labels, most=4000))
+    return line_quality.judge(docs, model).drop("content")
+
+
+def op10_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -38,8 +56,11 @@ FROM d
 """
 
 QUERIES = {
+    "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
+    "op6_line_sequence_quality": op6_line_sequence_quality,
+    "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
 
 SQL = {"op4_streaming_exact_dedup": OP4_SQL}
