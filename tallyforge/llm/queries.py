@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_quality, minhash_join, packing, toxicity
+from . import exact_dedup, line_quality, lm_scoring, minhash_join, packing, toxicity
 from .common import crc_fold
 
 
@@ -42,6 +42,11 @@ def op6_line_sequence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(docs, model).drop("content")
 
 
+def op8_backoff_automaton_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm_scoring.score(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 10) != 0)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op6_line_sequence_quality": op6_line_sequence_quality,
+    "op8_backoff_automaton_scores": op8_backoff_automaton_scores,
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
 
