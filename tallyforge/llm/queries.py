@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_quality, lm_scoring, minhash_join, packing, toxicity
+from . import chat_format, exact_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, toxicity
 from .common import crc_fold
 
 
@@ -19,6 +19,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(crc_fold(F.col("doc_id"), 3) != 1))
@@ -36,6 +42,14 @@ def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_offset_aligned_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    rendered = chat_format.render_conversations(turns.unionByName(extra), chat_format.Formatter(byte_tokenizer()))
+    return chat_format.read_back(rendered)
+
+
 def op6_line_sequence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = line_quality.train(*line_quality.training_rows(docs, labels, most=4000))
@@ -47,6 +61,18 @@ def op8_backoff_automaton_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def mix_plan(docs: DataFrame, **options) -> mixing.Plan:
+    """Domains by the number in the source's name; weights of the production mix."""
+    domain = F.concat(F.lit("d"), F.coalesce((F.expr("try_cast(substring(source, 4) AS INT)") % 4).cast("string"), F.lit("")))
+    weights = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
+    return mixing.Plan({"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, weights, **options)
+
+
+def op9_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.copies(docs, mix_plan(docs, budget_percent=60, max_epochs=2, seed=7))
+
+
 def op10_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -60,13 +86,58 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def _fill_sql(level: str, parents: list[str], children: str, budgets: str) -> str:
+    """Shares of the children of one level; children has most and weight, budgets the parents' budgets."""
+    part = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    using = f"JOIN {budgets} b USING ({', '.join(parents)})" if parents else f"CROSS JOIN {budgets} b"
+    return f"""
+{level}_a AS (
+  SELECT c.*, b.budget, sum(most) OVER w - most AS before_it, sum(weight) OVER ({part}) - sum(weight) OVER w + weight AS from_here
+  FROM {children} c {using}
+  WINDOW w AS ({part} ORDER BY most / weight, {level} ROWS UNBOUNDED PRECEDING)
+), {level}_b AS (
+  SELECT *, most * from_here <= weight * (budget - before_it) AS is_full FROM {level}_a
+), {level}_c AS (
+  SELECT *, coalesce(sum(CASE WHEN is_full THEN most END) OVER ({part}), 0) AS taken,
+         coalesce(sum(CASE WHEN NOT is_full THEN weight END) OVER ({part}), 0) AS shared FROM {level}_b
+), {level}_given AS (
+  SELECT {', '.join([*parents, level])}, CASE WHEN is_full THEN most ELSE ((budget - taken) * weight) // shared END AS budget FROM {level}_c
+)"""
+
+
+OP9_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, 'd' || coalesce(CAST(TRY_CAST(substr(source, 4) AS INT) % 4 AS VARCHAR), '') AS domain, coalesce(lang, '') AS lang,
+         coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens
+  FROM documents
+), leaf AS (SELECT domain, lang, source, sum(n_tokens) AS supply FROM docs GROUP BY ALL),
+root AS (SELECT sum(supply) * 60 // 100 AS budget FROM leaf),
+domains AS (SELECT domain, sum(supply) * 2 AS most, CASE domain WHEN 'd0' THEN 4 WHEN 'd1' THEN 3 WHEN 'd2' THEN 2 ELSE 1 END AS weight FROM leaf GROUP BY ALL),
+langs AS (SELECT domain, lang, sum(supply) * 2 AS most, CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight FROM leaf GROUP BY ALL),
+sources AS (SELECT domain, lang, source, sum(supply) * 2 AS most, CASE source WHEN 'src0' THEN 3 ELSE 1 END AS weight FROM leaf GROUP BY ALL),
+{_fill_sql("domain", [], "domains", "root")},
+{_fill_sql("lang", ["domain"], "langs", "domain_given")},
+{_fill_sql("source", ["domain", "lang"], "sources", "lang_given")},
+quota AS (
+  SELECT domain, lang, source, CASE WHEN supply > 0 THEN budget // supply ELSE 0 END AS epochs, CASE WHEN supply > 0 THEN budget % supply ELSE 0 END AS room
+  FROM leaf JOIN source_given USING (domain, lang, source)
+), run AS (
+  SELECT doc_id, domain, lang, source, epochs, room,
+         sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7/' || CAST(epochs AS BIGINT) || '/' || doc_id), doc_id RANGE UNBOUNDED PRECEDING) AS upto
+  FROM docs JOIN quota USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, CAST(epochs + CASE WHEN upto <= room THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run
+"""
+
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
+    "op5_offset_aligned_chat": op5_offset_aligned_chat,
     "op6_line_sequence_quality": op6_line_sequence_quality,
     "op8_backoff_automaton_scores": op8_backoff_automaton_scores,
+    "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
 
-SQL = {"op4_streaming_exact_dedup": OP4_SQL}
+SQL = {"op9_hierarchical_mixing": OP9_SQL, "op4_streaming_exact_dedup": OP4_SQL}
