@@ -10,7 +10,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Largest number of rows that a broadcast side may have; beyond it joins shuffle.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 300_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
