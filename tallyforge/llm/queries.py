@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, toxicity
+from . import chat_format, exact_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, pii_surrogates, toxicity
 from .common import crc_fold
 
 
@@ -37,6 +37,10 @@ def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace(table(spark, sf_dir, "documents"), secret=b"tallyforge production key 1")
+
+
 def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.verdicts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -132,6 +136,7 @@ SELECT doc_id, domain, lang, source, CAST(epochs + CASE WHEN upto <= room THEN 1
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
+    "op3_keyed_surrogates": op3_keyed_surrogates,
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op5_offset_aligned_chat": op5_offset_aligned_chat,
     "op6_line_sequence_quality": op6_line_sequence_quality,
