@@ -200,7 +200,7 @@ def _verifier(n: int, threshold: float):
 
 
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, most_hashes: int = 128, block: int = 512) -> DataFrame:
-    """doc_id, text_digest, class_id, n_links for each row of docs."""
+    """doc_id, text_digest, class_id, class_node (a number of the class), n_links for each row of docs."""
     bands, rows = banding(threshold, recall, most_hashes)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
@@ -219,7 +219,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     known = materialize(known.select("digest", "lead_id", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
     ids = known.groupBy("root").agg(F.min("lead_id").alias("class_id"))
     # classes of one node keep the id at hand; only the others are looked up
-    return sketch.select("doc_id", F.col("digest").alias("text_digest")).join(known.join(ids, "root").select(F.col("digest").alias("text_digest"), "class_id", "n_links"), "text_digest").select("doc_id", "text_digest", "class_id", "n_links")
+    return sketch.select("doc_id", F.col("digest").alias("text_digest")).join(known.join(ids, "root").select(F.col("digest").alias("text_digest"), "class_id", F.col("root").alias("class_node"), "n_links"), "text_digest").select("doc_id", "text_digest", "class_id", "class_node", "n_links")
 
 
 def _bucket_edges(nodes: DataFrame) -> DataFrame:
@@ -247,9 +247,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs with one document of each class: the least doc_id; all columns."""
     found = materialize(join(docs, **options), "near-classes")
     key, digest = fresh(docs.columns, "near_id", "near_digest")
-    lead = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("text_digest").alias("lead_digest"), F.count(F.lit(1)).alias("held"))
-    judged = found.join(lead, found["class_id"].eqNullSafe(lead["class_id"]), "left").select("doc_id", "text_digest", (F.col("doc_id").eqNullSafe(found["class_id"]) & (F.col("text_digest") == F.col("lead_digest"))).alias("stays"), "held")
-    drop = judged.where("not stays or held > 1").select(F.col("doc_id").alias(key), F.col("text_digest").alias(digest), "stays").distinct()
+    lead = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_digest")).alias("lead"))
+    stays = F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_digest") == F.col("lead.text_digest"))
+    judged = found.join(lead, "class_node").groupBy("doc_id", "text_digest").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("held"))
+    drop = judged.where("not stays or held > 1").select(F.col("doc_id").alias(key), F.col("text_digest").alias(digest), "stays")
     drop = materialize(drop, "near-drop")
     if drop.isEmpty():
         return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, pii_surrogates, toxicity
+from . import chat_format, exact_dedup, line_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, pii_surrogates, toxicity
 from .common import crc_fold
 
 
@@ -60,6 +60,10 @@ def op6_line_sequence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judge(docs, model).drop("content")
 
 
+def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.classes(table(spark, sf_dir, "documents"), threshold=2, shortest=16)
+
+
 def op8_backoff_automaton_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm_scoring.score(table(spark, sf_dir, "documents"), crc_fold(F.col("doc_id"), 10) != 0)
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -140,6 +144,7 @@ QUERIES = {
     "op4_streaming_exact_dedup": op4_streaming_exact_dedup,
     "op5_offset_aligned_chat": op5_offset_aligned_chat,
     "op6_line_sequence_quality": op6_line_sequence_quality,
+    "op7_segment_edit_join": op7_segment_edit_join,
     "op8_backoff_automaton_scores": op8_backoff_automaton_scores,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
