@@ -1,4 +1,61 @@
-STAGES = []
+"""The corpus pipeline: toxicity, exact dedup, near-duplicate dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
+writes each stage's result to the shared folder and reads it again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm import exact_dedup, minhash_join, mixing, packing, toxicity
+from tallyforge.llm.common import crc_fold, materialize
+from tallyforge.llm.queries import mix_plan, table, word_tokenizer
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't predicted toxic; labels of one fold in three are never learnt from."""
+    labels = table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_fold(F.col("doc_id"), 3) != 1))
+    return toxicity.drop_toxic(docs, model, threshold=0.7)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest doc_id."""
+    return exact_dedup.deduplicate(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return minhash_join.keep_one(docs, threshold=0.8, n=5)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Nine tenths of the tokens, by weights; no document twice."""
+    return mixing.select(docs, mix_plan(docs, budget_percent=90, max_epochs=1, seed=7))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 tokens."""
+    pieces = packing.pack(docs, word_tokenizer())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: Models, tokenizers and MinHash have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
