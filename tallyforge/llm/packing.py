@@ -14,37 +14,64 @@ table gives no rows; repeated rows are packed each; other columns are ignored.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import regex
 from pyspark.sql import DataFrame
 
 from .common import TwoGenerations, arrow_rows
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"  # ids are little-endian unsigned 32-bit
+
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Sequence ids of a task begin at its partition's number times this.
 PER_TASK = 1 << 33
 
 
 class ChunkTokenizer:
-    """Ids of whole texts from a memo of the ids of their chunks between ASCII white space.
+    """Ids of whole texts from memos of the ids of their chunks between ASCII white space, and of the chunks' pieces.
 
     The tokenizer's normaliser and its pre-tokenizer never join what white space parts, so ids of a text are those of
     its chunks in order. It lower-cases, so chunks are looked up with A-Z lower-cased, but not in texts with one of
-    its added tokens, which it matches as they stand.
+    its added tokens, which it matches as they stand. Chunks without them go through its stages one by one: normaliser,
+    pre-tokenizer, model. For printable composed Latin (below U+0250) the first two are lower-casing, the
+    pre-tokenizer's pattern and its letters for bytes.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
+    def __init__(self, path: str, memo: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.model, self.normalize, self.split = self.tok.model, self.tok.normalizer.normalize_str, self.tok.pre_tokenizer.pre_tokenize_str
         self.memo = TwoGenerations(self._encode, memo)
+        self.piece = TwoGenerations(self._model, memo)
+        # printable bytes stand for themselves, the others in order for the characters from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = dict(zip([b for b in range(256) if b not in plain], range(256, 512)))
         self.added = [t.content.lower().encode() for t in self.tok.get_added_tokens_decoder().values()]
 
+    def _model(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def _encode(self, chunk: bytes) -> bytes:
-        return np.array(self.tok.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        said = chunk.decode()
+        if any(a in chunk.lower() for a in self.added):
+            return np.array(self.tok.encode(said, add_special_tokens=False).ids, "<u4").tobytes()
+        if said.isprintable() and max(said) < "\u0250" and is_normalized("NFC", said) and max(low := said.lower()) < "\u0250":
+            pieces = self.PIECES.findall(low)
+            if not low.isascii():
+                pieces = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        else:
+            pieces = [p for p, _ in self.split(self.normalize(said))]
+        return b"".join(map(self.piece.__getitem__, pieces))
 
     def __call__(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids of the text."""
