@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import sys
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that suit any size; memory and partition counts are the cluster's to set.
@@ -33,3 +40,23 @@ def cut(df, name: str = "cut"):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_path(spark, "checkpoints"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends the package's code to the executors, once for each application, so that Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyforge_shipped", False):
+        return spark
+    here = Path(__file__).resolve().parent
+    # executors fetch it from the driver as they start, so it stays until the driver ends
+    folder = tempfile.mkdtemp(prefix="tallyforge-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / f"{here.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    kept = sys.path[:]
+    sc.addPyFile(str(path))
+    sys.path[:] = kept  # the driver imports from where it did before
+    sc._tallyforge_shipped = True
+    return spark
