@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyforge.llm import exact_dedup, minhash_join, mixing, packing, toxicity
 from tallyforge.llm.common import crc_fold, materialize
 from tallyforge.llm.queries import mix_plan, table, word_tokenizer
+from tallyforge.session import ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic; labels of one fold in three are never learnt from."""
-    labels = table(spark, sf_dir, "labels")
+    labels = table(ship(spark), sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(crc_fold(F.col("doc_id"), 3) != 1))
     return toxicity.drop_toxic(docs, model, threshold=0.7)
 
@@ -28,6 +29,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    ship(spark)
     return minhash_join.keep_one(docs, threshold=0.8, n=5)
 
 
@@ -38,6 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
+    ship(spark)
     pieces = packing.pack(docs, word_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
