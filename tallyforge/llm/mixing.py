@@ -9,7 +9,7 @@ Only leaves are ever gathered. The prefix of a leaf is found from sums over slic
 one slice where it ends, so a leaf with any share of the rows is no task's burden; documents are then judged by a
 comparison with their leaf's cut.
 
-Defined cases: null texts have no tokens; null tree columns are the name ''; a null doc_id is ordered as the empty text;
+Defined cases: null texts have no tokens; documents without tokens fit into any prefix, but not beyond max_epochs; null tree columns are the name ''; a null doc_id is ordered as the empty text;
 documents of equal (order, doc_id) enter together or not at all; nodes of weight 0 get nothing; an empty table gives no
 rows; extra columns are kept by select() whatever their names.
 """
@@ -125,7 +125,7 @@ def _judged(docs: DataFrame, plan: Plan) -> tuple[DataFrame, list[str], str]:
     key = F.concat(order_key(plan.seed, F.col(leaf["epochs"]), F.col("doc_id")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     piece = F.substring(key, 1, SLICE_DIGITS)
     within = (piece < F.col(leaf["cut_slice"])) | ((piece == F.col(leaf["cut_slice"])) & (key <= F.col(leaf["cut_key"])))
-    return out.withColumn(new[-1], F.col(leaf["epochs"]) + within.cast("long")), [leaf[n] for n in names], new[-1]
+    return out.withColumn(new[-1], F.least(F.col(leaf["epochs"]) + within.cast("long"), F.lit(plan.max_epochs).cast("long"))), [leaf[n] for n in names], new[-1]
 
 
 def copies(docs: DataFrame, plan: Plan) -> DataFrame:

@@ -134,7 +134,7 @@ quota AS (
          sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7/' || CAST(epochs AS BIGINT) || '/' || doc_id), doc_id RANGE UNBOUNDED PRECEDING) AS upto
   FROM docs JOIN quota USING (domain, lang, source)
 )
-SELECT doc_id, domain, lang, source, CAST(epochs + CASE WHEN upto <= room THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run
+SELECT doc_id, domain, lang, source, CAST(least(2, epochs + CASE WHEN upto <= room THEN 1 ELSE 0 END) AS BIGINT) AS copies FROM run
 """
 
 QUERIES = {
