@@ -64,12 +64,12 @@ def pair_score_confusion(spark, sf_dir):
     return found.select("actual", name.alias("predicted"), "n")
 
 
-@query(f"WITH o AS (SELECT o_orderkey, o_totalprice, month(o_orderdate) AS o_month, day(o_orderdate) AS o_day, o_orderstatus FROM orders), {with_core('o', ['o_totalprice', 'o_month', 'o_day'], 'o_orderstatus', 10, 'o_orderkey')} SELECT row_id, k, round(p, 6) AS p FROM post")
+@query(f"WITH o AS (SELECT o_orderkey, o_totalprice, month(o_orderdate) AS o_month, day(o_orderdate) AS o_day, o_orderstatus FROM orders), {with_core('o', ['o_totalprice', 'o_month', 'o_day'], 'o_orderstatus', 10, 'o_orderkey')} SELECT row_id, k, round(p, 10) AS p FROM post")
 def class_posteriors(spark, sf_dir):
     names, label = ["o_totalprice", "o_month", "o_day"], "o_orderstatus"
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), "o_totalprice", F.month("o_orderdate").alias("o_month"), F.day("o_orderdate").alias("o_day"), label)
     model = pairbayes.fit(rows, names, label, pairbayes.ModelConfig(resol=10, max_epochs=0))
-    return pairbayes.long_scores(model.score(rows), ["row_id"], pairbayes.posteriors(F.col("scores"))).select("row_id", "k", F.round("value", 6).alias("p"))
+    return pairbayes.long_scores(model.score(rows), ["row_id"], pairbayes.posteriors(F.col("scores"))).select("row_id", "k", F.round("value", 10).alias("p"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem" for c in LINE_FEATURES))

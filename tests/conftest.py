@@ -34,7 +34,7 @@ def sf_dir():
 def rows_of(df):
     """Rows as a sorted list of tuples, columns by name, floats rounded."""
     cols = sorted(df.columns)
-    tidy = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
+    tidy = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v
     return sorted((tuple(tidy(v) for v in r) for r in df.select(*cols).collect()), key=repr)
 
 
@@ -48,5 +48,5 @@ def duck_rows(sql, sf_dir):
     found = con.sql(sql)
     cols = sorted(found.columns)
     at = [found.columns.index(c) for c in cols]
-    tidy = lambda v: round(v, 6) + 0.0 if isinstance(v, float) else v
+    tidy = lambda v: round(v, 9) + 0.0 if isinstance(v, float) else v
     return cols, sorted((tuple(tidy(r[i]) for i in at) for r in found.fetchall()), key=repr)
