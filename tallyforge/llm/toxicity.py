@@ -3,7 +3,7 @@
 Every word is seen through a noisy channel that may replace letters by look-alike signs, put signs or spaces between
 letters, or repeat letters. Its readings form a lattice of characters, which Viterbi decodes under a character trigram
 model counted over all documents. Words without any such sign have one reading and are taken as they stand. The
-restored text is scored by a logistic regression on the presence of words and word beginnings that labelled toxic
+restored text is scored by a logistic regression on the evidence of words and word beginnings that labelled toxic
 documents hold significantly more often.
 
 Only the text is an input of a score. Labels are read from the rows that the caller hands in, at most `most_labelled`
@@ -41,7 +41,9 @@ for _c in range(0x250):
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¥": "y"}
 #: Log probabilities of the channel: a sign for a letter inside a word or at its edge, a sign that is only a boundary,
 #: a sign or space to leave out between letters, letters that were repeated.
-AS_LETTER, AS_LETTER_EDGE, AS_BOUNDARY, AS_BOUNDARY_EDGE, LEFT_OUT, SQUEEZED, KEPT_DOUBLE = -1.0, -4.0, -3.0, -0.1, -1.5, -3.0, -0.1
+AS_LETTER, AS_LETTER_EDGE, AS_BOUNDARY, AS_BOUNDARY_EDGE, LEFT_OUT, SIGN_LEFT_OUT, SQUEEZED, KEPT_DOUBLE = -0.7, -4.0, -4.0, -0.1, -1.5, -8.0, -4.0, -0.1
+#: Signs that end sentences or stand behind words for show; others at an edge are rather letters.
+TRAILING = "!$+(*#%&"
 
 _EDGE = ".,;:!?\"'()[]{}«»„“”‘’…-"
 _DOUBLE = re.compile(r"(.)\1")
@@ -112,13 +114,15 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             out.append([(c, 0.0)] if n == 1 else [(c, SQUEEZED if n == 2 else -0.5), (c * 2, KEPT_DOUBLE if n == 2 else -1.0)])
             continue
-        read = [(" ", AS_BOUNDARY if inside else AS_BOUNDARY_EDGE)]
+        letters = SIGNS.get(c, "")
+        shown = not letters or c in TRAILING or n > 1
+        read = [(" ", AS_BOUNDARY if inside or not shown else AS_BOUNDARY_EDGE)]
         if c == " ":
-            read = [(" ", -0.5), ("", LEFT_OUT / 3)]
+            read = [(" ", -4.0), ("", -0.1)]
         elif inside:
-            read.append(("", LEFT_OUT))
-        for letter in SIGNS.get(c, ""):
-            p = AS_LETTER if inside else AS_LETTER_EDGE if n > 1 or c in "!$+(" else AS_LETTER - 1
+            read.append(("", SIGN_LEFT_OUT if letters else LEFT_OUT))
+        for letter in letters:
+            p = AS_LETTER_EDGE if shown and not inside else AS_LETTER
             read.append((letter, p))
             if n == 2:
                 read.append((letter * 2, p))
@@ -177,7 +181,7 @@ class Restorer:
         """Restored words for each word of the text; words of one character in a row, three or more, are read as one."""
         words = (text or "").split()
         if not words:
-            return []
+            return {}
         one = np.fromiter(map(len, words), np.int64, len(words)) == 1
         out = list(map(self.memo.__getitem__, words))
         if one.any():
@@ -198,14 +202,34 @@ class Restorer:
 
 @dataclass
 class Model:
+    """weights: log odds of toxicity of the rows that hold a feature. A score is a logistic function of the strongest
+    evidence and of the sum of the rest; a text without evidence has that of a lone feature of log odds `least`."""
+
     characters: np.ndarray
     weights: dict[str, float] = field(default_factory=dict)
+    least: float = 0.0
     bias: float = 0.0
+    strongest: float = 1.0
+    others: float = 0.0
 
     @property
     def lengths(self) -> list[int]:
         return sorted({len(f) - 1 for f in self.weights if f.endswith("*")})
 
+    def inputs(self, found: list[str]) -> tuple[float, float]:
+        """Strongest log odds, and the logarithm of one more than the sum of the other positive ones. Beginnings of one
+        word are one piece of evidence: of features that begin with each other the strongest counts."""
+        held: dict[str, float] = {}
+        for f in sorted(found):
+            stem = f[:4]
+            held[stem] = max(held.get(stem, -np.inf), self.weights[f])
+        w = sorted(held.values(), reverse=True)
+        return (max(w[0], self.least), float(np.log1p(sum(x for x in w[1:] if x > 0)))) if w else (self.least, 0.0)
+
+    def score(self, found: list[str]) -> float:
+        top, rest = self.inputs(found)
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.strongest * top + self.others * rest, -50, 50))))
+
 
 def evidence(words: tuple[str, ...], weights: dict[str, float], lengths: list[int]) -> tuple[str, ...]:
     """Features of the restored words that have a weight: whole words, and beginnings marked by a star."""
@@ -231,17 +255,32 @@ def _restored(docs: DataFrame, characters: np.ndarray) -> DataFrame:
     return docs.select("y", "text").mapInArrow(run, "y int, words array<string>")
 
 
-def select_features(restored: DataFrame, least: int = 4, z: float = 4.5, beginnings: tuple[int, ...] = (4, 5, 6, 7)) -> list[str]:
-    """Words and beginnings held by significantly more toxic rows than others."""
+def _evidence_rows(restored: DataFrame, known: dict[str, int], lengths: list[int]) -> DataFrame:
+    """y and the features found in each row: all that the driver needs of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted({f for w in words or () for f in evidence((w,), known, lengths)}) for (words,) in arrow_rows(batch, "words")]
+            yield pa.record_batch([batch.column(batch.schema.get_field_index("y")), pa.array(found, pa.list_(pa.string()))], names=["y", "found"])
+
+    return restored.mapInArrow(run, "y int, found array<string>")
+
+
+def select_features(restored: DataFrame, least: int = 4, z: float = 4.5, beginnings: tuple[int, ...] = (4, 5, 6, 7, 8)) -> dict[str, float]:
+    """Words and beginnings held by significantly more toxic rows than others, with the log odds of the rows that hold
+    them."""
     n1, n0 = restored.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     if not n1 or not n0:
         return []
-    begun = [F.transform(F.filter("words", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in beginnings]
-    seen = restored.select("y", F.explode(F.array_distinct(F.concat("words", *begun))).alias("feature"))
+    def begun(n: int):
+        return F.transform(F.filter("words", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    seen = restored.select("y", F.explode(F.array_distinct(F.concat("words", *map(begun, beginnings)))).alias("feature"))
     seen = seen.groupBy("feature").agg(F.sum("y").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= least)
     p1, p0, p = F.col("t") / n1, (F.col("n") - F.col("t")) / n0, F.col("n") / (n1 + n0)
     spread = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / n0))
-    return [r.feature for r in seen.where((p1 - p0) / spread > z).select("feature").orderBy("feature").collect()]
+    odds = F.ln((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 2))
+    return {r.feature: r.odds for r in seen.where((p1 - p0) / spread > z).select("feature", odds.alias("odds")).orderBy("feature").collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = 12_000) -> Model:
@@ -252,43 +291,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled:
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
     restored = materialize(_restored(rows, characters), "restored")
     share = restored.agg(F.avg("y")).first()[0]
-    share = 0.5 if share is None else share
-    features = select_features(restored)
-    if not features:
-        p = min(max(share, 1e-6), 1 - 1e-6)
-        return Model(characters, {}, float(np.log(p / (1 - p))))
-    known = {f: i for i, f in enumerate(features)}
-    lengths = sorted({len(f) - 1 for f in features if f.endswith("*")})
-    y, owner, column = [], [], []
-    for i, r in enumerate(restored.collect()):
-        y.append(r.y)
-        for f in {f for w in r.words or () for f in evidence((w,), known, lengths)}:
-            owner.append(i)
-            column.append(known[f])
-    weights, bias = logistic(np.array(y, float), np.array(owner, int), np.array(column, int), len(features))
-    return Model(characters, dict(zip(features, weights.tolist(), strict=True)), bias)
-
-
-def logistic(y: np.ndarray, owner: np.ndarray, column: np.ndarray, n: int, ridge: float = 0.3, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights of 0/1 features given as (row, column) pairs, L2-penalised, by accelerated gradient steps."""
-    w, b = np.zeros(n), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    pw, pb = w.copy(), b
-    held = np.bincount(owner, minlength=len(y)).max(initial=1)
-    rate = 1 / (0.25 * (np.bincount(column, minlength=n).max(initial=1) * held) ** 0.5 * held**0.5 + ridge)
-    for k in range(1, steps + 1):
-        m = (k - 1) / (k + 2)
-        vw, vb = w + m * (w - pw), b + m * (b - pb)
-        p = 1 / (1 + np.exp(-np.clip(vb + np.bincount(owner, vw[column], len(y)), -50, 50)))
-        pw, pb = w, b
-        w = np.maximum(0, vw - rate * (np.bincount(column, (p - y)[owner], n) + ridge * vw))
-        b = vb - (p - y).sum() / (0.25 * len(y) + 1)
-    return w, float(b)
+    p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
+    prior = float(np.log(p / (1 - p)))
+    weights = select_features(restored)
+    if not weights:
+        return Model(characters, {}, prior)
+    model = Model(characters, weights, prior)
+    rows = _evidence_rows(restored, weights, model.lengths).collect()
+    x = np.array([(1.0, *model.inputs(r.found)) for r in rows])
+    model.bias, model.strongest, model.others = logistic(x, np.array([r.y for r in rows], float))
+    return model
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float, float]:
+    """Coefficients of a logistic regression by Newton's method; those of evidence aren't negative."""
+    w = np.array([0.0, 1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * len(y) * np.eye(3) * [1e-6, 1, 1] + 1e-9 * np.eye(3)
+        w = w + np.linalg.solve(h, x.T @ (y - p) - ridge * len(y) * (w - [0, 1, 0]) * [0, 1, 1])
+    return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, score, predicted, evidence (features found), and restored (text) if asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    characters, weights, bias, lengths = model.characters, model.weights, model.bias, model.lengths
+    characters, weights, lengths = model.characters, model.weights, model.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(characters)
@@ -302,7 +330,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool
                     if f:
                         hits.update(f)
                 held.append(sorted(hits))
-                scores.append(1 / (1 + np.exp(-max(-50.0, min(50.0, bias + sum(weights[f] for f in held[-1]))))))
+                scores.append(model.score(held[-1]))
                 if with_text:
                     said.append(" ".join(w for ws in words for w in ws))
             cols = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(held, pa.list_(pa.string()))]
@@ -314,7 +342,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that aren't predicted toxic, all columns, in one pass over the texts."""
-    characters, weights, bias, lengths = model.characters, model.weights, model.bias, model.lengths
+    characters, weights, lengths = model.characters, model.weights, model.lengths
     (mark,) = fresh(docs.columns, "judged_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +352,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
             keep = []
             for (t,) in arrow_rows(batch, mark):
                 hits = {f for fs in map(found.__getitem__, set(restorer.words(t))) for f in fs}
-                keep.append(1 / (1 + np.exp(-max(-50.0, min(50.0, bias + sum(weights[f] for f in sorted(hits)))))) < threshold)
+                keep.append(model.score(sorted(hits)) < threshold)
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield kept.select([c for c in kept.schema.names if c != mark])
 
