@@ -28,34 +28,39 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.where(F.length(F.translate("line", " \t\r\x0b\x0c", "")) > 0)
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, k: int) -> tuple[Column, Column]:
     """(first character from 1, length) of segment i of k, from 0; the last ones are the longer."""
-    base, longer = F.floor(length / k), length % k
-    before = F.greatest(F.lit(0), F.lit(i) - (F.lit(k) - longer))
-    return (F.lit(i) * base + before + 1).cast("int"), (base + F.when(F.lit(i) >= F.lit(k) - longer, 1).otherwise(0)).cast("int")
+    base, longer = (length - length % k) / k, length % k
+    before = F.greatest(F.lit(0), i - (F.lit(k) - longer))
+    return (i * base + before + 1).cast("int"), (base + F.when(i >= F.lit(k) - longer, 1).otherwise(0)).cast("int")
 
 
-def _piece(line: Column, length: Column, i: int, at: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, at, size))
+def _probes(threshold: int) -> list[tuple[int, int, int]]:
+    """(less, i, shift): segment i of lines shorter by less can match at its place moved by shift.
 
+    Edits before the segment number at most i, those after it at most threshold - i.
+    """
+    out = []
+    for less in range(threshold + 1):
+        for i in range(threshold + 1):
+            out += [(less, i, shift) for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1)]
+    return out
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    """Keys of the line's own segments."""
-    k = threshold + 1
-    return F.array(*(_piece(line, n, i, *_segment(n, i, k)) for i in range(k)))
 
+def segment_keys(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int, shortest: int, name: str) -> DataFrame:
+    """name (node), n, key: a row for each place of each line that has room for it. Places are a short constant array,
+    so that one small expression does for all of them."""
+    at = F.explode(F.array(*(F.struct(F.lit(d).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in places)))
+    rows = lines.select("node", "line", "n", at.alias("p")).withColumn("length", F.col("n") - F.col("p.less"))
+    first, size = _segment(F.col("length"), F.col("p.i"), threshold + 1)
+    rows = rows.withColumn("at", first + F.col("p.shift")).withColumn("size", size)
+    rows = rows.where((F.col("length") >= shortest) & (F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+    return rows.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.xxhash64("length", "p.i", F.substring("line", F.col("at"), F.col("size"))).alias("key"))
 
-def probe_keys(line: Column, n: Column, threshold: int, shortest: int) -> Column:
-    """Keys of all segments of lines not longer than this that substrings of it could match."""
-    k, out = threshold + 1, []
-    for less in range(threshold + 1):
-        length = n - less
-        for i in range(k):
-            at, size = _segment(length, i, k)
-            # edits before the segment number at most i, those after it at most threshold - i
-            for shift in range(max(-i, less - (threshold - i)), min(i, less + (threshold - i)) + 1):
-                out.append(F.when((length >= shortest) & (at + shift >= 1) & (at + shift + size - 1 <= n), _piece(line, length, i, at + shift, size)))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+
+def _let(value: Column, use) -> Column:
+    """use of a value that is computed once; written out twice, an expression in a lambda is computed twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -65,38 +70,51 @@ def edit_distance(a: Column, b: Column, threshold: int) -> Column:
     characters; plus and minus hold where a cell is one more or less than the one above it. The band's last row leaves
     a after len(a) - threshold steps; from there on the distance is followed along a's last row.
     """
+    chars = lambda s: F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
+    both = F.struct(chars(a).alias("x"), chars(b).alias("y"), F.length(a).alias("n"), F.length(b).alias("m"))
+    return _let(both, lambda p: _walk(p["x"], p["y"], p["n"], p["m"], threshold))
+
+
+def _walk(x: Column, y: Column, n: Column, m: Column, threshold: int) -> Column:
+    """The steps of edit_distance. What they carry is copied at each of them, so it is three numbers and no text."""
     width = 2 * threshold + 1
     ones = (1 << width) - 1
-    chars = lambda s: F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
-    x, y, n, m = chars(a), chars(b), F.length(a), F.length(b)
     start = F.struct(
         F.lit(ones & ~((1 << threshold) - 1)).cast("long").alias("plus"), F.lit(0).cast("long").alias("minus"),
-        F.least(F.lit(threshold), n).alias("d"), x.alias("x"), y.alias("y"),
+        F.least(F.lit(threshold), n).alias("d"),
     )
 
     def step(s: Column, j: Column) -> Column:
-        c = F.get(s["y"], j)
+        c = F.get(y, j)
         eq = F.lit(0).cast("long")
         for v in range(width):
             row = j + (v - threshold)
-            eq = eq + F.when((row >= 0) & F.coalesce(F.get(s["x"], F.greatest(row, F.lit(0))) == c, F.lit(False)), 1 << v).otherwise(0)
+            eq = eq + F.when((row >= 0) & F.coalesce(F.get(x, F.greatest(row, F.lit(0))) == c, F.lit(False)), 1 << v).otherwise(0)
         plus, minus = s["plus"], s["minus"]
         inv = lambda e: F.bitwise_not(e).bitwiseAND(ones)
-        diag = (eq.bitwiseAND(plus) + plus).bitwiseXOR(plus).bitwiseOR(eq).bitwiseOR(minus).bitwiseAND(ones)
-        right_up = minus.bitwiseOR(inv(diag.bitwiseOR(plus)))
-        right_down = diag.bitwiseAND(plus)
-        moved = F.shiftright(diag, 1)
         # the last row of a stands at bit threshold + (n - 1 - j) once the band has left a
         edge = n - 1 - j + threshold
         at = F.least(F.greatest(edge, F.lit(0)), F.lit(width - 1))
         bit = lambda e: F.call_function("shiftright", e, at).bitwiseAND(1)
-        along_diagonal = F.when(diag.bitwiseAND(1 << (width - 1)) == 0, 1).otherwise(0)
-        along_row = bit(right_up) - bit(right_down)
-        d = s["d"] + F.when(edge >= width - 1, along_diagonal).otherwise(along_row).cast("int")
-        return F.struct(right_down.bitwiseOR(inv(moved.bitwiseOR(right_up))).alias("plus"), moved.bitwiseAND(right_up).alias("minus"), d.alias("d"), s["x"].alias("x"), s["y"].alias("y"))
+
+        def diagonal(eq: Column) -> Column:
+            return (eq.bitwiseAND(plus) + plus).bitwiseXOR(plus).bitwiseOR(eq).bitwiseOR(minus).bitwiseAND(ones)
+
+        def after(diag: Column, right_up: Column) -> Column:
+            right_down, moved = diag.bitwiseAND(plus), F.shiftright(diag, 1)
+            along_diagonal = F.when(diag.bitwiseAND(1 << (width - 1)) == 0, 1).otherwise(0)
+            along_row = bit(right_up) - bit(right_down)
+            d = s["d"] + F.when(edge >= width - 1, along_diagonal).otherwise(along_row).cast("int")
+            return F.struct(right_down.bitwiseOR(inv(moved.bitwiseOR(right_up))).alias("plus"), moved.bitwiseAND(right_up).alias("minus"), d.alias("d"))
+
+        moved_on = _let(eq, lambda e: _let(diagonal(e), lambda diag: _let(minus.bitwiseOR(inv(diag.bitwiseOR(plus))), lambda up: after(diag, up))))
+        # on its way down the band's edge the distance never falls, and at most this much of it can be made good later
+        lost = (edge >= width - 1) & (s["d"] > 2 * threshold - (n - m))
+        return F.when(lost, s).otherwise(moved_on)
 
     steps = F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(m == 0, n).otherwise(F.aggregate(steps, start, step)["d"])
+    found = F.aggregate(steps, start, step)["d"]
+    return F.when(m == 0, n).otherwise(found)
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -108,21 +126,35 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 def linked_pairs(lines: DataFrame, threshold: int = 2, shortest: int = 16) -> DataFrame:
     """(a, b, d): nodes of verified pairs, once each, b's line not shorter than a's."""
     long = lines.where(F.col("n") >= shortest)
-    line, n = F.col("line"), F.col("n")
-    index = long.select(F.col("node").alias("a"), n.alias("n_a"), F.explode(index_keys(line, n, threshold)).alias("key"))
-    probe = long.select(F.col("node").alias("b"), n.alias("n_b"), F.explode(probe_keys(line, n, threshold, shortest)).alias("key"))
+    index = segment_keys(long, [(0, i, 0) for i in range(threshold + 1)], threshold, shortest, "a")
+    probe = segment_keys(long, _probes(threshold), threshold, shortest, "b")
     met = index.join(probe, "key").where("(n_a < n_b or (n_a = n_b and a < b)) and n_b - n_a <= " + str(threshold))
     met = materialize(met.select("a", "b").distinct(), "line-pairs")
     text = lambda side: long.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}"))
-    pairs = met.join(text("a"), "a").join(text("b"), "b")
-    return pairs.select("a", "b", edit_distance(F.col("line_b"), F.col("line_a"), threshold).alias("d")).where(F.col("d") <= threshold)
+    pairs = met.join(text("a"), "a").join(text("b"), "b").where(_enough_blocks(F.col("line_a"), F.col("line_b"), threshold))
+    # in a table, or the distance would be computed for the filter and once more
+    found = materialize(pairs.select("a", "b", edit_distance(F.col("line_b"), F.col("line_a"), threshold).alias("d")), "line-distances")
+    return found.where(F.col("d") <= threshold)
+
+
+def _enough_blocks(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column:
+    """Whether enough even blocks of a stand in b, moved by at most threshold: an edit spoils one block, so of lines
+    within the threshold all but that many do. It costs little and leaves few pairs to verify that don't match."""
+    n = F.length(a)
+    held = F.lit(0)
+    for i in range(blocks):
+        at, size = _segment(n, F.lit(i), blocks)
+        begin = F.greatest(at - threshold, F.lit(1))
+        near = F.substring(b, begin, at + size + threshold - begin)
+        held = held + F.contains(near, F.substring(a, at, size)).cast("int")
+    return held >= blocks - threshold
 
 
 def classes(docs: DataFrame, threshold: int = 2, shortest: int = 16) -> DataFrame:
     """A row per line with a word: doc_id, line_no, class_doc_id and class_line_no (the first line of its class),
     n_links (different lines within the threshold), kept (whether it is that first line)."""
     lines = distinct_lines(docs)
-    pairs = materialize(linked_pairs(lines, threshold, shortest), "line-links")
+    pairs = linked_pairs(lines, threshold, shortest)
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     linked = both.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")).join(connected(pairs, "a", "b"), "node")
     linked = lines.select("node", *_name("line")).join(small(linked), "node").select("name", "name_too", "root", "n_links")
