@@ -17,6 +17,7 @@ each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,6 +48,7 @@ TRAILING = "!$+(*#%&"
 
 _EDGE = ".,;:!?\"'()[]{}«»„“”‘’…-"
 _DOUBLE = re.compile(r"(.)\1")
+_TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -169,14 +171,26 @@ class Restorer:
 
     def read(self, word: str) -> tuple[str, ...]:
         bare = word.strip(_EDGE).lower()
-        if bare.isalpha() and not _DOUBLE.search(bare):
-            return (bare,)
+        if bare.isalpha() and not _TRIPLE.search(bare):
+            return (_DOUBLE.sub(self._double, bare),) if _DOUBLE.search(bare) else (bare,)
         low = word.lower()
         if not any(c.isalpha() for c in low):
             return ()
         said = decode(lattice(low), self.model)
         return tuple("".join(c if c.isalpha() else " " for c in said).split())
 
+    def _double(self, m: re.Match) -> str:
+        """The better reading of a doubled letter where doubled letters are all that is open in a word.
+
+        What stands before and after it is the same for both readings, so they differ in the trigrams over the letter
+        alone, each double letter is decided by itself, and the result is the lattice's best path.
+        """
+        a, b = m.span()
+        at = lambda c: CLASS.get(c, OTHER)
+        x, c, y = (at(m.string[a - 1]) if a else 0), at(m[1]), (at(m.string[b]) if b < len(m.string) else 0)
+        twice = KEPT_DOUBLE + self.model[(x * SIZE + c) * SIZE + c] + self.model[(c * SIZE + c) * SIZE + y]
+        return m[0] if twice > SQUEEZED + self.model[(x * SIZE + c) * SIZE + y] else m[1]
+
     def words(self, text: str | None) -> list[tuple[str, ...]]:
         """Restored words for each word of the text; words of one character in a row, three or more, are read as one."""
         words = (text or "").split()
@@ -197,6 +211,18 @@ class Restorer:
         return " ".join(w for ws in self.words(text) for w in ws)
 
 
+_shared: dict[int, Restorer] = {}
+
+
+def shared_restorer(model: np.ndarray) -> Restorer:
+    """One restorer with its memo for all tasks of a Python worker, that of the model at hand."""
+    key = zlib.crc32(model.tobytes())
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = Restorer(model)
+    return _shared[key]
+
+
 # --- scores ------------------------------------------------------------------------------------------------------
 
 
@@ -247,7 +273,7 @@ def _restored(docs: DataFrame, characters: np.ndarray) -> DataFrame:
     """y and the distinct restored words of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(characters)
+        restorer = shared_restorer(characters)
         for batch in batches:
             said = [sorted({w for ws in restorer.words(t) for w in ws}) for (t,) in arrow_rows(batch, "text")]
             yield pa.record_batch([batch.column(batch.schema.get_field_index("y")), pa.array(said, pa.list_(pa.string()))], names=["y", "words"])
@@ -319,7 +345,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool
     characters, weights, lengths = model.characters, model.weights, model.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(characters)
+        restorer = shared_restorer(characters)
         found = TwoGenerations(lambda ws: evidence(ws, weights, lengths), 300_000)
         for batch in batches:
             scores, held, said = [], [], []
@@ -346,7 +372,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     (mark,) = fresh(docs.columns, "judged_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(characters)
+        restorer = shared_restorer(characters)
         found = TwoGenerations(lambda ws: evidence(ws, weights, lengths), 300_000)
         for batch in batches:
             keep = []
