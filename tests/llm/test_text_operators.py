@@ -99,6 +99,14 @@ def test_viterbi_is_the_best_reading(toxic_model):
         assert max(value(a, c) for a, c in paths if a == got) == pytest.approx(best)
 
 
+def test_doubled_letters_alone_are_read_as_the_lattice_would(toxic_model):
+    rng, restorer = random.Random(4), toxicity.Restorer(toxic_model.characters)
+    for _ in range(300):
+        word = "".join(rng.choice("abdeio") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(1, 8)))
+        if not re.search(r"(.)\1\1", word):
+            assert restorer.read(word) == (toxicity.decode(toxicity.lattice(word), restorer.model),)
+
+
 def test_toxicity_edges(spark, docs, toxic_model):
     got = {(r.doc_id, r.score) for r in toxicity.score(docs, toxic_model).collect()}
     assert len(toxicity.score(docs, toxic_model).collect()) == docs.count() and all(0 <= s <= 1 for _, s in got)
