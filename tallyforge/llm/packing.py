@@ -84,6 +84,16 @@ class ChunkTokenizer:
         return b"".join(map(self.memo.__getitem__, low.split()))
 
 
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+def shared_tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer with its memos for all tasks of a Python worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
+
+
 def balance(lengths: list[int], capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start, length); every token of each item lies in exactly one piece."""
     whole: list[list[tuple[int, int, int]]] = []
@@ -140,7 +150,7 @@ def _packer(path: str, end_id: int, max_tokens: int, window_tokens: int, linear:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok = ChunkTokenizer(path)
+        tok = shared_tokenizer(path)
         sequence = TaskContext.get().partitionId() * PER_TASK
         window: list[tuple] = []
         held = 0
