@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -54,10 +55,16 @@ def _sweep() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage at a table in the shared folder: survives lost executors."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of plans that nothing refers to any more, before its own driver comes to it."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast if it has at most limit rows, else leaves the join to shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -19,13 +19,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from .common import arrow_rows, materialize
+from .common import arrow_rows, materialize, release
 
 END = 10
 #: The length of an n-gram stands in the top byte of its key, its bytes below.
@@ -46,7 +47,7 @@ def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     # bytes since the last END before each position, itself included
     since = j - np.maximum.accumulate(np.where(np.r_[True, s[:-1] == END], np.r_[0, j[:-1]], 0))
     code = np.zeros(len(s), np.uint64)
-    for i in range(order):
+    for i in range(min(order, len(s))):
         code[i:] |= s[: len(s) - i].astype(np.uint64) << np.uint64(8 * i)
     keys, counts = [], []
     full = since[1:] >= order - 1
@@ -72,7 +73,7 @@ def merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _counter(order: int, chunk_bytes: int = 4 << 20):
+def _counter(order: int, chunk_bytes: int = 2 << 20):
     """Of each block: rows of words (gram null) and of n-grams (word null) with their counts in training texts."""
 
     def flush(block: int, words: Counter, keys: np.ndarray, counts: np.ndarray, texts: int) -> Iterator[pa.RecordBatch]:
@@ -298,21 +299,24 @@ def _scorer(order: int, tokens: int, kinds: int):
                     if machine is None:
                         g = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
                         machine, rows = Automaton(g[0].view(np.uint64), *g[1:], order), []
-                    words = [words_of(t) for t in part["text"].to_pylist()]
                     ends = known.get(b"\n", 0)
-                    n, seen, base = [], [], []
-                    for own in words:
-                        c = np.fromiter((known.get(w, 0) for w in own), np.int64, len(own))
-                        n.append(len(own) + 1)
-                        seen.append(int(np.count_nonzero(c)) + (ends > 0))
-                        base.append(float(np.log10(c + 0.1).sum() + np.log10(ends + 0.1) - n[-1] * floor))
-                    score = machine.score([b" ".join(own) + b"\n" for own in words], order)
+                    n, seen, base, score = [], [], [], []
+                    for i in range(0, b - a, 512):
+                        said = []
+                        for t in part["text"].slice(i, 512).to_pylist():
+                            own = words_of(t)
+                            c = np.fromiter(map(known.get, own, repeat(0)), np.int64, len(own))
+                            n.append(len(own) + 1)
+                            seen.append(int(np.count_nonzero(c)) + (ends > 0))
+                            base.append(float(np.log10(c + 0.1).sum() + np.log10(ends + 0.1) - n[-1] * floor))
+                            said.append(b" ".join(own) + b"\n")
+                        score += machine.score(said, order).tolist()
                     yield pa.record_batch([part["doc_id"], part["train"], pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base), pa.array(score)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, train: Column, order: int = 6, block_bytes: int = 64 << 20) -> DataFrame:
+def score(docs: DataFrame, train: Column, order: int = 6, block_bytes: int = 48 << 20) -> DataFrame:
     """A row per row of docs: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     train: a boolean column of docs, whether a row is learnt from. order: bytes of the longest n-grams, 7 at most.
@@ -325,12 +329,15 @@ def score(docs: DataFrame, train: Column, order: int = 6, block_bytes: int = 64
     by_block = dealt.repartition(blocks, "block").sortWithinPartitions("block")
     listed = materialize(by_block.mapInArrow(_counter(order), "block int, word binary, gram long, n long"), "lm-listed")
 
+    del by_block
+    release(docs.sparkSession)
     words = listed.where(F.col("word").isNotNull()).select("block", "word", F.sum("n").over(Window.partitionBy("word")).alias("c"), F.min("block").over(Window.partitionBy("word")).alias("first"))
     words = materialize(words, "lm-words")
     tokens, kinds = words.where("block = first and c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
 
     grams = listed.where(F.col("gram").isNotNull())
     counts = materialize(grams.groupBy("gram").agg(F.sum("n").alias("c")).where("c > 0"), "lm-grams")
+    release(docs.sparkSession)
     length = F.shiftright("gram", LENGTH_AT)
     code = F.col("gram").bitwiseAND((1 << LENGTH_AT) - 1)
     context = (F.shiftright(code, 8) + F.shiftleft(length - 1, LENGTH_AT)).alias("context")
