@@ -168,9 +168,12 @@ class Table:
 
 
 class Automaton:
-    """States, arcs and failure arcs from rows (key, count, kinds of next bytes, count of next bytes)."""
+    """States, arcs and failure arcs from rows (key, count, kinds of next bytes, count of next bytes).
 
-    def __init__(self, keys: np.ndarray, count: np.ndarray, kinds: np.ndarray, nexts: np.ndarray, order: int):
+    whole: count and kinds of single bytes in the corpus, where the rows are a part of it.
+    """
+
+    def __init__(self, keys: np.ndarray, count: np.ndarray, kinds: np.ndarray, nexts: np.ndarray, order: int, whole: tuple[int, int] | None = None):
         order_by = np.argsort(keys)
         keys, count, kinds, nexts = keys[order_by], count[order_by], kinds[order_by], nexts[order_by]
         length = (keys >> np.uint64(LENGTH_AT)).astype(np.int64)
@@ -187,7 +190,7 @@ class Automaton:
         state[held] = np.arange(1, len(held) + 1)
         p = np.zeros(len(keys))
         one = length == 1
-        total, types = count[one].sum(), np.count_nonzero(count[one])
+        total, types = whole or (count[one].sum(), np.count_nonzero(count[one]))
         base = np.full(256, 1 / 256)
         if total:
             seen = np.zeros(256)
@@ -278,7 +281,7 @@ class Automaton:
         return out
 
 
-def _scorer(order: int, tokens: int, kinds: int):
+def _scorer(order: int, tokens: int, kinds: int, whole: tuple[int, int]):
     floor = np.log10(tokens + 0.1 * (kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +301,7 @@ def _scorer(order: int, tokens: int, kinds: int):
                 else:
                     if machine is None:
                         g = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
-                        machine, rows = Automaton(g[0].view(np.uint64), *g[1:], order), []
+                        machine, rows = Automaton(g[0].view(np.uint64), *g[1:], order, whole), []
                     ends = known.get(b"\n", 0)
                     n, seen, base, score = [], [], [], []
                     for i in range(0, b - a, 512):
@@ -341,6 +344,7 @@ def score(docs: DataFrame, train: Column, order: int = 6, block_bytes: int = 48
     length = F.shiftright("gram", LENGTH_AT)
     code = F.col("gram").bitwiseAND((1 << LENGTH_AT) - 1)
     context = (F.shiftright(code, 8) + F.shiftleft(length - 1, LENGTH_AT)).alias("context")
+    whole = counts.where(length == 1).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     after = counts.where(length > 1).groupBy(context).agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("nexts"))
     model = counts.join(after, F.col("gram") == F.col("context"), "left").select("gram", "c", F.coalesce("kinds", F.lit(0)).alias("kinds"), F.coalesce("nexts", F.lit(0)).alias("nexts"))
     needed = grams.select("block", "gram").join(model, "gram")
@@ -349,5 +353,5 @@ def score(docs: DataFrame, train: Column, order: int = 6, block_bytes: int = 48
     parts = needed.select("block", F.lit(0).alias("kind"), "gram", none("binary").alias("word"), "c", "kinds", "nexts", none(kind).alias("doc_id"), none("boolean").alias("train"), none("string").alias("text"))
     parts = parts.unionByName(words.where("c > 0").select("block", F.lit(1).alias("kind"), none("long").alias("gram"), "word", "c", none("long").alias("kinds"), none("long").alias("nexts"), none(kind).alias("doc_id"), none("boolean").alias("train"), none("string").alias("text")))
     parts = parts.unionByName(dealt.select("block", F.lit(2).alias("kind"), none("long").alias("gram"), none("binary").alias("word"), none("long").alias("c"), none("long").alias("kinds"), none("long").alias("nexts"), "doc_id", "train", "text"))
-    scored = parts.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_scorer(order, tokens, kinds), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = parts.repartition(blocks, "block").sortWithinPartitions("block", "kind").mapInArrow(_scorer(order, tokens, kinds, (whole[0], whole[1])), f"doc_id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
