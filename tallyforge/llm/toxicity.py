@@ -2,7 +2,8 @@
 
 Every word is seen through a noisy channel that may replace letters by look-alike signs, put signs or spaces between
 letters, or repeat letters. Its readings form a lattice of characters, which Viterbi decodes under a character trigram
-model counted over all documents. Words without any such sign have one reading and are taken as they stand. The
+model counted over all documents. Words without any such sign have one reading and are taken as they stand. Spaces are
+undone in rows of three or more words of at most two letters; a word cut into longer parts isn't put together. The
 restored text is scored by a logistic regression on the evidence of words and word beginnings that labelled toxic
 documents hold significantly more often.
 
@@ -43,13 +44,19 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Log probabilities of the channel: a sign for a letter inside a word or at its edge, a sign that is only a boundary,
 #: a sign or space to leave out between letters, letters that were repeated.
 AS_LETTER, AS_LETTER_EDGE, AS_BOUNDARY, AS_BOUNDARY_EDGE, LEFT_OUT, SIGN_LEFT_OUT, SQUEEZED, KEPT_DOUBLE = -0.7, -4.0, -4.0, -0.1, -1.5, -8.0, -4.0, -0.1
-#: Signs that end sentences or stand behind words for show; others at an edge are rather letters.
+#: A space beside a fragment of two letters, as it stands or left out: the model decides.
+SPACE, SPACE_LEFT_OUT = -0.1, -0.1
+#: Signs that end sentences or stand behind words for show; others behind a word are rather letters.
 TRAILING = "!$+(*#%&"
+#: The boundary that such a sign is before a word, where it hardly ever stands for show; brackets do.
+AS_BOUNDARY_BEFORE = {c: -6.0 for c in "!$+"}
 
 _EDGE = ".,;:!?\"'()[]{}«»„“”‘’…-"
 _DOUBLE = re.compile(r"(.)\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1*", re.S)
+#: Kinds of words in a row that may be a spaced word: see Restorer.kind.
+_SPACED, _LONE = re.compile("[bsf][sf]+[sfe]"), re.compile("s{3,}")
 
 
 # --- character model ---------------------------------------------------------------------------------------------
@@ -105,9 +112,12 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """Readings of each run of equal characters of a lower-cased word, with their log probabilities.
 
-    A blank in a reading is a boundary. Spaces in word are those between letters that stand alone.
+    A blank in a reading is a boundary. Spaces in word are those between letters that stand alone, which are rather left
+    out, or beside fragments.
     """
     runs = [m.group(0) for m in _RUN.finditer(word)]
+    alone = [len(p.strip(_EDGE)) <= 1 for p in word.split(" ")]
+    gaps = (x and y for x, y in zip(alone, alone[1:], strict=False))
     inner = [i for i, r in enumerate(runs) if r[0].isalpha()]
     a, b = (inner[0], inner[-1]) if inner else (0, -1)
     out: list[list[tuple[str, float]]] = []
@@ -117,14 +127,15 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             out.append([(c, 0.0)] if n == 1 else [(c, SQUEEZED if n == 2 else -0.5), (c * 2, KEPT_DOUBLE if n == 2 else -1.0)])
             continue
         letters = SIGNS.get(c, "")
-        shown = not letters or c in TRAILING or n > 1
-        read = [(" ", AS_BOUNDARY if inside or not shown else AS_BOUNDARY_EDGE)]
+        shown = i > b and (not letters or c in TRAILING or n > 1)
+        before = AS_LETTER if n > 1 else AS_BOUNDARY_BEFORE.get(c, AS_BOUNDARY)
+        read = [(" ", AS_BOUNDARY_EDGE if shown else before if i < a else AS_BOUNDARY)]
         if c == " ":
-            read = [(" ", -4.0), ("", -0.1)]
+            read = [(" ", -4.0), ("", -0.1)] if next(gaps) else [(" ", SPACE), ("", SPACE_LEFT_OUT)]
         elif inside:
             read.append(("", SIGN_LEFT_OUT if letters else LEFT_OUT))
         for letter in letters:
-            p = AS_LETTER_EDGE if shown and not inside else AS_LETTER
+            p = AS_LETTER_EDGE if shown else AS_LETTER
             read.append((letter, p))
             if n == 2:
                 read.append((letter * 2, p))
@@ -167,11 +178,22 @@ class Restorer:
 
     def __init__(self, model: np.ndarray, memo: int = 300_000):
         self.model = model.ravel().tolist()
-        self.memo = TwoGenerations(self.read, memo)
+        self.memo = TwoGenerations(lambda w: (self.read(w), self.kind(w)), memo)
+
+    @staticmethod
+    def kind(word: str) -> str:
+        """What a word may be of a spaced word: s, a lone character, with or without punctuation; f, a fragment of two;
+        b and e, a fragment with punctuation before or behind it, which can only begin or end one; x, nothing."""
+        bare = word.strip(_EDGE)
+        if len(word) == 1 or len(bare) == 1:
+            return "s"
+        if len(bare) != 2:
+            return "x"
+        return "f" if len(word) == 2 else "e" if word.startswith(bare) else "b" if word.endswith(bare) else "x"
 
     def read(self, word: str) -> tuple[str, ...]:
         bare = word.strip(_EDGE).lower()
-        if bare.isalpha() and not _TRIPLE.search(bare):
+        if bare.isalpha() and not _TRIPLE.search(bare) and not any(c in SIGNS for c in word):
             return (_DOUBLE.sub(self._double, bare),) if _DOUBLE.search(bare) else (bare,)
         low = word.lower()
         if not any(c.isalpha() for c in low):
@@ -192,19 +214,19 @@ class Restorer:
         return m[0] if twice > SQUEEZED + self.model[(x * SIZE + c) * SIZE + y] else m[1]
 
     def words(self, text: str | None) -> list[tuple[str, ...]]:
-        """Restored words for each word of the text; words of one character in a row, three or more, are read as one."""
+        """Restored words for each word of the text. Three or more lone characters in a row are read as one, and so are
+        lone characters and fragments; where short words around may belong to a spaced word or not, both are given."""
         words = (text or "").split()
-        if not words:
-            return {}
-        one = np.fromiter(map(len, words), np.int64, len(words)) == 1
-        out = list(map(self.memo.__getitem__, words))
-        if one.any():
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], one.astype(np.int8), [0]))))
-            for a, b in zip(edge[::2], edge[1::2], strict=True):
-                if b - a >= 3:
-                    out[a] = self.memo[" ".join(words[a:b])]
-                    for k in range(a + 1, b):
-                        out[k] = ()
+        known = list(map(self.memo.__getitem__, words))
+        out = [said for said, _ in known]
+        kinds = "".join([kind for _, kind in known])
+        for m in _SPACED.finditer(kinds):
+            a, b = m.span()
+            for lone in _LONE.finditer(kinds, a, b):
+                c, d = lone.span()
+                out[c:d] = [self.memo[" ".join(words[c:d])][0], *[()] * (d - c - 1)]
+            plain = {w for said in out[a:b] for w in said}
+            out[a] += tuple(w for w in self.memo[" ".join(words[a:b])][0] if w not in plain)
         return out
 
     def text(self, text: str | None) -> str:

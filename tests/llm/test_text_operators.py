@@ -74,6 +74,17 @@ def test_obfuscated_words_are_restored(toxic_model, said):
     assert "idiot" in found or "moron" in found, found
 
 
+@pytest.mark.parametrize("said", ["!diot", "!diot!", "i d i o t.", '"i d i o t"', "i, d, i, o, t!", "id i ot", "m or on", "to i d i o t it"])
+def test_signs_at_edges_and_spaced_fragments_are_restored(toxic_model, said):
+    found = toxicity.Restorer(toxic_model.characters).text(f"there {said} there").split()
+    assert "idiot" in found or "moron" in found, found
+
+
+def test_edge_signs_for_show_are_left_out(toxic_model):
+    restorer = toxicity.Restorer(toxic_model.characters)
+    assert restorer.text("(idiot) moron! idiot!! (moron idiot$$") == "idiot moron idiot moron idiot"
+
+
 def test_viterbi_is_the_best_reading(toxic_model):
     model = toxic_model.characters.ravel().tolist()
     rng = random.Random(1)
