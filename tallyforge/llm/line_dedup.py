@@ -8,8 +8,12 @@ Components of verified pairs are classes; the first line of a class, by (doc_id,
 
 Equal lines are one node, so the number of copies of a line doesn't matter to the join.
 
-Defined cases: null and empty texts have no lines; lines without a word are no lines; lines shorter than `shortest`
-only match copies; null doc_ids come last; rows repeated whole share (doc_id, line_no), so their lines are kept or
+Lines of at most threshold characters have no such segments. Against longer lines they are joined on the characters that
+both hold, of which a pair within the threshold has one; among each other all of them are within the threshold, so
+their links are counted and their class is tied without a pair.
+
+Defined cases: null and empty texts have no lines; lines without a word are no lines; all lines take part, or where
+`shortest` is given, shorter ones only match copies; null doc_ids come last; rows repeated whole share (doc_id, line_no), so their lines are kept or
 dropped alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -123,13 +127,19 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
     return materialize(lines.select(F.monotonically_increasing_id().alias("node"), "line", F.length("line").alias("n")), "lines")
 
 
-def linked_pairs(lines: DataFrame, threshold: int = 2, shortest: int = 16) -> DataFrame:
-    """(a, b, d): nodes of verified pairs, once each, b's line not shorter than a's."""
+def linked_pairs(lines: DataFrame, threshold: int = 2, shortest: int = 1) -> DataFrame:
+    """(a, b, d): nodes of verified pairs, once each, b's line not shorter than a's. Pairs of tiny lines, which are all
+    within the threshold, aren't among them."""
     long = lines.where(F.col("n") >= shortest)
-    index = segment_keys(long, [(0, i, 0) for i in range(threshold + 1)], threshold, shortest, "a")
-    probe = segment_keys(long, _probes(threshold), threshold, shortest, "b")
-    met = index.join(probe, "key").where("(n_a < n_b or (n_a = n_b and a < b)) and n_b - n_a <= " + str(threshold))
-    met = materialize(met.select("a", "b").distinct(), "line-pairs")
+    whole = max(shortest, threshold + 1)
+    index = segment_keys(long, [(0, i, 0) for i in range(threshold + 1)], threshold, whole, "a")
+    probe = segment_keys(long, _probes(threshold), threshold, whole, "b")
+    met = index.join(probe, "key").where("(n_a < n_b or (n_a = n_b and a < b)) and n_b - n_a <= " + str(threshold)).select("a", "b")
+    if shortest <= threshold:
+        held = lambda df, side: df.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.explode(F.array_distinct(F.split("line", ""))).alias("key"))
+        near = held(long.where((F.col("n") > threshold) & (F.col("n") <= 2 * threshold)), "b")
+        met = met.unionByName(held(tiny(lines, threshold, shortest), "a").join(near, "key").where(f"n_b - n_a <= {threshold}").select("a", "b"))
+    met = materialize(met.distinct(), "line-pairs")
     text = lambda side: long.select(F.col("node").alias(side), F.col("line").alias(f"line_{side}"))
     pairs = met.join(text("a"), "a").join(text("b"), "b").where(_enough_blocks(F.col("line_a"), F.col("line_b"), threshold))
     # in a table, or the distance would be computed for the filter and once more
@@ -137,6 +147,11 @@ def linked_pairs(lines: DataFrame, threshold: int = 2, shortest: int = 16) -> Da
     return found.where(F.col("d") <= threshold)
 
 
+def tiny(lines: DataFrame, threshold: int, shortest: int) -> DataFrame:
+    """The lines that are too short for segments; any two of them are within the threshold."""
+    return lines.where((F.col("n") >= shortest) & (F.col("n") <= threshold))
+
+
 def _enough_blocks(a: Column, b: Column, threshold: int, blocks: int = 8) -> Column:
     """Whether enough even blocks of a stand in b, moved by at most threshold: an edit spoils one block, so of lines
     within the threshold all but that many do. It costs little and leaves few pairs to verify that don't match."""
@@ -150,13 +165,20 @@ def _enough_blocks(a: Column, b: Column, threshold: int, blocks: int = 8) -> Col
     return held >= blocks - threshold
 
 
-def classes(docs: DataFrame, threshold: int = 2, shortest: int = 16) -> DataFrame:
+def classes(docs: DataFrame, threshold: int = 2, shortest: int = 1) -> DataFrame:
     """A row per line with a word: doc_id, line_no, class_doc_id and class_line_no (the first line of its class),
     n_links (different lines within the threshold), kept (whether it is that first line)."""
     lines = distinct_lines(docs)
     pairs = linked_pairs(lines, threshold, shortest)
-    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    linked = both.groupBy("node").agg(F.count(F.lit(1)).alias("n_links")).join(connected(pairs, "a", "b"), "node")
+    one = F.lit(1).cast("long").alias("links")
+    both = pairs.select(F.col("a").alias("node"), one).unionByName(pairs.select(F.col("b").alias("node"), one))
+    ties = pairs.select("a", "b")
+    shorts = tiny(lines, threshold, shortest)
+    many, least = shorts.agg(F.count(F.lit(1)), F.min("node")).first()
+    if many > 1:
+        both = both.unionByName(shorts.select("node", F.lit(many - 1).cast("long").alias("links")))
+        ties = ties.unionByName(shorts.where(F.col("node") != least).select(F.lit(least).cast("long").alias("a"), F.col("node").alias("b")))
+    linked = both.groupBy("node").agg(F.sum("links").alias("n_links")).join(connected(ties, "a", "b"), "node")
     linked = lines.select("node", *_name("line")).join(small(linked), "node").select("name", "name_too", "root", "n_links")
     rows = lines_of(docs).select("doc_id", "line_no", *_name("line"))
     # a line without links is a class of its own, known by its name
@@ -176,7 +198,7 @@ def _name(line: str) -> tuple[Column, Column]:
     return F.xxhash64(line).alias("name"), F.xxhash64(F.lit("line"), line).alias("name_too")
 
 
-def deduplicate(docs: DataFrame, threshold: int = 2, shortest: int = 16) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: int = 2, shortest: int = 1) -> DataFrame:
     """doc_id and text of each row of docs, without the lines that repeat an earlier line of any document.
 
     Lines without words stay. Rows that share a doc_id are told apart by their text.

@@ -61,7 +61,7 @@ def op6_line_sequence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_segment_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.classes(table(spark, sf_dir, "documents"), threshold=2, shortest=16)
+    return line_dedup.classes(table(spark, sf_dir, "documents"), threshold=2)
 
 
 def op8_backoff_automaton_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

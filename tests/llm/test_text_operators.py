@@ -402,6 +402,40 @@ def test_line_classes(spark):
     assert line_dedup.classes(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("threshold", "few"), [(2, False), (1, False), (2, True)])
+def test_short_lines_are_joined_too(spark, threshold, few):
+    """few: without tiny lines, so that classes stay apart."""
+    rng = random.Random(5)
+    lines = ["The thertion.", "The, thertion.", "With and.", "With, and.", "Share this", "Share this!", "With and."]
+    lines += ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(4 if few else 1, 13) for _ in range(9)]
+    lines += [x[:3] + x[4:] + "k" for x in lines[7::3] if len(x) > 6] + ([] if few else ["é", "a.", "qz", "b", "axby"])
+    rows = list(enumerate("\n".join(lines[i::7]) for i in range(7)))
+    got = line_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
+    held = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
+    unique = sorted({x for _, _, x in held})
+    link = {x: [y for y in unique if y != x and plain_distance(x, y) <= threshold] for x in unique}
+    root = {x: x for x in unique}
+    for _ in unique:
+        for x in unique:
+            for y in link[x]:
+                root[x] = root[y] = min(root[x], root[y])
+    first = {}
+    for i, k, x in sorted(held):
+        first.setdefault(root[x], (i, k))
+    want = Counter((i, k, *first[root[x]], len(link[x]), (i, k) == first[root[x]]) for i, k, x in held)
+    assert Counter((r.doc_id, r.line_no, r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in got) == want
+    assert link["Share this"] and link["With and."] and len(set(root.values())) > 5
+
+
+def test_short_lines_of_the_tables_are_joined(spark, sf_dir):
+    """The registered query, against brute force over all lines under 16 characters."""
+    got = queries.QUERIES["op7_segment_edit_join"](spark, sf_dir).collect()
+    text = {r.doc_id: (r.text or "").split("\n") for r in queries.table(spark, sf_dir, "documents").collect()}
+    links = {text[r.doc_id][r.line_no]: r.n_links for r in got if len(text[r.doc_id][r.line_no]) < 14}
+    every = {x for t in text.values() for x in t if split_words(x) and len(x) < 16}
+    assert links == {x: sum(y != x and abs(len(x) - len(y)) <= 2 and plain_distance(x, y) <= 2 for y in every) for x in links}
+
+
 # --- 8 language model --------------------------------------------------------------------------------------------------------
 
 
