@@ -12,6 +12,11 @@ itself an entity of the corpus, or an entity's own value. Those are drawn again
 again must differ from all others, until nothing collides. Entities that have no free surrogate of their format left
 after `most_draws` get letters or digits added.
 
+Names are found after a title. Each of their words is an entity of its own, and wherever it stands capitalised in the
+same text, with a title or without, it gets the same surrogate. Telephone numbers are those with a country code, those
+that begin with 0, ten-digit ones, and ones of nine digits in groups; their canonical form leaves out country code and
+leading 0, which surrogates keep.
+
 Defined cases: null texts stay null, empty ones empty; texts without entities stay as they are; equal entities in
 repeated rows get equal surrogates; an empty table gives no rows; a null doc_id is carried along; other columns are
 ignored.
@@ -36,44 +41,83 @@ from .common import TwoGenerations, arrow_rows, materialize
 GROUPS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "0123456789")
 _GROUP = {c: g for g in GROUPS for c in g}
 TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|M|Mme|Mlle|Sr|Sra|Srta|Don|Doña|Господин|Госпожа|Κύριος|Κυρία"
+#: Country codes of one and two digits; others have three.
+COUNTRY = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()}
+_SEP = "(?:[ .-]| ?/ ?)?"
+_PHONES = (
+    r"(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}",
+    rf"(?:\+ ?|00)[1-9]\d{{0,2}}{_SEP}(?:\(\d{{1,5}}\){_SEP})?\d(?:{_SEP}\d){{5,12}}",
+    r"1?[2-9]\d{2}[2-9]\d{6}",
+    rf"\(0[1-9]\d{{0,4}}\)(?:{_SEP}\d){{5,9}}",
+    # a date isn't one, with what stands behind it
+    rf"(?!\d\d([ ./-])\d\d\1(?:19|20)\d\d(?!\d))0[1-9](?:{_SEP}\d){{7,10}}",
+    r"[6-9]\d{2}([ .-])\d{3}\2(?!000)\d{3}",
+    r"[6-9]\d{2}([ .-])\d{2}\3\d{2}\3\d{2}",
+    r"9\d([ .-])\d{3}\4\d{2}\4\d{2}",
+)
 
 PATTERNS = {
     "email": re.compile(r"[^\W_][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"),
     "token": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
-    "card": re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])"),
+    "card": re.compile(r"(?<![\w.+])(?!00[1-9](?:[ -]?\d){10,12}(?![ -]?\d))\d(?:[ -]?\d){12,18}(?![\w])"),
     "ip": re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\w|\.\d)"),
-    "phone": re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\w)"),
-    "name": re.compile(rf"\b(?:{TITLES})\.? ((?:[A-ZÀ-ÞΑ-ΩА-Я][a-zà-ÿά-ώа-я]{{2,}})(?: [A-ZÀ-ÞΑ-ΩА-Я][a-zà-ÿά-ώа-я]{{2,}})?)"),
+    "phone": re.compile(rf"(?<![\w.])(?:{'|'.join(_PHONES)})(?!\w)"),
+    "name": re.compile(rf"\b(?:(?:{TITLES})\.? )+(?!(?:{TITLES})\b)((?:[A-ZÀ-ÞΑ-ΩА-Я][a-zà-ÿά-ώа-я]{{2,}})(?: [A-ZÀ-ÞΑ-ΩА-Я][a-zà-ÿά-ώа-я]{{2,}})?)"),
 }
 _DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"[^\W\d_]{3,}")
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(begin, end, type, canonical form) of the entities, in order and apart from each other; earlier types go first."""
+    """(begin, end, type, canonical form) of the entities, in order and apart from each other; earlier types go first.
+
+    The words of a name are entities of their own, and so are their other mentions in the text.
+    """
     kinds = []
     if "@" in text:
         kinds.append("email")
     if _DIGIT.search(text):
         kinds += ["token", "card", "ip", "phone"]
-    kinds.append("name")
     out: list[tuple[int, int, str, str]] = []
     for kind in kinds:
         for m in PATTERNS[kind].finditer(text):
-            a, b = m.span(m.lastindex or 0)
+            a, b = m.span()
             if not any(a < e and s < b for s, e, _, _ in out):
                 out.append((a, b, kind, canonical(kind, text[a:b])))
-    return sorted(out)
+    out.sort()
+    parts = {canonical("name", w) for m in PATTERNS["name"].finditer(text) for w in m[1].split(" ")}
+    if not parts:
+        return out
+    named, k = [], 0
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        if text[a].isupper() and (value := canonical("name", m[0])) in parts:
+            while k < len(out) and out[k][1] <= a:
+                k += 1
+            if k == len(out) or b <= out[k][0]:
+                named.append((a, b, "name", value))
+    return sorted(out + named)
 
 
 def canonical(kind: str, said: str) -> str:
     if kind in ("phone", "card"):
         digits = "".join(c for c in said if c.isdigit())
-        return digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
+        return _national(digits, said.startswith("+")) if kind == "phone" else digits
     if kind == "ip":
         return ".".join(str(int(x)) for x in said.split("."))
     return said.lower()
 
 
+def _national(digits: str, plus: bool) -> str:
+    """A telephone number without country code and leading 0, as calls from within a country and from abroad share it."""
+    if plus or digits.startswith("00"):
+        digits = digits if plus else digits[2:]
+        digits = digits[next((n for n in (1, 2) if digits[:n] in COUNTRY), 3) :]
+    elif len(digits) == 11 and digits[0] == "1":
+        return digits[1:]
+    return digits[1:] if digits.startswith("0") else digits
+
+
 def permute(n: int, size: int, key: bytes) -> int:
     """A keyed permutation of range(size): a Feistel network over the next square, walked until it is in range."""
     if size < 2:
@@ -148,7 +192,11 @@ def surrogate(kind: str, value: str, secret: bytes, draw: int = 0) -> str:
     if kind == "name":
         last = [i for i, c in enumerate(value) if i + 1 == len(value) or value[i + 1] == " "]
         return _by_groups(value, key, frozenset(last))
-    return _by_groups(value, key)
+    said = _by_groups(value, key)
+    # a 0 in front would read as one to leave out
+    while said.startswith("0") != value.startswith("0"):
+        said = _by_groups(said, key)
+    return said
 
 
 def spell(said: str, kind: str, value: str) -> str:

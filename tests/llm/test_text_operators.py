@@ -221,6 +221,30 @@ def test_surrogates_are_distinct_and_collisions_are_drawn_again(spark):
     assert again and len(set(said)) == 60 and set(said).isdisjoint(v for _, v in rows)
 
 
+@pytest.mark.parametrize("said", ["6215554974", "+49 30 1234567", "0049 30 1234567", "06 12 34 56 78", "+33 6 12 34 56 78", "+4917012345678", "(030) 123456", "0171/1234567", "+49 (0)30 1234567", "912 345 678", "612 34 56 78"])
+def test_telephone_numbers_of_all_languages_are_found(said):
+    text = f"call {said}, please"
+    (found,) = pii_surrogates.find(text)
+    assert text[found[0] : found[1]] == said and found[2] == "phone"
+
+
+def test_dates_and_numbers_are_no_telephone_numbers():
+    for text in ("01.02.2024 10:30", "2024-01-02 03:04:05", "0.123456789", "1732723200", "700 000 000", "12 34 56 78 90"):
+        assert pii_surrogates.find(text) == [], text
+
+
+def test_names_and_numbers_keep_coreference(spark):
+    text = "Smith came. Mr. John Smith met Herr Prof. Weber. Mr. Smith and John Smith left; SMITH's and a smith. +49 30 1234567 or 030 1234567"
+    (r,) = pii_surrogates.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").collect()
+    w = r.text.split()
+    smith, john = w[0], w[3]
+    assert smith != "Smith" and john != "John" and "smith." in w and "Prof." in w and "Weber." not in w
+    assert w[4] == w[10] == smith and w[12:14] == [john, smith] and w[15] == smith.upper() + "'s" and w[9] == "Mr."
+    digits = lambda x: re.sub(r"\D", "", x)
+    abroad, home = r.text[r.text.index("+") :].split(" or ")
+    assert abroad.startswith("+49 ") and home.startswith("0") and digits(abroad)[2:] == digits(home)[1:] != "301234567"
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutation(size):
     assert sorted(pii_surrogates.permute(i, size, b"k") for i in range(size)) == list(range(size))
