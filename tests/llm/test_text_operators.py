@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pyspark.sql.functions as F
 import pytest
 
@@ -630,3 +631,67 @@ def test_pipeline_run_keeps_tokens(spark, sf_dir):
     for r in got:
         whole.setdefault(r.doc_id, [0, r.doc_tokens])[0] += r.length
     assert len(whole) > 100 and all(a == b for a, b in whole.values())
+
+
+def test_pipeline_stages_keep_what_plain_python_keeps(spark, sf_dir, tmp_path):
+    """Each stage's surviving doc_ids, from the rows that the stage before it left."""
+    docs = queries.table(spark, sf_dir, "documents").limit(200).cache()
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    stage = dict(corpus_pipeline.STAGES)
+
+    labels = queries.table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    model = toxicity.fit(docs, labels)
+    restorer = toxicity.Restorer(model.characters)
+    clean = stage["toxicity"](spark, docs, sf_dir).cache()
+
+    def value(text):
+        words = [w for said in restorer.words(text) for w in said]
+        held = {}
+        for f in {f for w in words for f in [w, *(w[:n] + "*" for n in range(1, len(w) + 1))] if f in model.weights}:
+            held[f[:4]] = max(held.get(f[:4], -math.inf), model.weights[f])
+        top, *rest = sorted(held.values(), reverse=True) or [model.least]
+        z = model.bias + model.strongest * max(top, model.least) + model.others * math.log1p(sum(x for x in rest if x > 0))
+        return 1 / (1 + math.exp(-z))
+
+    assert ids(clean) == sorted(r.doc_id for r in docs.collect() if value(r.text) < 0.7)
+
+    rows = clean.unionByName(clean.where("doc_id % 4 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000)).cache()
+    last = {}
+    for r in rows.collect():
+        t = (r.text or "").translate(LOW)
+        last[t] = max(last.get(t, -1), r.doc_id)
+    single = stage["exact_dedup"](spark, rows, sf_dir).cache()
+    assert ids(single) == sorted(last.values()) and len(last) < rows.count()
+
+    near = single.unionByName(single.where("doc_id % 5 = 0").withColumn("doc_id", F.col("doc_id") + 2_000_000).withColumn("text", F.concat("text", F.lit(" tail")))).cache()
+    held = {r.doc_id: shingles(r.text) for r in near.collect()}
+    least = {i: i for i in held}
+    link = [(i, j) for i in held for j in held if i < j and held[i] and len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])]
+    for _ in held:
+        before = dict(least)
+        for i, j in link:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            break
+    lone = stage["near_dedup"](spark, near, sf_dir).cache()
+    assert ids(lone) == sorted(set(least.values())) and link
+
+    mixed = stage["mixing"](spark, lone, sf_dir).cache()
+    size = {r.doc_id: len(split_words(r.text)) for r in lone.collect()}
+    kept = ids(mixed)
+    # op9's SQL with the pipeline's budget and epochs, on the rows at hand
+    pq.write_table(lone.toArrow(), str(tmp_path / "documents.parquet"))
+    sql = queries.OP9_SQL.replace("* 60 // 100", "* 90 // 100").replace("sum(supply) * 2", "sum(supply)").replace("least(2,", "least(1,")
+    cols, found = duck_rows(sql, tmp_path)
+    assert kept == sorted(r[cols.index("doc_id")] for r in found if r[cols.index("copies")])
+    assert 0.5 * sum(size.values()) < sum(size[i] for i in kept) <= 0.9 * sum(size.values())
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.word_tokenizer())
+    want = {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in mixed.collect()}
+    have, used = Counter(), Counter()
+    for r in stage["packing"](spark, mixed, sf_dir).collect():
+        have[r.doc_id] += r.length
+        used[r.sequence_id] += r.length
+    assert have == want and max(used.values()) <= 2048
