@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ class AdaptiveConfig:
     min_improvement: float = 0.001
     min_training_accuracy: float = 0.95
     enable_acid_test: bool = True
-    diverse_start: bool = False
+    max_samples_per_class_fallback: int = 2
+    diverse_start: bool = True
     seed: int = 42
 
 
@@ -76,9 +79,10 @@ def initial_selection(df: DataFrame, key: str, target: str, features: list[str],
     return sample_per_class(df, target, hash_key(key, config.seed), key, config.initial_samples_per_class).select(key)
 
 
-def learn(df: DataFrame, key: str, features: list[str], target: str, model_config: ModelConfig | None = None, config: AdaptiveConfig | None = None) -> AdaptiveResult:
+def learn(df: DataFrame, key: str, features: list[str], target: str, model_config: ModelConfig | None = None, config: AdaptiveConfig | None = None, on_round: Callable[[dict], None] | None = None) -> AdaptiveResult:
     """Runs the loop on df, whose rows key names. State is a table of selected keys; what each round adds is a sample of
-    the wrong rows that aren't selected. The model of the best round is the result, with the rows it was trained on."""
+    the wrong rows that aren't selected. The model of the best round is the result, with the rows it was trained on.
+    on_round gets each round's row of the log."""
     config, model_config = config or AdaptiveConfig(), model_config or ModelConfig()
     spark = df.sparkSession
     df = df.select(key, *features, target).where(F.col(target).isNotNull()).persist()
@@ -90,7 +94,7 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
         for rnd in range(1, config.max_adaptive_rounds + 1):
             parts.append(selection.withColumn("round", F.lit(rnd)))
             model = fit(selected(df, selection, key), features, target, frame=frame, key=key)
-            scored = model.score(rows, key).select(key, "k", "predicted")
+            scored = cut(model.score(rows, key).select(key, "k", "predicted"))  # read for figures and for the pool
             judged = scored.join(selection.withColumn("__in", F.lit(True)), key, "left")
             right = (F.col("k") == F.col("predicted")).cast("double")
             outside = F.col("__in").isNull()
@@ -109,28 +113,60 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
                 grown = cut(append_selection(selection, new, key))
                 added = grown.count() - size
                 selection = grown
-            log.append((rnd, size, model.accuracy, accuracy, added, improvement, "acid_test" if config.enable_acid_test else "remaining"))
+            _note(log, on_round, rnd, size, model.accuracy, accuracy, added, improvement, "acid_test" if config.enable_acid_test else "remaining")
             if stop:
                 break
     finally:
         df.unpersist()
-    selections = parts[0]
-    for p in parts[1:]:
-        selections = selections.unionByName(p)
-    facts = {"best_round": best["round"], "best_accuracy": best["accuracy"], "rounds": len(log), "training_size": log[best["round"] - 1][1], "samples_added": sum(r[4] for r in log)}
-    return AdaptiveResult(replace(best["model"], accuracy=best["accuracy"]), best["selection"], spark.createDataFrame(log, ROUNDS), best["round"], best["accuracy"], selections, facts)
-
-
-def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: str, model_config: ModelConfig | None = None, config: AdaptiveConfig | None = None) -> AdaptiveResult:
-    """The loop that stops once the model is right on min_training_accuracy of all rows, or stops improving by
-    min_improvement; rows that are already selected aren't added again."""
-    config = config or AdaptiveConfig()
-    found = learn(df, key, features, target, model_config, replace(config, enable_acid_test=True))
-    rows, kept, last = found.rounds.orderBy("round").collect(), [], 0.0
-    for r in rows:
-        kept.append(tuple(r))
-        if r.test_accuracy >= config.min_training_accuracy or (r.round > 1 and r.test_accuracy - last < config.min_improvement):
-            break
-        last = r.test_accuracy
-    found.rounds = df.sparkSession.createDataFrame(kept, ROUNDS)
-    return found
+    return _result(spark, replace(best["model"], accuracy=best["accuracy"]), best["selection"], log, best["round"], best["accuracy"], parts)
+
+
+def _note(log: list[tuple], on_round: Callable[[dict], None] | None, *row) -> None:
+    log.append(row)
+    if on_round:
+        on_round(dict(zip((f.split()[0] for f in ROUNDS.split(", ")), row, strict=True)))
+
+
+def _result(spark, model: PairModel, selection: DataFrame, log: list[tuple], best: int, accuracy: float, parts: list[DataFrame]) -> AdaptiveResult:
+    facts = {"best_round": best, "best_accuracy": accuracy, "rounds": len(log), "training_size": log[best - 1][1], "samples_added": sum(r[4] for r in log)}
+    return AdaptiveResult(model, selection, spark.createDataFrame(log, ROUNDS), best, accuracy, reduce(DataFrame.unionByName, parts), facts)
+
+
+def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: str, model_config: ModelConfig | None = None, config: AdaptiveConfig | None = None, on_round: Callable[[dict], None] | None = None) -> AdaptiveResult:
+    """The plainer loop. A round is judged by the model's accuracy on the rows it was trained on, and ends the loop once
+    that reaches min_training_accuracy. Else a sample of all wrong rows, selected ones too, joins the selection, where
+    rows that are in it already count once; rounds without a gain of min_improvement use up patience. The last round's
+    model and selection are the result."""
+    config, model_config = config or AdaptiveConfig(), model_config or ModelConfig()
+    df = df.select(key, *features, target).where(F.col(target).isNotNull()).persist()
+    try:
+        frame = initialise(df, features, target, model_config)
+        rows = df.withColumn("k", class_number(F.col(f"`{target}`"), frame.classes))
+        chosen = cut(initial_selection(df, key, target, features, config).distinct())
+        log, parts, top, waited = [], [], 0.0, 0
+        for rnd in range(1, config.max_adaptive_rounds + 1):
+            parts.append(chosen.withColumn("round", F.lit(rnd)))
+            known = selected(rows, chosen, key)
+            model = fit(known.drop("k"), features, target, frame=frame, key=key)
+            right = (F.col("k") == F.col("predicted")).cast("double")
+            scored = cut(model.score(rows, key).select(key, "k", "predicted"))
+            size, accuracy = selected(scored, chosen, key).agg(F.count(F.lit(1)), F.avg(right)).first()
+            on_all, wrong = scored.agg(F.avg(right), F.count_if(F.col("k") != F.col("predicted"))).first()
+            gain, added = accuracy - top, 0
+            done = accuracy >= config.min_training_accuracy
+            if not done:
+                if wrong:
+                    take = config.max_samples_per_class_fallback * len(frame.classes)
+                    new = sample_rows(scored.where("predicted != k"), key, take, config.seed, rnd).select(key)
+                    grown = cut(append_selection(chosen, new, key))
+                    added = grown.count() - size
+                better = wrong and gain > config.min_improvement
+                top, waited = (accuracy, 0) if better else (top, waited + 1)
+                done = waited >= config.patience or rnd == config.max_adaptive_rounds
+            _note(log, on_round, rnd, size, accuracy, on_all, added, gain, "training")
+            if done:
+                break
+            chosen = grown if wrong else chosen
+    finally:
+        df.unpersist()
+    return _result(df.sparkSession, replace(model, accuracy=accuracy), chosen, log, len(log), accuracy, parts)

@@ -11,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch that goes to a Python worker, which bounds what it holds of long texts at once.
+ARROW_BYTES = 8 << 20
+
 #: Settings that suit any size; memory and partition counts are the cluster's to set.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -43,8 +46,11 @@ def cut(df, name: str = "cut"):
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package's code to the executors, once for each application, so that Python workers can import it."""
+    """Sends the package's code to the executors, once for each application, so that Python workers can import it, and
+    bounds the batches that they get, unless the session has a bound of its own."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_tallyforge_shipped", False):
         return spark
     here = Path(__file__).resolve().parent

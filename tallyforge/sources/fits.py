@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,8 @@ KEYWORDS = ["TELESCOP", "INSTRUME", "OBJECT", "RA", "DEC", "EXPTIME"]
 
 def _value(text: str):
     text = text.strip()
-    if text.startswith("'"):
-        return text[1:].split("'")[0].rstrip()
+    if m := re.match(r"'((?:[^']|'')*)'", text):  # a quote inside is doubled
+        return m[1].replace("''", "'").rstrip()
     text = text.split("/")[0].strip()
     if text in ("T", "F"):
         return text == "T"
@@ -58,6 +60,31 @@ def units(data: bytes) -> list[tuple[dict, bytes]]:
     return out
 
 
+def ascii_table(header: dict, data: bytes) -> dict[str, list]:
+    """Columns of an ASCII table; blank and TNULL fields of numbers are None."""
+    width, rows, out = int(header["NAXIS1"]), int(header["NAXIS2"]), {}
+    lines = [data[i * width : (i + 1) * width].decode("latin-1") for i in range(rows)]
+    for i in range(1, int(header["TFIELDS"]) + 1):
+        code, size, _, places = re.match(r"([AIFED])(\d+)(\.(\d+))?", str(header[f"TFORM{i}"]).strip()).groups()
+        at, null = int(header[f"TBCOL{i}"]) - 1, str(header.get(f"TNULL{i}", "")).strip()
+        said = [x[at : at + int(size)] for x in lines]
+        if code != "A":
+            scale, zero = header.get(f"TSCAL{i}", 1), header.get(f"TZERO{i}", 0)
+            said = [_number(x.strip(), code, int(places or 0), scale, zero) if x.strip() not in ("", null) else None for x in said]
+        out[str(header.get(f"TTYPE{i}", f"col{i}"))] = [x.rstrip() for x in said] if code == "A" else said
+    return out
+
+
+def _number(said: str, code: str, places: int, scale, zero):
+    if code == "I":
+        n = int(said)
+    else:
+        n = float(said.upper().replace("D", "E"))
+        if "." not in said and "E" not in said.upper().replace("D", "E"):
+            n /= 10**places  # the point is left out
+    return n if (scale, zero) == (1, 0) else n * scale + zero
+
+
 def _scaled(values: np.ndarray, header: dict, number: int | None = None) -> np.ndarray:
     scale, zero = (header.get(f"TSCAL{number}", 1), header.get(f"TZERO{number}", 0)) if number else (header.get("BSCALE", 1), header.get("BZERO", 0))
     return values if (scale, zero) == (1, 0) else values * scale + zero
@@ -65,8 +92,6 @@ def _scaled(values: np.ndarray, header: dict, number: int | None = None) -> np.n
 
 def binary_table(header: dict, data: bytes) -> dict[str, list]:
     """Columns of a binary table; those of several values become lists."""
-    import re
-
     rows, fields = int(header["NAXIS2"]), []
     for i in range(1, int(header["TFIELDS"]) + 1):
         m = re.match(r"(\d*)([A-Z])", str(header[f"TFORM{i}"]))
@@ -83,7 +108,10 @@ def binary_table(header: dict, data: bytes) -> dict[str, list]:
         elif str(header[f"TFORM{i}"]).endswith("L"):
             out[str(header.get(f"TTYPE{i}", f"col{i}"))] = (v == ord("T")).tolist()
         else:
-            out[str(header.get(f"TTYPE{i}", f"col{i}"))] = _scaled(v, header, i).tolist()
+            held = _scaled(v, header, i).tolist()
+            if f"TNULL{i}" in header and v.ndim == 1 and v.dtype.kind in "iu":
+                held = [None if raw == header[f"TNULL{i}"] else x for raw, x in zip(v.tolist(), held, strict=True)]
+            out[str(header.get(f"TTYPE{i}", f"col{i}"))] = held
     return out
 
 
@@ -97,29 +125,58 @@ def columns_of(data: bytes) -> dict[str, list]:
     """The first table of a file, else its first image."""
     found = units(data)
     for header, body in found:
-        if header.get("XTENSION") == "BINTABLE":
-            return binary_table(header, body)
+        if header.get("XTENSION") in ("BINTABLE", "TABLE"):
+            return (binary_table if header["XTENSION"] == "BINTABLE" else ascii_table)(header, body)
     for header, body in found:
-        if int(header.get("NAXIS", 0)) and body:
+        if header.get("XTENSION", "IMAGE") == "IMAGE" and int(header.get("NAXIS", 0)) and body:
             shape = [int(header[f"NAXIS{i}"]) for i in range(int(header["NAXIS"]), 0, -1)]
             return array_columns(_scaled(np.frombuffer(body, IMAGE_TYPES[int(header["BITPIX"])]).reshape(shape), header))
     raise ValueError("no table or image in the FITS file")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The table of FITS files, one task a file; names and types come from the first file."""
-    import pandas as pd
+    """The table of FITS files, one task a file, with the columns of all of them: a column that a file lacks is null
+    there, and a type is the widest that any file has (whole number, number, text; lists of numbers)."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    first = pd.DataFrame(columns_of(bytes(files.limit(1).first()["content"])))
-    schema = spark.createDataFrame(first.head(1000)).schema
+    def kinds(batches):
+        for b in batches:
+            rows = []
+            for p, content in zip(b["path"], b["content"], strict=True):
+                rows += [(p, i, name, _kind(values)) for i, (name, values) in enumerate(columns_of(bytes(content)).items())]
+            yield pd.DataFrame(rows, columns=["path", "i", "name", "kind"])
+
+    # as many rows as distinct columns, in order of the first file that has them
+    seen = files.mapInPandas(kinds, "path string, i int, name string, kind int").groupBy("name").agg(F.min(F.struct("path", "i")).alias("at"), F.max("kind").alias("kind"))
+    wanted = {r.name: r.kind for r in seen.orderBy("at").collect()}
+    schema = ", ".join(f"`{name}` {KINDS[kind]}" for name, kind in wanted.items())
 
     def run(batches):
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame(columns_of(bytes(content)))[schema.names]
+                held = columns_of(bytes(content))
+                n = len(next(iter(held.values()), []))
+                yield pd.DataFrame({name: pd.Series([_as(x, kind) for x in held.get(name, [None] * n)], dtype=object) for name, kind in wanted.items()})
+
+    return files.select("content").mapInPandas(run, schema)
+
+
+#: Types of columns, from the narrowest to the widest.
+KINDS = ("boolean", "bigint", "double", "array<double>", "string")
 
-    return files.mapInPandas(run, schema)
+
+def _kind(values: list) -> int:
+    """The place in KINDS of the narrowest type that holds the values."""
+    order = {bool: 0, int: 1, float: 2, list: 3, str: 4}
+    return max((order[type(x)] for x in values if x is not None), default=1)
+
+
+def _as(x, kind: int):
+    if x is None or kind == 4 and isinstance(x, str):
+        return x
+    if kind == 3:
+        return [float(v) for v in x] if isinstance(x, list) else [float(x)]
+    return str(x) if kind == 4 else (bool, int, float)[kind](x)
 
 
 def header(spark: SparkSession, path: str, keywords: list[str] | None = None) -> DataFrame:
@@ -127,8 +184,6 @@ def header(spark: SparkSession, path: str, keywords: list[str] | None = None) ->
     wanted = keywords or KEYWORDS
 
     def run(batches):
-        import pandas as pd
-
         for b in batches:
             rows = []
             for p, content in zip(b["path"], b["content"], strict=True):

@@ -122,6 +122,24 @@ def test_adaptive_loop(data):
     assert len(total) == 9
 
 
+def test_loop_over_all_wrong_rows(data):
+    _, df = data
+    model = pairbayes.ModelConfig(resol=6, max_epochs=1)
+    run = lambda **c: adaptive.learn_from_all_wrong(df, "id", FEATURES, "label", model, adaptive.AdaptiveConfig(initial_samples_per_class=2, max_adaptive_rounds=4, **c), told.append)
+    told: list = []
+    found = run(min_training_accuracy=1.1)
+    rounds = found.rounds.orderBy("round").collect()
+    assert [r.asDict() for r in rounds] == told and len(rounds) == 4 and found.best_round == 4
+    sizes = [r.training_size for r in rounds]
+    assert sizes[0] == 6 and all(b == a + r.new_samples for a, b, r in zip(sizes, sizes[1:], rounds, strict=False)) and all(0 <= r.new_samples <= 6 for r in rounds)
+    last = {r.id for r in found.selections.where("round = 4").collect()}
+    assert {r.id for r in found.selection.collect()} == last and len(last) == sizes[-1] == found.facts["training_size"]
+    scored = selection.selected(found.model.transform(df), found.selection, "id").collect()
+    assert found.best_accuracy == pytest.approx(sum(r.Prediction == r.label for r in scored) / len(scored)) == rounds[-1].train_accuracy
+    early = run(min_training_accuracy=0.0)
+    assert early.rounds.count() == early.best_round == 1 and early.selections.count() == early.selection.count() == 6
+
+
 def test_adaptive_config():
     c = {"adaptive": {"patience": 3, "seed": 1}, "adaptive_learning": {"seed": 2}, "max_adaptive_rounds": 7}
     got = adaptive.adaptive_config(c)

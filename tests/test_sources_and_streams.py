@@ -44,6 +44,20 @@ def test_fits_round_trip(spark, tmp_path):
     assert {r.key: r.value for r in fits.header(spark, path, ["AUTHOR", "DATASET"]).collect()} == {"AUTHOR": "tallyforge", "DATASET": "demo"}
 
 
+def test_fits_ascii_table_beside_an_image(spark, tmp_path):
+    card, pad = fits._card, lambda raw, fill: raw.ljust(-(-len(raw) // 2880) * 2880, fill)
+    image = fits._block([card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", 2), card("NAXIS2", 2), card("OBJECT", "it's")]) + pad(b"abcd", b"\0")
+    forms = [card("TTYPE1", "id"), card("TBCOL1", 1), card("TFORM1", "I4"), card("TNULL1", "-9"), card("TTYPE2", "mag"), card("TBCOL2", 6), card("TFORM2", "F6.2"), card("TTYPE3", "name"), card("TBCOL3", 13), card("TFORM3", "A3")]
+    head = fits._block([card("XTENSION", "TABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", 15), card("NAXIS2", 3), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", 3), *forms])
+    (tmp_path / "a.fits").write_bytes(image + head + pad(b"   1   1.25 ab   -9  1.5D1 c     3        de ", b" "))
+    (tmp_path / "b.fits").write_bytes(fits.table_bytes({"id": [7], "mag": [0.5], "other": ["z"]}))
+    got = {tuple(r) for r in readers.load(spark, str(tmp_path / "a.fits")).collect()}
+    assert got == {(1, 1.25, "ab"), (None, 15.0, "c"), (3, None, "de")}
+    both = {tuple(r) for r in fits.read(spark, str(tmp_path / "*.fits")).select("id", "mag", "name", "other").collect()}
+    assert both == {(*r, None) for r in got} | {(7, 0.5, None, "z")}
+    assert fits.header(spark, str(tmp_path / "a.fits")).first()["value"] == "it's"
+
+
 def test_fits_image(spark, tmp_path):
     image = np.arange(12, dtype=">f8").reshape(3, 2, 2)
     cards = [fits._card("SIMPLE", True), fits._card("BITPIX", -64), fits._card("NAXIS", 3), *(fits._card(f"NAXIS{i}", n) for i, n in enumerate((2, 2, 3), 1))]
