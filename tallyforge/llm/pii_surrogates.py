@@ -1,10 +1,10 @@
 """Keyed surrogates for personal data.
 
-Detected entities (e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers, secret tokens, names after
-a title) are replaced by others of the same type and format. What a type may vary is written as a number of mixed radix,
+Detected entities (e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment card and account numbers, US
+social security numbers, secret tokens, names after a title) are replaced by others of the same type and format. What a type may vary is written as a number of mixed radix,
 and a keyed permutation of those numbers gives the surrogate: digits stay digits, letters stay letters of their script,
-vowels vowels, case stays, a card's check digit stays as right or wrong as it was, public addresses stay public, and a
-name keeps its title and its last letter, which carry gender. Spellings of one entity (case of an e-mail address,
+vowels vowels, case stays, a card's check digit stays as right or wrong as it was, an account number's stays right, public addresses stay public, and
+a name keeps its title and its last letter, which carry gender. Spellings of one entity (case of an e-mail address,
 punctuation of a number) share a canonical form and so one surrogate, in every document: coreference.
 
 A permutation keeps entities distinct. What it can't rule out is checked over all distinct entities: a surrogate that is
@@ -17,15 +17,17 @@ same text, with a title or without, it gets the same surrogate. Telephone number
 that begin with 0, ten-digit ones, and ones of nine digits in groups; their canonical form leaves out country code and
 leading 0, which surrogates keep.
 
-Defined cases: null texts stay null, empty ones empty; texts without entities stay as they are; equal entities in
-repeated rows get equal surrogates; an empty table gives no rows; a null doc_id is carried along; other columns are
-ignored.
+Defined cases: null texts stay null, empty ones empty; texts without entities stay as they are; of entities that overlap
+the earlier type in PATTERNS counts (a tie), then the one that begins first; equal entities in repeated rows get equal
+surrogates; texts and entities of any length are searched and replaced whole, in time that grows with their length; an
+empty table gives no rows; a null doc_id is carried along; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,13 +59,18 @@ _PHONES = (
 )
 
 PATTERNS = {
-    "email": re.compile(r"[^\W_][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b"),
-    "token": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    "email": re.compile(r"(?<![\w.+%-])[_.+%-]*+(?P<said>[^\W_][\w.+%-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63}\b)"),
+    "token": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"),
+    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
+    "ipv6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?:(?::[0-9A-Fa-f]{1,4}){1,6}|[0-9A-Fa-f]{1,4})(?![\w:]|\.\d)"),
+    "ssn": re.compile(r"(?<![\w.+-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\w-])"),
     "card": re.compile(r"(?<![\w.+])(?!00[1-9](?:[ -]?\d){10,12}(?![ -]?\d))\d(?:[ -]?\d){12,18}(?![\w])"),
     "ip": re.compile(r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\w|\.\d)"),
     "phone": re.compile(rf"(?<![\w.])(?:{'|'.join(_PHONES)})(?!\w)"),
     "name": re.compile(rf"\b(?:(?:{TITLES})\.? )+(?!(?:{TITLES})\b)((?:[A-ZÀ-ÞΑ-ΩА-Я][a-zà-ÿά-ώа-я]{{2,}})(?: [A-ZÀ-ÞΑ-ΩА-Я][a-zà-ÿά-ώа-я]{{2,}})?)"),
 }
+#: Characters of a long value that are permuted together.
+PIECE = 128
 _DIGIT = re.compile(r"\d")
 _WORD = re.compile(r"[^\W\d_]{3,}")
 
@@ -77,13 +84,17 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         kinds.append("email")
     if _DIGIT.search(text):
-        kinds += ["token", "card", "ip", "phone"]
+        kinds += ["token", "iban", *(["ipv6"] if ":" in text else []), "card", "ssn", "ip", "phone"]
     out: list[tuple[int, int, str, str]] = []
     for kind in kinds:
+        taken, k, more = sorted(out), 0, []
         for m in PATTERNS[kind].finditer(text):
-            a, b = m.span()
-            if not any(a < e and s < b for s, e, _, _ in out):
-                out.append((a, b, kind, canonical(kind, text[a:b])))
+            a, b = m.span("said") if kind == "email" else m.span()
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if (k == len(taken) or b <= taken[k][0]) and _holds(kind, said := text[a:b]):
+                more.append((a, b, kind, canonical(kind, said)))
+        out += more
     out.sort()
     parts = {canonical("name", w) for m in PATTERNS["name"].finditer(text) for w in m[1].split(" ")}
     if not parts:
@@ -99,7 +110,31 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out + named)
 
 
+def _holds(kind: str, said: str) -> bool:
+    """Whether what looks like an entity is one: account numbers have their check digits, IPv6 addresses can be read."""
+    if kind == "iban":
+        return _mod97(said.replace(" ", "")) == 1
+    if kind == "ipv6":
+        if said.count(":") < 3 or not _DIGIT.search(said):
+            return False  # rather names of a programming language, or a time
+        try:
+            return bool(ipaddress.IPv6Address(said))
+        except ValueError:
+            return False
+    return True
+
+
+def _mod97(account: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def canonical(kind: str, said: str) -> str:
+    if kind == "iban":
+        return said.replace(" ", "")
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(said).exploded
+    if kind == "ssn":
+        return said.replace("-", "")
     if kind in ("phone", "card"):
         digits = "".join(c for c in said if c.isdigit())
         return _national(digits, said.startswith("+")) if kind == "phone" else digits
@@ -135,6 +170,8 @@ def permute(n: int, size: int, key: bytes) -> int:
 
 def _by_groups(said: str, key: bytes, fixed: frozenset[int] = frozenset()) -> str:
     """Permutes the letters and digits of said within their groups, at all but the fixed places."""
+    if len(said) > PIECE:
+        return _in_pieces(said, key, lambda part, own, i: _by_groups(part, own, frozenset(f - i for f in fixed)))
     at = [i for i, c in enumerate(said) if c in _GROUP and i not in fixed]
     n, size = 0, 1
     for i in at:
@@ -151,6 +188,17 @@ def _by_groups(said: str, key: bytes, fixed: frozenset[int] = frozenset()) -> st
     return "".join(out)
 
 
+def _in_pieces(said: str, key: bytes, permuted) -> str:
+    """permuted(piece, key, place) of each piece; a piece's key holds the pieces before it, so that long values are
+    permuted as a whole, in time that grows with their length."""
+    out = []
+    for i in range(0, len(said), PIECE):
+        part = said[i : i + PIECE]
+        out.append(permuted(part, key, i))
+        key = hmac.digest(key, part.encode(), "sha256")
+    return "".join(out)
+
+
 def _luhn(digits: str) -> int:
     """The check digit that digits call for."""
     total = 0
@@ -187,8 +235,19 @@ def surrogate(kind: str, value: str, secret: bytes, draw: int = 0) -> str:
             n = (n >> 16 << 16) | permute(n & 0xFFFF, 1 << 16, key)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
     if kind == "token":
-        n = permute(int(value, 16), 16 ** len(value), key)
-        return f"{n:0{len(value)}x}"
+        return _in_pieces(value, key, lambda part, own, _: f"{permute(int(part, 16), 16 ** len(part), own):0{len(part)}x}")
+    if kind == "iban":
+        letters = "".join(c if c.isdigit() else c.lower() for c in value[4:])
+        body = _by_groups(letters, key + value[:2].encode()).upper()
+        return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02d}{body}"
+    if kind == "ipv6":
+        n, low = int(ipaddress.IPv6Address(value)), (1 << 112) - 1
+        return ipaddress.IPv6Address((n & ~low) | permute(n & low, low + 1, key)).exploded
+    if kind == "ssn":
+        while True:
+            value = _by_groups(value, key)
+            if PATTERNS["ssn"].fullmatch(f"{value[:3]}-{value[3:5]}-{value[5:]}"):
+                return value
     if kind == "name":
         last = [i for i, c in enumerate(value) if i + 1 == len(value) or value[i + 1] == " "]
         return _by_groups(value, key, frozenset(last))
@@ -201,8 +260,11 @@ def surrogate(kind: str, value: str, secret: bytes, draw: int = 0) -> str:
 
 def spell(said: str, kind: str, value: str) -> str:
     """A canonical value in the format of said: its case and its punctuation."""
-    if kind in ("phone", "card"):
-        places = [i for i, c in enumerate(said) if c.isdigit()]
+    if kind == "ipv6":
+        short = ipaddress.IPv6Address(value).compressed if "::" in said else value
+        return short.upper() if said.upper() == said else short
+    if kind in ("phone", "card", "iban", "ssn"):
+        places = [i for i, c in enumerate(said) if c.isalnum()] if kind == "iban" else [i for i, c in enumerate(said) if c.isdigit()]
         out = list(said)
         extra = value[len(places) :] if len(value) > len(places) else ""
         for i, c in zip(places[len(places) - min(len(value), len(places)) :], value, strict=False):
@@ -228,7 +290,7 @@ class Surrogates:
             return surrogate(kind, value, self.secret, draw)
         # no free surrogate of this format: longer by what the number of the draw says
         tail = hashlib.sha256(f"{draw}/{value}".encode()).hexdigest()[:8]
-        tail = str(int(tail, 16)) if kind in ("phone", "card") else tail
+        tail = str(int(tail, 16)) if kind in ("phone", "card", "iban", "ssn") else tail
         return f"{tail}{value}" if kind == "email" else f"{value}{tail}"
 
     def replace(self, text: str, memo: dict) -> tuple[str, list[str]]:
@@ -262,7 +324,9 @@ def collisions(found: DataFrame, secret: bytes, most_draws: int = 16, rounds: in
             said = [maker.value(k, v, d) for k, v, d in arrow_rows(batch, "kind", "value", "draw")]
             yield pa.record_batch([*batch.columns, pa.array(said, pa.string())], names=[*batch.schema.names, "said"])
 
-    drawn = lambda df: df.mapInArrow(run, "kind string, value string, draw int, said string")
+    # few bytes and much work, so dealt to as many tasks as a shuffle has
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = lambda df: df.repartition(tasks).mapInArrow(run, "kind string, value string, draw int, said string")
     held = materialize(drawn(found.select("kind", "value", F.lit(0).alias("draw"))), "pii-drawn")
     taken = found.select("kind", F.col("value").alias("said"), F.lit(True).alias("real"))
     for _ in range(rounds):
@@ -290,7 +354,7 @@ def replace(docs: DataFrame, secret: bytes, most_draws: int = 16, most_held: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Surrogates(secret, known, most_draws)
-        memo = TwoGenerations(lambda kv: maker.value(*kv, known.get(kv, 0)), 100_000)
+        memo = TwoGenerations(lambda kv: maker.value(*kv, known.get(kv, 0)))
         for batch in batches:
             out = []
             for text, draws in arrow_rows(batch, "text", "draws"):
@@ -298,7 +362,7 @@ def replace(docs: DataFrame, secret: bytes, most_draws: int = 16, most_held: int
                     out.append((None, []))
                 elif draws:
                     own = {(d["kind"], d["value"]): d["draw"] for d in draws}
-                    out.append(maker.replace(text, TwoGenerations(lambda kv, own=own: maker.value(*kv, own.get(kv, known.get(kv, 0))), 100_000)))
+                    out.append(maker.replace(text, TwoGenerations(lambda kv, own=own: maker.value(*kv, own.get(kv, known.get(kv, 0))))))
                 else:
                     out.append(maker.replace(text, memo))
             cols = [batch.column(batch.schema.get_field_index("doc_id")), pa.array([t for t, _ in out], pa.string()), pa.array([len(k) for _, k in out], pa.int64()), pa.array([sorted(set(k)) for _, k in out], pa.list_(pa.string()))]
