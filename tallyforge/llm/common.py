@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -29,7 +32,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; removed when the driver ends."""
+    """A new path in the shared folder; removed when the driver ends, or by remove()."""
     path = f"{shared_root(spark)}/tallyforge/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_sweep)
@@ -48,8 +51,8 @@ def _sweep() -> None:
     for spark, path in _made:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have ended before
-            return
+        except Exception:  # noqa: BLE001  the JVM may have ended before; a path that can't be removed keeps no other
+            continue
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -92,24 +95,67 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Bytes that the memos of one Python worker may take together, by estimate.
+MEMO_BYTES = 56 << 20
+
+
+def held_bytes(x) -> int:
+    """Bytes of a string, or of tuples of strings with what they hold."""
+    return 56 + 8 * len(x) + sum(map(held_bytes, x)) if isinstance(x, tuple) else sys.getsizeof(x)
+
+
 class TwoGenerations(dict):
-    """A memo of bounded size: when full, entries of the generation before are dropped."""
+    """A memo of bounded size in bytes: when half of them are taken, entries of the generation before are dropped.
+
+    Entries of more than `largest` bytes are never kept. shared: a value that many entries have, which takes no room.
+    """
 
-    def __init__(self, make, limit: int):
+    def __init__(self, make, limit: int = MEMO_BYTES, largest: int = 1000, shared=None):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.largest, self.shared, self.old, self.taken = make, limit // 2, largest, shared, {}, 0
 
     def __missing__(self, key):
         v = self.old.get(key)
         if v is None:
             v = self.make(key)
-        if len(self) >= self.limit:
+        # an entry's place in the table takes some 75 bytes
+        size = 75 + held_bytes(key) + (0 if v is self.shared else held_bytes(v))
+        if size > self.largest:
+            return v
+        if self.taken + size > self.limit:
             self.old = dict(self)
             self.clear()
+            self.taken = 0
+        self.taken += size
         self[key] = v
         return v
 
 
+_worker: dict = {}
+
+
+def worker_wide(key, make):
+    """What make() gives, kept for later tasks of this Python worker; what another key left there goes first."""
+    if key not in _worker:
+        if _worker:
+            _worker.clear()
+            gc.collect()
+            _give_back()
+        _worker[key] = make()
+    return _worker[key]
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, which allocators otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def arrow_rows(batch, *names: str) -> Iterator[tuple]:
-    """Rows of an Arrow batch as tuples of the named columns."""
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
+    """Rows of an Arrow batch as tuples of the named columns, made a part at a time."""
+    at = [batch.schema.get_field_index(n) for n in names]
+    for i in range(0, batch.num_rows, 1024):
+        yield from zip(*(batch.column(k).slice(i, 1024).to_pylist() for k in at), strict=True)

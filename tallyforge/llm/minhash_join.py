@@ -10,7 +10,8 @@ instead of being emitted as rows. Components of the verified links are the class
 Result, a row per row of docs: class_id (least doc_id of the class) and n_links (different texts, copies not counted,
 whose similarity to this row's text is at least the threshold).
 
-Defined cases: null texts are empty; texts without words only match copies; null doc_ids never give a class its id
+Defined cases: null texts are empty; texts without words only match copies; very long texts are shingled whole, and blocks
+that hold them hold fewer texts; null doc_ids never give a class its id
 unless all are null; repeated rows are copies; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations, arrow_rows, fresh, materialize, small
+from .common import MEMO_BYTES, TwoGenerations, arrow_rows, fresh, materialize, small
 from .components import connected
 
 #: Odd 64-bit multipliers of the shingle hash, by position.
@@ -54,11 +55,11 @@ def _finish(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit hashes of the word shingles of a text, in order."""
 
-    def __init__(self, n: int, memo: int = 400_000):
+    def __init__(self, n: int):
         import xxhash
 
         self.n = n
-        self.word = TwoGenerations(xxhash.xxh3_64_intdigest, memo)
+        self.word = TwoGenerations(xxhash.xxh3_64_intdigest, MEMO_BYTES // 2)
         self.factor = [np.uint64((MIX * (2 * k + 1)) % 2**64) for k in range(n)]
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -102,12 +103,13 @@ def _sketcher(n: int, bands: int, rows: int):
         shingler, signer = Shingler(n), Signer(bands, rows)
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            made = []
+            made, size = [], []
             for t in text:
                 s = shingler(t.as_py())
+                size.append(len(s))
                 made.append(signer(s) if len(s) else None)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "digest")]
-            yield pa.record_batch([*cols, pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+            yield pa.record_batch([*cols, pa.array(made, pa.list_(pa.int64())), pa.array(size, pa.int64())], names=["doc_id", "digest", "bands", "size"])
 
     return run
 
@@ -205,11 +207,11 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketch = source.mapInArrow(_sketcher(n, bands, rows), f"doc_id {kind}, digest binary, bands array<long>")
+    sketch = source.mapInArrow(_sketcher(n, bands, rows), f"doc_id {kind}, digest binary, bands array<long>, size long")
     sketch = materialize(sketch.withColumn("row", F.monotonically_increasing_id()), "sketch")
     # one node per text; null doc_ids come last
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    nodes = materialize(sketch.groupBy("digest").agg(lead.alias("lead"), F.first("bands").alias("bands")).select("digest", F.col("lead.row").alias("node"), F.col("lead.doc_id").alias("lead_id"), "bands"), "nodes")
+    nodes = materialize(sketch.groupBy("digest").agg(lead.alias("lead"), F.first("bands").alias("bands"), F.first("size").alias("size")).select("digest", F.col("lead.row").alias("node"), F.col("lead.doc_id").alias("lead_id"), "bands", "size"), "nodes")
     edges = _bucket_edges(nodes)
     clusters = connected(edges, "node", "pivot")
     links = materialize(_verified(source, nodes, clusters, threshold, n, block), "links")
@@ -229,10 +231,12 @@ def _bucket_edges(nodes: DataFrame) -> DataFrame:
     return in_bucket.join(least, ["band", "hash"]).where("node != pivot").select("node", "pivot").distinct()
 
 
-def _verified(source: DataFrame, nodes: DataFrame, clusters: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
+def _verified(source: DataFrame, nodes: DataFrame, clusters: DataFrame, threshold: float, n: int, block: int, most_shingles: int = 1 << 21) -> DataFrame:
     """(node, links, peer): verified links counted per node, each with a node of the same class, from each two blocks."""
-    held = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("held"))
-    member = clusters.join(held, "root").withColumn("blocks", F.ceil(F.col("held") / block).cast("int"))
+    sized = nodes.select("node", "size").join(small(clusters), "node")
+    # neither too many texts in a block nor too many shingles
+    held = sized.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / most_shingles)).cast("int").alias("blocks"))
+    member = clusters.join(small(held), "root")
     member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     member = materialize(member.join(nodes.select("node", "digest"), "node").select("digest", "node", F.col("root").alias("cluster"), "blocks", "block"), "members")
     texts = source.join(small(member), "digest").dropDuplicates(["node"])

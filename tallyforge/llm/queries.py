@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +35,18 @@ def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), memo_bytes=112 << 20)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op3_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_surrogates.replace(table(spark, sf_dir, "documents"), secret=b"tallyforge production key 1")
+    return pii_surrogates.replace(table(spark, sf_dir, "documents"), secret=surrogate_key(spark))
+
+
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The secret that the session's configuration names; without one a secret of this run, which nobody keeps."""
+    said = spark.conf.get("spark.tallyforge.surrogateKey", None)
+    return said.encode() if said else secrets.token_bytes(32)
 
 
 def op4_streaming_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,14 @@ of them, chosen by a hash; character counts cover every document.
 
 Defined cases: null and empty texts get the score of a text without any evidence; labels that are null are left out;
 without both kinds of labels every score is the share of toxic labels (0.5 without labels); repeated rows are scored
-each; an empty table gives no rows; other columns are ignored.
+each; very long texts are scored whole, and very long words are decoded but not remembered; equally good readings (ties)
+go to the first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations, arrow_rows, fresh, materialize
+from .common import MEMO_BYTES, TwoGenerations, arrow_rows, fresh, materialize, worker_wide
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
 #: Class 0 is a boundary, the last class any other letter.
@@ -176,9 +177,9 @@ def decode(readings: list[list[tuple[str, float]]], model: list[float]) -> str:
 class Restorer:
     """Restored words of whitespace-separated words, from a memo of bounded size."""
 
-    def __init__(self, model: np.ndarray, memo: int = 300_000):
+    def __init__(self, model: np.ndarray, memo_bytes: int = MEMO_BYTES):
         self.model = model.ravel().tolist()
-        self.memo = TwoGenerations(lambda w: (self.read(w), self.kind(w)), memo)
+        self.memo = TwoGenerations(lambda w: (self.read(w), self.kind(w)), memo_bytes)
 
     @staticmethod
     def kind(word: str) -> str:
@@ -233,16 +234,9 @@ class Restorer:
         return " ".join(w for ws in self.words(text) for w in ws)
 
 
-_shared: dict[int, Restorer] = {}
-
-
 def shared_restorer(model: np.ndarray) -> Restorer:
     """One restorer with its memo for all tasks of a Python worker, that of the model at hand."""
-    key = zlib.crc32(model.tobytes())
-    if key not in _shared:
-        _shared.clear()
-        _shared[key] = Restorer(model)
-    return _shared[key]
+    return worker_wide(("restorer", hashlib.sha256(model.tobytes()).digest()), lambda: Restorer(model))
 
 
 # --- scores ------------------------------------------------------------------------------------------------------
@@ -291,6 +285,46 @@ def evidence(words: tuple[str, ...], weights: dict[str, float], lengths: list[in
     return tuple(out)
 
 
+#: What most words have: no evidence, and no part in a spaced word.
+NOTHING: tuple = ((), "x")
+
+
+class Finder:
+    """Evidence of texts, from a memo of that of each word: what Restorer.words gives, but only where it counts."""
+
+    def __init__(self, model: Model):
+        self.weights, self.lengths, self.restorer = model.weights, model.lengths, Restorer(model.characters, MEMO_BYTES // 16)
+        self.memo = TwoGenerations(self._own, MEMO_BYTES * 15 // 16, shared=NOTHING)
+
+    def _own(self, word: str) -> tuple[tuple[str, ...], str]:
+        found, kind = evidence(self.restorer.read(word), self.weights, self.lengths), Restorer.kind(word)
+        return (found, kind) if found or kind != "x" else NOTHING
+
+    def __call__(self, text: str | None) -> list[str]:
+        """The distinct features of the text, in order."""
+        words = (text or "").split()
+        known = list(map(self.memo.__getitem__, words))
+        kinds = "".join([kind for _, kind in known])
+        hits: set[str] = set()
+        spaced = list(_SPACED.finditer(kinds))
+        if spaced:
+            known = [found for found, _ in known]
+            for a, b in (m.span() for m in spaced):
+                for c, d in (m.span() for m in _LONE.finditer(kinds, a, b)):
+                    known[c:d] = [self.memo[" ".join(words[c:d])][0], *[()] * (d - c - 1)]
+                hits.update(self.memo[" ".join(words[a:b])][0])
+            hits.update(*known)
+        else:
+            hits.update(*{found for found, _ in known})
+        return sorted(hits)
+
+
+def shared_finder(model: Model) -> Finder:
+    """One finder with its memo for all tasks of a Python worker, that of the model at hand."""
+    said = hashlib.sha256(model.characters.tobytes() + repr(sorted(model.weights.items())).encode()).digest()
+    return worker_wide(("finder", said), lambda: Finder(model))
+
+
 def _restored(docs: DataFrame, characters: np.ndarray) -> DataFrame:
     """y and the distinct restored words of each row."""
 
@@ -319,7 +353,7 @@ def select_features(restored: DataFrame, least: int = 4, z: float = 4.5, beginni
     them."""
     n1, n0 = restored.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     if not n1 or not n0:
-        return []
+        return {}
     def begun(n: int):
         return F.transform(F.filter("words", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
 
@@ -364,23 +398,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, score, predicted, evidence (features found), and restored (text) if asked for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    characters, weights, lengths = model.characters, model.weights, model.lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = shared_restorer(characters)
-        found = TwoGenerations(lambda ws: evidence(ws, weights, lengths), 300_000)
+        finder = shared_finder(model)
         for batch in batches:
             scores, held, said = [], [], []
             for (t,) in arrow_rows(batch, "text"):
-                words = restorer.words(t)
-                hits: set[str] = set()
-                for f in map(found.__getitem__, set(words)):
-                    if f:
-                        hits.update(f)
-                held.append(sorted(hits))
+                held.append(finder(t))
                 scores.append(model.score(held[-1]))
                 if with_text:
-                    said.append(" ".join(w for ws in words for w in ws))
+                    said.append(finder.restorer.text(t))
             cols = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(held, pa.list_(pa.string()))]
             yield pa.record_batch(cols + [pa.array(said, pa.string())] * with_text, names=["doc_id", "score", "predicted", "evidence", "restored"][: 4 + with_text])
 
@@ -390,18 +417,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """The rows of docs that aren't predicted toxic, all columns, in one pass over the texts."""
-    characters, weights, lengths = model.characters, model.weights, model.lengths
-    (mark,) = fresh(docs.columns, "judged_text")
+    said = docs.schema["text"].dataType.simpleString() == "string"
+    mark = "text" if said else fresh(docs.columns, "judged_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = shared_restorer(characters)
-        found = TwoGenerations(lambda ws: evidence(ws, weights, lengths), 300_000)
+        finder = shared_finder(model)
         for batch in batches:
-            keep = []
-            for (t,) in arrow_rows(batch, mark):
-                hits = {f for fs in map(found.__getitem__, set(restorer.words(t))) for f in fs}
-                keep.append(model.score(sorted(hits)) < threshold)
+            keep = [model.score(finder(t)) < threshold for (t,) in arrow_rows(batch, mark)]
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield kept.select([c for c in kept.schema.names if c != mark])
+            yield kept if said else kept.select([c for c in kept.schema.names if c != mark])
 
-    return docs.withColumn(mark, F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    # texts of another type travel as strings beside it
+    return (docs if said else docs.withColumn(mark, F.col("text").cast("string"))).mapInArrow(run, docs.schema)

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,8 @@ import pytest
 
 import corpus_pipeline
 from tallyforge.llm import chat_format, crf, exact_dedup, line_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, pii_surrogates, queries, toxicity
-from tallyforge.llm.common import TwoGenerations, fresh
+from tallyforge.llm import common
+from tallyforge.llm.common import TwoGenerations, fresh, worker_wide
 
 from ..conftest import duck_rows, rows_of
 from .cases import CLASHING, SCHEMA, edge_docs, edge_rows, no_docs, words
@@ -119,6 +121,29 @@ def test_doubled_letters_alone_are_read_as_the_lattice_would(toxic_model):
             assert restorer.read(word) == (toxicity.decode(toxicity.lattice(word), restorer.model),)
 
 
+def test_finder_has_the_evidence_of_the_restored_words(toxic_model):
+    restorer, finder, rng = toxicity.Restorer(toxic_model.characters), toxicity.Finder(toxic_model), random.Random(6)
+    parts = ["idiot", "m0r0n", "i", "d", "o", "t,", "(i", "id", "ot", "scum", "$cumbag", "a!", "x" * 200, "mor", "on", "", "then"]
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        want = {f for ws in restorer.words(text) for f in toxicity.evidence(ws, toxic_model.weights, toxic_model.lengths)}
+        assert finder(text) == sorted(want), text
+
+
+def test_registered_toxicity_scores_as_its_model_says(spark, sf_dir):
+    """Folds, columns and scores of the registered query, from the evidence that it returns."""
+    got = queries.QUERIES["op1_noisy_channel_toxicity"](spark, sf_dir)
+    docs, labels = (queries.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3
+    model = toxicity.fit(docs, labels.where(F.col("doc_id").isin([r.doc_id for r in labels.collect() if fold(r.doc_id) != 1])))
+    restorer, text = toxicity.Restorer(model.characters), {r.doc_id: r.text for r in docs.collect()}
+    rows = got.collect()
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and sorted(r.doc_id for r in rows) == sorted(text)
+    for r in rows:
+        found = sorted({f for ws in restorer.words(text[r.doc_id]) for f in toxicity.evidence(ws, model.weights, model.lengths)})
+        assert r.held_out == (fold(r.doc_id) == 1) and list(r.evidence) == found and r.score == pytest.approx(model.score(found)) and r.predicted == int(r.score >= 0.7)
+
+
 def test_toxicity_edges(spark, docs, toxic_model):
     got = {(r.doc_id, r.score) for r in toxicity.score(docs, toxic_model).collect()}
     assert len(toxicity.score(docs, toxic_model).collect()) == docs.count() and all(0 <= s <= 1 for _, s in got)
@@ -161,6 +186,16 @@ def test_packing_holds_every_token_once(spark, docs):
     assert packing.pack(no_docs(spark), path).count() == 0
 
 
+def test_packing_takes_any_id_and_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    df = spark.createDataFrame([("a", "It's <|endoftext|> B  c\n"), (None, "Ünï")], "doc_id string, text string")
+    for path in (queries.word_tokenizer(), queries.byte_tokenizer()):
+        tok = Tokenizer.from_file(path)
+        got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in packing.pack(df, path).collect()}
+        assert got == {r.doc_id: [*tok.encode(r.text, add_special_tokens=False).ids, 1] for r in df.collect()}
+
+
 @pytest.mark.parametrize("lengths", [[], [1], [5, 5, 5], [64] * 4, [200, 3, 1, 64, 63, 65], list(range(1, 90))])
 def test_balance(lengths):
     out = packing.balance(lengths, 64)
@@ -178,7 +213,7 @@ def test_chunk_tokenizer_is_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = queries.word_tokenizer()
-    ours, theirs = packing.ChunkTokenizer(path, memo=500), Tokenizer.from_file(path)
+    ours, theirs = packing.ChunkTokenizer(path, memo_bytes=100_000), Tokenizer.from_file(path)
     rng = random.Random(3)
     texts = ["It's <|endoftext|> DON'T\x1c we'LL İ é É ǅ ſß ΑΣ 你好\x00 \xa0x ²½ a\xadb ª", "<|ENDOFTEXT|> <|startoftext|>", "é Å"]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x250), rng.randrange(0x250, 0x3000), 32])) for _ in range(60)) for _ in range(400)]
@@ -229,6 +264,28 @@ def test_telephone_numbers_of_all_languages_are_found(said):
     assert text[found[0] : found[1]] == said and found[2] == "phone"
 
 
+@pytest.mark.parametrize(("said", "kind"), [("f3" * 70, "token"), ("AB12" * 2000, "token"), ("x" * 90 + ".y@mail.example.org", "email"), ("DE89 3704 0044 0532 0130 00", "iban"), ("GB82WEST12345698765432", "iban"), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ipv6"), ("fe80::1ff:fe23:4567:890a", "ipv6"), ("123-45-6789", "ssn")])
+def test_entities_are_found_whole(spark, said, kind):
+    text = f"it is -{said}, they say" if kind == "email" else f"it is {said}, they say"
+    (found,) = pii_surrogates.find(text)
+    assert text[found[0] : found[1]] == said and found[2] == kind
+    (r,) = pii_surrogates.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").collect()
+    (now,) = pii_surrogates.find(r.text)
+    assert now[2] == kind and now[3] != found[3] and said not in r.text and (kind == "ipv6" or now[1] - now[0] == len(said))
+
+
+def test_finding_takes_time_in_proportion():
+    text = " ".join(f"user{i}@mail{i % 7}.example.com 10.0.{i % 250}.{i % 199}" for i in range(10_000))
+    began = time.process_time()
+    assert len(pii_surrogates.find(text)) == 20_000 and not pii_surrogates.find("a." * 200_000 + " " + "ab" * 200_000)
+    assert time.process_time() - began < 5
+
+
+def test_accounts_and_addresses_that_do_not_hold_stay():
+    for text in ("GB83 WEST TEST ABCD EFGH", "12:30:45", "a::b::c", "std::string", "000-12-3456", "1234-56-7890"):
+        assert pii_surrogates.find(text) == [], text
+
+
 def test_dates_and_numbers_are_no_telephone_numbers():
     for text in ("01.02.2024 10:30", "2024-01-02 03:04:05", "0.123456789", "1732723200", "700 000 000", "12 34 56 78 90"):
         assert pii_surrogates.find(text) == [], text
@@ -277,6 +334,26 @@ def test_exact_dedup(docs, weak):
     assert stay.columns == docs.columns and Counter(r.doc_id for r in stay.collect()) == kept
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path, weak):
+    """Three increments: each is judged against all before it, whose texts are compared on hits."""
+    digest = (lambda t: F.substring(exact_dedup.sha256(t), 1, 1)) if weak else exact_dedup.sha256
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["same", "Same", "other text", None, "", f"only {i}"])) for i in range(90)]
+    path, before = str(tmp_path / "state"), None
+    for k in range(3):
+        df = spark.createDataFrame([(*r, "c") for r in rows[30 * k : 30 * k + 30]], "doc_id long, text string, digest string")
+        got = exact_dedup.verdicts(df, digest, state_path=path, earlier=before).collect()
+        seen = {}
+        for i, t in rows[: 30 * k + 30]:
+            seen.setdefault((t or "").translate(LOW), []).append(i)
+        want = {i: (max(g), len(g), i == max(g)) for g in seen.values() for i in g if i >= 30 * k}
+        assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == want and len(got) == 30
+        before = df if before is None else before.unionByName(df)
+    again = exact_dedup.verdicts(df.where("false"), digest, state_path=path, earlier=before)
+    assert again.count() == 0
+
+
 def test_exact_dedup_of_nothing(spark):
     assert exact_dedup.verdicts(no_docs(spark)).count() == 0 and exact_dedup.deduplicate(no_docs(spark)).count() == 0
 
@@ -407,7 +484,7 @@ def test_line_classes(spark):
             lines.append("".join(x))
     rows = [(i, "\n".join(rng.sample(lines, 6) + ["", " ", "short"])) for i in range(20)] + [(3, None), (None, lines[0]), (50, "")]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, line string")
-    got = line_dedup.classes(df, 2, 16).collect()
+    got = line_dedup.classes(df, 2, 16, block=4).collect()
     held = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if split_words(x)]
     unique = sorted({x for _, _, x in held})
     link = {x: [y for y in unique if y != x and len(x) >= 16 and len(y) >= 16 and plain_distance(x, y) <= 2] for x in unique}
@@ -427,15 +504,22 @@ def test_line_classes(spark):
     assert line_dedup.classes(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize(("threshold", "few"), [(2, False), (1, False), (2, True)])
-def test_short_lines_are_joined_too(spark, threshold, few):
+def test_line_dedup_keeps_lines_of_rows_that_share_an_id(spark):
+    rows = [(9, "one line of the ninth text\nshared by all of them"), (9, "only here, quite unlike others\nshared by all of them!"), (None, "a text without a name"), (None, "a line of another nameless text\nonly hare, quite unlike others")]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = [x for r in got for x in r.text.split("\n") if x]
+    assert len(got) == 4 and sorted(x[:15] for x in held) == sorted(["one line of the", "shared by all o", "only here, quit", "a text without ", "a line of anoth"])
+
+
+@pytest.mark.parametrize(("threshold", "few", "block"), [(2, False, 256), (1, False, 2), (2, True, 3)])
+def test_short_lines_are_joined_too(spark, threshold, few, block):
     """few: without tiny lines, so that classes stay apart."""
     rng = random.Random(5)
     lines = ["The thertion.", "The, thertion.", "With and.", "With, and.", "Share this", "Share this!", "With and."]
     lines += ["".join(rng.choice("abcdefghij") for _ in range(n)) for n in range(4 if few else 1, 13) for _ in range(9)]
     lines += [x[:3] + x[4:] + "k" for x in lines[7::3] if len(x) > 6] + ([] if few else ["é", "a.", "qz", "b", "axby"])
     rows = list(enumerate("\n".join(lines[i::7]) for i in range(7)))
-    got = line_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()
+    got = line_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), threshold, block=block).collect()
     held = [(i, k, x) for i, t in rows for k, x in enumerate(t.split("\n"))]
     unique = sorted({x for _, _, x in held})
     link = {x: [y for y in unique if y != x and plain_distance(x, y) <= threshold] for x in unique}
@@ -467,7 +551,7 @@ def test_short_lines_of_the_tables_are_joined(spark, sf_dir):
 @pytest.mark.parametrize("order", [1, 3, 6])
 def test_scores_against_plain_model(spark, docs, order):
     train = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 != 0
-    got = lm_scoring.score(docs, train, order=order, block_bytes=40_000).collect()
+    got = lm_scoring.score(docs, train, order=order, block_bytes=20_000, most_tasks=3, most_blocks=3, most_shards=5).collect()
     own = [(r[0], [w.encode() for w in split_words((r[1] or "").translate(LOW))]) for r in edge_rows()]
     learnt = [w for i, w in own if zlib.crc32(b"" if i is None else str(i).encode()) % 3 != 0]
     tokens = Counter(t for w in learnt for t in [*w, b"\n"])
@@ -488,15 +572,14 @@ def test_scores_against_plain_model(spark, docs, order):
         s = b"\n" + b" ".join(w) + b"\n"
         score = sum(math.log10(p(s[max(0, j - order + 1) : j], s[j])) for j in range(1, len(s)))
         base = sum(math.log10((tokens[t] + 0.1) / (n + 0.1 * (v + 1))) for t in [*w, b"\n"])
-        return len(w) + 1, sum(tokens[t] > 0 for t in [*w, b"\n"]), n, round(base, 6), round(score, 6)
+        return len(w) + 1, sum(tokens[t] > 0 for t in [*w, b"\n"]), n, base, score
 
-    short = [(i, w) for i, w in own if len(w) < 1000]
-    want = Counter((i, *facts(w)) for i, w in short)
-    have = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got if r.n_tokens < 1000)
-    assert have == want and len(got) == len(own)
+    tidy = lambda i, n, k, t, base, score: (i, n, k, t, float(f"{base:.9g}"), float(f"{score:.9g}"))
+    want = Counter(tidy(i, *facts(w)) for i, w in own)
+    assert Counter(tidy(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got) == want
 
 
-def test_probabilities_sum_to_one():
+def test_contexts_of_grams():
     k, c = lm_scoring.grams_of([b"ab ab\n", b"abc\n", b"\n"], 4)
     after = {}
     for key, n in zip(k.tolist(), c.tolist(), strict=True):
@@ -505,8 +588,25 @@ def test_probabilities_sum_to_one():
             h = ((key & ((1 << 56) - 1)) >> 8) + ((size - 1) << 56)
             a, b = after.get(h, (0, 0))
             after[h] = (a + 1, b + n)
-    at = [after.get(x, (0, 0)) for x in k.tolist()]
-    machine = lm_scoring.Automaton(k, c, np.array([a for a, _ in at]), np.array([b for _, b in at]), 4)
+    assert set(after) == set(lm_scoring.context_of(k).tolist()) - {0} and (lm_scoring.unpacked(lm_scoring.packed(k)) == k).all()
+    context = lm_scoring.context_of(k).tolist()
+    assert all(after[h] == (context.count(h), sum(n for n, x in zip(c.tolist(), context, strict=True) if x == h)) for h in after)
+
+
+def test_grams_do_not_depend_on_windows():
+    texts = [r[1].encode() + b"\n" for r in edge_rows() if r[1]] + [b"\n", b"a\n"]
+    whole = lm_scoring.grams_of(texts[:6] + texts[-2:], 6)
+    for window in (1, 7, 1000):
+        part = lm_scoring.grams_of(texts[:3] + texts[-2:], 6, window) if window == 1 else lm_scoring.grams_of(texts[:6] + texts[-2:], 6, window)
+        want = lm_scoring.grams_of(texts[:3] + texts[-2:], 6) if window == 1 else whole
+        assert (part[0] == want[0]).all() and (part[1] == want[1]).all()
+
+
+def test_probabilities_sum_to_one():
+    k, c = lm_scoring.grams_of([b"ab ab\n", b"abc\n", b"\n"], 4)
+    context = lm_scoring.context_of(k)
+    held = np.unique(context[context > 0])
+    machine = lm_scoring.Automaton(k, c, held, np.array([(context == x).sum() for x in held]), np.array([c[context == x].sum() for x in held]), 4)
     for state in range(len(machine.fail)):
         _, w = machine.step(np.full(256, state, np.int32), np.arange(256, dtype=np.uint8))
         assert (10.0**w).sum() == pytest.approx(1)
@@ -610,8 +710,11 @@ def test_overlaps():
 
 def test_memo_and_names():
     calls = []
-    memo = TwoGenerations(lambda k: calls.append(k) or k * 2, 3)
-    assert [memo[k] for k in (1, 2, 3, 1, 4, 1)] == [2, 4, 6, 2, 8, 2] and len(memo) <= 4
+    memo = TwoGenerations(lambda k: calls.append(k) or k * 2, 1600)
+    assert [memo[k] for k in ("a", "b", "c", "a", "d", "e", "f", "a", "b")] == ["aa", "bb", "cc", "aa", "dd", "ee", "ff", "aa", "bb"]
+    assert len(memo) + len(memo.old) <= 8 and calls.count("a") == 1
+    assert memo["x" * 900] == "x" * 1800 and "x" * 900 not in memo
+    assert worker_wide("one", list) is worker_wide("one", list) and worker_wide("two", dict) == {} and len(common._worker) == 1
     assert fresh(["A", "b", "_b"], "a", "b", "c") == ["_a", "__b", "c"]
 
 
