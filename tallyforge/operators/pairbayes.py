@@ -2,7 +2,8 @@
 
 Counts are a sparse table (i, bi, l, bl, k, cnt); cells that aren't there stand for the prior of one row per class.
 Scoring looks cells up pair by pair: the table of one pair of features has at most (resol + 1)^2 rows, whatever the
-input, so these are broadcast and a row is scored where it lies. With many features rows are unpivoted and joined.
+input, so these are broadcast, if they are counted to be small, and a row is scored where it lies. With many features and
+a key of the rows these are unpivoted and joined.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from ..session import cut
 
 CELL = ["i", "bi", "l", "bl"]
-#: Up to so many pairs of features a row is scored in place; each is a broadcast join.
+#: Up to so many pairs of features a row is scored in place unasked; each is a join of its own.
 IN_PLACE_PAIRS = 66
+#: Cells are broadcast up to so many bytes of scores in all; larger ones are joined as Spark sees fit.
+BROADCAST_BYTES = 128 << 20
 
 
 @dataclass(frozen=True)
@@ -125,14 +128,17 @@ def cell_scores(net: DataFrame, n_classes: int, weights: DataFrame | None = None
     return cells.select(*CELL, F.array(*score).alias("s"))
 
 
-def add_scores(df: DataFrame, n: int, cells: DataFrame, n_classes: int, key: str | None = None) -> DataFrame:
-    """df with scores, an array of one log score a class. key names rows if there are many features."""
+def add_scores(df: DataFrame, n: int, cells: DataFrame, n_classes: int, key: str | None = None, in_place: bool = False) -> DataFrame:
+    """df with scores, an array of one log score a class. If there are many features, key names rows, for one join of all
+    pairs, or in_place asks for a join a pair, which streams need."""
     blank = F.array(*[F.lit(0.0) - F.ln(F.lit(float(n_classes)))] * n_classes)
-    if len(pairs_of(n)) <= IN_PLACE_PAIRS:
+    cells = cut(cells)
+    if in_place or len(pairs_of(n)) <= IN_PLACE_PAIRS:
+        fits = cells.count() * (n_classes + len(CELL)) * 8 <= BROADCAST_BYTES
         out, names = df, []
         for p, (i, j) in enumerate(pairs_of(n)):
             part = cells.where((F.col("i") == i) & (F.col("l") == j)).select(F.col("bi").alias(f"b{i}"), F.col("bl").alias(f"b{j}"), F.col("s").alias(f"__s{p}"))
-            out = out.join(F.broadcast(part), [f"b{i}", f"b{j}"], "left")
+            out = out.join(F.broadcast(part) if fits else part, [f"b{i}", f"b{j}"], "left")
             names.append(f"__s{p}")
         total = [F.lit(0.0) for _ in range(n_classes)]
         for s in names:
@@ -140,7 +146,7 @@ def add_scores(df: DataFrame, n: int, cells: DataFrame, n_classes: int, key: str
             total = [t + held[k] for k, t in enumerate(total)]
         return out.withColumn("scores", F.array(*total)).drop(*names)
     if key is None:
-        raise ValueError("a key of the rows is needed to score so many features")
+        raise ValueError("a key of the rows is needed to score so many features, or in_place=True")
     long = _exploded(df, n, key).join(cells, CELL, "left").withColumn("s", F.coalesce("s", blank))
     summed = long.groupBy(key).agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(n_classes)))
     return df.join(summed.select(key, F.array(*(f"s{k}" for k in range(n_classes))).alias("scores")), key)
@@ -201,15 +207,15 @@ class PairModel:
             raise ValueError(f"features not found: {', '.join(gone)}")
         return df
 
-    def score(self, df: DataFrame, key: str | None = None) -> DataFrame:
+    def score(self, df: DataFrame, key: str | None = None, in_place: bool = False) -> DataFrame:
         """df with bins, scores, predicted (class number)."""
         cells = cell_scores(self.net, len(self.classes), self.weights)
-        out = add_scores(binned(self.check(df), self.bins, self.config.resol), self.n, cells, len(self.classes), key)
+        out = add_scores(binned(self.check(df), self.bins, self.config.resol), self.n, cells, len(self.classes), key, in_place)
         return out.withColumn("predicted", best_class(F.col("scores")))
 
-    def transform(self, df: DataFrame, key: str | None = None) -> DataFrame:
+    def transform(self, df: DataFrame, key: str | None = None, in_place: bool = False) -> DataFrame:
         """df with Prediction (the class's name) and Confidence (its probability)."""
-        out = self.score(df, key)
+        out = self.score(df, key, in_place)
         name = F.element_at(F.array(*(F.lit(str(c)) for c in self.classes)), F.col("predicted"))
         best = F.array_max(posteriors(F.col("scores")))
         return out.withColumn("Prediction", name).withColumn("Confidence", best).drop("scores", "predicted", *(f"b{i}" for i in range(self.n)))
@@ -269,7 +275,7 @@ def long_scores(scored: DataFrame, keys: list[str], values: Column) -> DataFrame
 def decode(df: DataFrame, code: str, book: DataFrame, name: str = "decoded") -> DataFrame:
     """df with the name of a code from book (code, name), Class_{code} where it has none."""
     book = book.select(F.col("code").alias("__code"), F.col("name").alias("__name"))
-    return df.join(F.broadcast(book), F.col(code) == F.col("__code"), "left").withColumn(name, F.coalesce("__name", F.concat(F.lit("Class_"), F.col(code).cast("string")))).drop("__code", "__name")
+    return df.join(book, F.col(code) == F.col("__code"), "left").withColumn(name, F.coalesce("__name", F.concat(F.lit("Class_"), F.col(code).cast("string")))).drop("__code", "__name")
 
 
 def confusion(df: DataFrame, actual: str, predicted: str, classes: list | None = None) -> DataFrame:

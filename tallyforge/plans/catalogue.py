@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 
 from ..functions import expr, features
 from ..operators import adaptive, graph, metrics, modality, pairbayes, selection, stats
-from ..session import shared_path
+from ..session import cut, shared_path
 from ..sources import writers
 from .core_sql import with_core
 
@@ -42,7 +42,7 @@ def line_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, pairbayes.P
     rows = table(spark, sf_dir, "lineitem").select(*LINE_FEATURES, LINE_LABEL)
     model = pairbayes.initialise(rows, LINE_FEATURES, LINE_LABEL, LINE_CONFIG)
     rows = rows.withColumn("k", pairbayes.class_number(F.col(LINE_LABEL), model.classes))
-    model.net = pairbayes.pair_counts(pairbayes.binned(rows, model.bins, RESOL), len(LINE_FEATURES), F.col("k"))
+    model.net = cut(pairbayes.pair_counts(pairbayes.binned(rows, model.bins, RESOL), len(LINE_FEATURES), F.col("k")))
     return rows, model
 
 

@@ -13,8 +13,8 @@ from ..operators.pairbayes import CELL, PairModel, binned, class_number, pairs_o
 
 
 def score_stream(stream: DataFrame, model: PairModel) -> DataFrame:
-    """The stream with Prediction and Confidence."""
-    return model.transform(stream)
+    """The stream with Prediction and Confidence; rows are scored in place, whatever the number of features."""
+    return model.transform(stream, in_place=True)
 
 
 def count_stream(stream: DataFrame, model: PairModel) -> DataFrame:

@@ -61,6 +61,23 @@ def test_unpivoted_scores_agree(data, monkeypatch):
         model.score(df)
 
 
+def test_many_features_are_scored_in_place(spark):
+    names = [f"f{i}" for i in range(13)]
+    df = spark.range(60).select("id", *(F.pmod(F.hash("id", F.lit(i)), F.lit(9)).cast("double").alias(c) for i, c in enumerate(names)), F.pmod("id", F.lit(2)).alias("label"))
+    model = pairbayes.fit(df, names, "label", pairbayes.ModelConfig(resol=3, max_epochs=0), key="id")
+    want = {r.id: r.scores for r in model.score(df, "id").collect()}
+    assert {r.id: pytest.approx(r.scores) for r in model.score(df, in_place=True).collect()} == want
+
+
+@pytest.mark.parametrize("most", [0, pairbayes.BROADCAST_BYTES])
+def test_scores_do_not_depend_on_broadcasts(data, monkeypatch, most):
+    _, df = data
+    model = pairbayes.fit(df, FEATURES, "label", pairbayes.ModelConfig(resol=8, max_epochs=0))
+    want = {r.id: r.scores for r in model.score(df).collect()}
+    monkeypatch.setattr(pairbayes, "BROADCAST_BYTES", most)
+    assert {r.id: pytest.approx(r.scores) for r in model.score(df).collect()} == want
+
+
 def test_counts_add_up(data):
     _, df = data
     model = pairbayes.fit(df, FEATURES, "label", pairbayes.ModelConfig(resol=5, max_epochs=0))
