@@ -145,6 +145,45 @@ quota AS (
 SELECT doc_id, domain, lang, source, CAST(least(2, epochs + CASE WHEN upto <= room THEN 1 ELSE 0 END) AS BIGINT) AS copies FROM run
 """
 
+#: Of each turn the template takes 23 characters, and each place where `<` and `|` meet or backslashes part them one more.
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS turns,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), '') AS loss,
+         sum(23 + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+OP10_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS id FROM documents GROUP BY coalesce(text, '')
+), worded AS (
+  SELECT id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM texts
+), shingles AS (
+  SELECT DISTINCT id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM worded
+), sizes AS (SELECT id, count(*) AS n FROM shingles GROUP BY id),
+met AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS m FROM shingles a JOIN shingles b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id
+), links AS (
+  SELECT a, b FROM met JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b WHERE 10 * m >= 8 * (x.n + y.n - m)
+), reach AS (
+  SELECT id, id AS other FROM texts UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), classes AS (SELECT id, min(other) AS class_id FROM reach GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
+SELECT d.doc_id, c.class_id, coalesce(n.n_links, 0) AS n_links
+FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes c ON c.id = t.id LEFT JOIN counts n ON n.id = t.id
+"""
+
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
@@ -158,4 +197,9 @@ QUERIES = {
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
 }
 
-SQL = {"op9_hierarchical_mixing": OP9_SQL, "op4_streaming_exact_dedup": OP4_SQL}
+SQL = {
+    "op4_streaming_exact_dedup": OP4_SQL,
+    "op5_offset_aligned_chat": OP5_SQL,
+    "op9_hierarchical_mixing": OP9_SQL,
+    "op10_minhash_jaccard_join": OP10_SQL,
+}
