@@ -5,9 +5,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
+from ..operators.ranks import held_before
+
 #: What stands for missing data, the value put in its place, and names of a target column.
 MISSING = ["", "NA", "N/A", "null", "NULL", "None", "NaN", "nan", "ERROR", "error", "MISSING", "missing"]
 SENTINEL = -99999.0
@@ -62,7 +64,7 @@ def codes(df: DataFrame, name: str, fill: str | None = None) -> DataFrame:
     """(value, code): distinct values in sorted order from 0; NULL is left out unless fill stands for it."""
     c = F.col(f"`{name}`").cast("string")
     values = df.select((F.coalesce(c, F.lit(fill)) if fill is not None else c).alias("value")).where("value IS NOT NULL").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return held_before(values, [], [F.col("value")], name="code").withColumn("code", F.col("code").cast("int"))
 
 
 def label_encode(df: DataFrame, name: str, fill: str | None = None) -> DataFrame:

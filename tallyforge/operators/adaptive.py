@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ..session import cut
 from .graph import diverse_per_class
 from .metrics import report_with_averages
-from .pairbayes import ModelConfig, PairModel, class_number, confusion, fit, initialise
+from .pairbayes import ModelConfig, PairModel, class_number, confusion, fit, initialise, posteriors
 from .selection import append_selection, hash_key, remaining, sample_per_class, sample_rows, selected
 
 
@@ -69,7 +69,7 @@ class AdaptiveResult:
         }
 
 
-ROUNDS = "round int, training_size long, train_accuracy double, test_accuracy double, new_samples long, improvement double, accuracy_type string"
+ROUNDS = "round int, training_size long, train_accuracy double, test_accuracy double, new_samples long, improvement double, accuracy_type string, mean_confidence double"
 
 
 def initial_selection(df: DataFrame, key: str, target: str, features: list[str], config: AdaptiveConfig) -> DataFrame:
@@ -94,11 +94,11 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
         for rnd in range(1, config.max_adaptive_rounds + 1):
             parts.append(selection.withColumn("round", F.lit(rnd)))
             model = fit(selected(df, selection, key), features, target, frame=frame, key=key)
-            scored = cut(model.score(rows, key).select(key, "k", "predicted"))  # read for figures and for the pool
+            scored = _judged(model, rows, key)  # read for figures and for the pool
             judged = scored.join(selection.withColumn("__in", F.lit(True)), key, "left")
             right = (F.col("k") == F.col("predicted")).cast("double")
             outside = F.col("__in").isNull()
-            size, on_all, on_rest, wrong = judged.agg(F.count_if(~outside), F.avg(right), F.avg(F.when(outside, right)), F.count_if(outside & (F.col("k") != F.col("predicted")))).first()
+            size, on_all, on_rest, wrong, sure = judged.agg(F.count_if(~outside), F.avg(right), F.avg(F.when(outside, right)), F.count_if(outside & (F.col("k") != F.col("predicted"))), F.avg("confidence")).first()
             accuracy = on_all if config.enable_acid_test or on_rest is None else on_rest
             improvement = accuracy - (best["accuracy"] if best else 0.0)
             if best is None or improvement > 0:
@@ -113,7 +113,7 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
                 grown = cut(append_selection(selection, new, key))
                 added = grown.count() - size
                 selection = grown
-            _note(log, on_round, rnd, size, model.accuracy, accuracy, added, improvement, "acid_test" if config.enable_acid_test else "remaining")
+            _note(log, on_round, rnd, size, model.accuracy, accuracy, added, improvement, "acid_test" if config.enable_acid_test else "remaining", sure)
             if stop:
                 break
     finally:
@@ -121,6 +121,12 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
     return _result(spark, replace(best["model"], accuracy=best["accuracy"]), best["selection"], log, best["round"], best["accuracy"], parts)
 
 
+def _judged(model: PairModel, rows: DataFrame, key: str) -> DataFrame:
+    """key, k, predicted, confidence (the predicted class's probability), in a table."""
+    sure = F.array_max(posteriors(F.col("scores"))).alias("confidence")
+    return cut(model.score(rows, key).select(key, "k", "predicted", sure))
+
+
 def _note(log: list[tuple], on_round: Callable[[dict], None] | None, *row) -> None:
     log.append(row)
     if on_round:
@@ -149,9 +155,9 @@ def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: s
             known = selected(rows, chosen, key)
             model = fit(known.drop("k"), features, target, frame=frame, key=key)
             right = (F.col("k") == F.col("predicted")).cast("double")
-            scored = cut(model.score(rows, key).select(key, "k", "predicted"))
+            scored = _judged(model, rows, key)
             size, accuracy = selected(scored, chosen, key).agg(F.count(F.lit(1)), F.avg(right)).first()
-            on_all, wrong = scored.agg(F.avg(right), F.count_if(F.col("k") != F.col("predicted"))).first()
+            on_all, wrong, sure = scored.agg(F.avg(right), F.count_if(F.col("k") != F.col("predicted")), F.avg("confidence")).first()
             gain, added = accuracy - top, 0
             done = accuracy >= config.min_training_accuracy
             if not done:
@@ -163,7 +169,7 @@ def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: s
                 better = wrong and gain > config.min_improvement
                 top, waited = (accuracy, 0) if better else (top, waited + 1)
                 done = waited >= config.patience or rnd == config.max_adaptive_rounds
-            _note(log, on_round, rnd, size, accuracy, on_all, added, gain, "training")
+            _note(log, on_round, rnd, size, accuracy, on_all, added, gain, "training", sure)
             if done:
                 break
             chosen = grown if wrong else chosen

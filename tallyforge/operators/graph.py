@@ -9,6 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame, Window
 
 from ..session import cut
+from .stats import quantiles
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -25,9 +26,9 @@ def class_pairs(df: DataFrame, label: str, row_id: str, vector: str) -> DataFram
 
 
 def proximity(df: DataFrame, label: str, row_id: str, vector: str, at: float) -> DataFrame:
-    """The class pairs at most as far apart as that percentile of all of them."""
-    pairs = class_pairs(df, label, row_id, vector)
-    limit = pairs.agg(F.percentile("dist", F.lit(at)).alias("limit"))
+    """The class pairs at most as far apart as that percentile of all of them; distances are computed once."""
+    pairs = cut(class_pairs(df, label, row_id, vector))
+    limit = quantiles(pairs, "dist", [at]).toDF("limit")
     return pairs.crossJoin(F.broadcast(limit)).where("dist <= limit").drop("limit")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from .ranks import held_before
+
 
 def hash_key(row_id: str, seed: int, rnd: int = 0) -> Column:
     """What rows are ordered by where one would draw at random."""
@@ -65,9 +67,10 @@ def sample_per_class(df: DataFrame, label: str, key: Column, row_id: str, n: int
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
 
 
-def weighted_sample(df: DataFrame, by: str, weight: Column, row_id: str, n: int, seed: int) -> DataFrame:
-    """Up to n rows of each class without replacement, with chances by weight: the least of -ln(u) / weight."""
-    u = (F.pmod(hash_key(row_id, seed), F.lit(2**52)).cast("double") + 0.5) / F.lit(float(2**52))
+def weighted_sample(df: DataFrame, by: str, weight: Column, row_id: str, n: int, seed: int, draw: Column | None = None) -> DataFrame:
+    """Up to n rows of each class without replacement, with chances by weight: the least of -ln(u) / weight. draw, between
+    0 and 1, stands for u; without it u comes from a hash of row_id."""
+    u = (F.pmod(hash_key(row_id, seed), F.lit(2**52)).cast("double") + 0.5) / F.lit(float(2**52)) if draw is None else draw
     keyed = df.withColumn("__race", -F.ln(u) / weight)
     w = Window.partitionBy(by).orderBy("__race", row_id)
     return keyed.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn", "__race")
@@ -76,16 +79,16 @@ def weighted_sample(df: DataFrame, by: str, weight: Column, row_id: str, n: int,
 def stratified_split(df: DataFrame, label: str, key: Column, row_id: str, test: float = 0.2) -> DataFrame:
     """df with part: of each class the last round(test * n) rows in key order are test, at least one row in all.
 
-    Classes of one row are all train, unless nothing else would be test."""
-    w = Window.partitionBy(label).orderBy(key, row_id)
-    n = F.count(F.lit(1)).over(Window.partitionBy(label))
-    out = df.withColumn("__rn", F.row_number().over(w)).withColumn("__n", n)
-    out = out.withColumn("part", F.when(F.col("__rn") > F.col("__n") - F.round(F.col("__n") * test), "test").otherwise("train"))
+    Classes of one row are all train, unless nothing else would be test. A class may lie in many tasks."""
+    sizes = df.groupBy(F.col(label).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    out = held_before(df, [label], [key, F.col(row_id)])
+    out = out.join(sizes, F.col(label).eqNullSafe(F.col("__of"))).drop("__of")
+    out = out.withColumn("part", F.when(F.col("__before") >= F.col("__n") - F.round(F.col("__n") * test), "test").otherwise("train"))
     last = df.select(row_id, key.alias("__key")).orderBy(F.desc("__key"), F.desc(row_id)).limit(1).select(F.col(row_id).alias("__last"))
     none = out.agg(F.count_if(F.col("part") == "test").alias("__tests"))
     out = out.crossJoin(F.broadcast(none)).join(F.broadcast(last), F.col(row_id) == F.col("__last"), "left")
     moved = (F.col("__tests") == 0) & F.col("__last").isNotNull()
-    return out.withColumn("part", F.when(moved, "test").otherwise(F.col("part"))).drop("__rn", "__n", "__tests", "__last")
+    return out.withColumn("part", F.when(moved, "test").otherwise(F.col("part"))).drop("__before", "__n", "__tests", "__last")
 
 
 def misclassified(scored: DataFrame, actual: str, predicted: str) -> DataFrame:

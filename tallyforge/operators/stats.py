@@ -6,6 +6,8 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from ..functions.features import numeric_columns
+from ..session import cut
+from .ranks import held_before
 
 
 def _unpivot(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -116,8 +118,18 @@ def histogram(df: DataFrame, value: str, by: str, bins: int = 20) -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
-    """Exact percentiles p{100 * at}."""
-    return df.agg(*(F.percentile(value, F.lit(q)).alias(f"p{round(q * 100)}") for q in at))
+    """Exact percentiles p{100 * at}, in proportion between the two nearest values.
+
+    Equal values are counted first and the counts placed by ranges, so no task holds all values.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(held_before(counts, [], [F.col("v")], F.col("n"), "before"))
+    whole = placed.agg(F.max(F.col("before") + F.col("n")).alias("whole"))
+    near = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("v")))
+    place = lambda q: (F.col("whole") - 1) * F.lit(float(q))
+    parts = [f.alias(f"{n}{i}") for i, q in enumerate(at) for n, f in (("a", near(F.floor(place(q)))), ("b", near(F.ceil(place(q)))), ("c", F.max(place(q) - F.floor(place(q)))))]
+    one = placed.crossJoin(F.broadcast(whole)).agg(*parts)
+    return one.select(*((F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"c{i}")).alias(f"p{round(q * 100)}") for i, q in enumerate(at)))
 
 
 # --- rounds --------------------------------------------------------------------------------------------------------

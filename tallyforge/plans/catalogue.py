@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import expr, features
 from ..operators import adaptive, graph, metrics, modality, pairbayes, selection, stats
 from ..session import cut, shared_path
-from ..sources import writers
+from ..sources import readers, writers
+from ..streaming import increments
 from .core_sql import with_core
 
 LINE_FEATURES, LINE_LABEL, RESOL = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag", 10
@@ -33,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run has."""
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -113,7 +121,7 @@ def accuracy_report(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """The flagship's answer from a model that was written and read again."""
     rows, model = line_model(spark, sf_dir)
-    path = shared_path(spark, "model-roundtrip")
+    path = own_path(spark, "model-roundtrip")
     writers.save_model(model, path)
     model = writers.load_model(spark, path)
     name = F.element_at(F.array(*map(F.lit, model.classes)), F.col("predicted"))
@@ -125,7 +133,7 @@ def model_roundtrip(spark, sf_dir):
 def predictions_sink(spark, sf_dir):
     """Predictions with their columns as written to and read from CSV, counted."""
     rows, model = line_model(spark, sf_dir)
-    path = shared_path(spark, "predictions-sink")
+    path = own_path(spark, "predictions-sink")
     writers.predictions(model.transform(rows), path, "Prediction", "pairwise", LINE_FEATURES)
     back = spark.read.option("header", True).option("inferSchema", True).csv(path)
     return back.groupBy("Prediction", "Model_Type", "Model_Features").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
@@ -421,11 +429,13 @@ def euclidean_pairs_threshold(spark, sf_dir):
     return graph.proximity(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.25).select("label", "src", "dst", *r6("dist"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dist, src, dst) AS place FROM p WHERE dist <= (SELECT quantile_cont(dist, 0.5) FROM p)),
+both_ways AS (SELECT label, src AS a, dst AS b, place FROM e UNION ALL SELECT label, dst, src, place FROM e),
+reach AS (SELECT label, place, src AS node FROM e UNION SELECT r.label, r.place, w.b FROM reach r JOIN both_ways w ON w.label = r.label AND w.a = r.node AND w.place < r.place)
+SELECT e.label, e.src, e.dst, round(e.dist, 6) AS dist FROM e LEFT JOIN reach r ON r.label = e.label AND r.place = e.place AND r.node = e.dst WHERE r.node IS NULL""")
 def class_mst(spark, sf_dir):
+    """An edge is in the forest if lesser edges don't connect its ends, as the SQL says."""
     edges = graph.proximity(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 0.5)
-    from ..session import cut
-
     return graph.spanning_forest(cut(edges), "label").select("label", "src", "dst", *r6("dist"))
 
 
@@ -435,11 +445,16 @@ def knn_density(spark, sf_dir):
     return graph.neighbour_density(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, "label").select("vec_id", *r6("avg_dist"))
 
 
-@query()
+@query("""WITH n AS (SELECT a.vec_id AS a, a.label, b.vec_id AS b, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM n), s AS (SELECT a AS vec_id, label, avg(d) + 1e-8 AS weight FROM r WHERE rn <= 10 GROUP BY a, label),
+t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY -ln(((vec_id * 7919 + 42) % 104729 + 0.5) / 104729) / weight, vec_id) AS rn FROM s)
+SELECT vec_id, label FROM t WHERE rn <= 20""")
 def weighted_sample(spark, sf_dir):
+    """Points in thin places are likelier; draws come from the arithmetic key, which SQL has too."""
     df = table(spark, sf_dir, "embeddings")
     near = graph.neighbour_density(df, "vec_id", "embedding", 10, "label")
-    return selection.weighted_sample(df.select("vec_id", "label").join(near, "vec_id"), "label", 1 / F.col("density"), "vec_id", 20, 42).select("vec_id", "label")
+    draw = (selection.arithmetic_key("vec_id", 42) + 0.5) / 104729
+    return selection.weighted_sample(df.select("vec_id", "label").join(near, "vec_id"), "label", 1 / F.col("density"), "vec_id", 20, 42, draw).select("vec_id", "label")
 
 
 @query()
@@ -466,3 +481,90 @@ def selection_counts(spark, sf_dir):
 def training_membership(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey")
     return selection.membership(df, _picked(df, "c_custkey"), "c_custkey")
+
+
+# --- files and streams: written and read again -----------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def fits_table_scan(spark, sf_dir):
+    path = own_path(spark, "fits-table") + ".fits"
+    writers.export(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path, "supplier")
+    return readers.load(spark, path).select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+
+
+@query("SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice, p_brand FROM part")
+def dat_scan(spark, sf_dir):
+    """Columns parted by commas in a .dat file, which the first of the tried separators doesn't fit."""
+    path = own_path(spark, "dat") + ".dat"
+    table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand").write.option("header", True).csv(path)
+    return readers.load(spark, path)
+
+
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS feature_0, o_totalprice AS feature_1, CAST(month(o_orderdate) AS DOUBLE) AS target FROM orders")
+def matrix_scan(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.month("o_orderdate").alias("m"))
+    path = own_path(spark, "matrix")
+    df.select(F.concat_ws(" ", *(F.col(c).cast("string") for c in df.columns)).alias("value")).write.text(path)
+    return readers.matrix(spark, path)
+
+
+@query("SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def discovered_scan(spark, sf_dir):
+    """A folder in which the dataset's CSV is found by name, ahead of a file of another name."""
+    cols, folder = ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"], own_path(spark, "discovered")
+    table(spark, sf_dir, "nation").write.option("header", True).csv(f"{folder}/a.csv")
+    table(spark, sf_dir, "customer").select(*cols).write.option("header", True).csv(f"{folder}/customer.csv")
+    return readers.load(spark, readers.discover(spark, folder, "customer"))
+
+
+@query("SELECT 'f' || CAST(r AS INT) AS name, CAST(r AS INT) * 10 AS resol FROM range(3) t(r)")
+def config_scan(spark, sf_dir):
+    folder, out = own_path(spark, "configs"), []
+    for i in range(3):
+        readers.write_text(spark, f"{folder}/f{i}.{'json' if i % 2 else 'conf'}", f'{{"resol": {i * 10}}}')
+    for name in readers.dataset_names(spark, folder):
+        out.append((name, readers.config(spark, folder, name)[0]["resol"]))
+    return spark.createDataFrame(out, "name string, resol int")
+
+
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # a stream takes a single file only where a pattern names it
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream has given once its input is read: all rows of an appending one, the last state of a complete one."""
+    spark = stream.sparkSession
+    path, state = own_path(spark, name), own_path(spark, f"{name}-state")
+    out = stream.writeStream.option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        out = out.format("parquet").option("path", path)
+    else:
+        out = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    out.start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {LINE_CORE} SELECT i, bi, l, bl, k, cnt FROM net")
+def stream_pair_counts(spark, sf_dir):
+    """The counts of lineitem, gathered by a stream."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE_FEATURES, LINE_LABEL)
+    model = pairbayes.initialise(rows, LINE_FEATURES, LINE_LABEL, LINE_CONFIG)
+    return _drained(increments.count_stream(_stream(spark, sf_dir, "lineitem").select(*LINE_FEATURES, LINE_LABEL), model), "stream-counts", "complete")
+
+
+@query(f"WITH {LINE_CORE} SELECT b.name AS predicted, count(*) AS n FROM pred JOIN classes b ON b.k = p GROUP BY b.name")
+def stream_scores(spark, sf_dir):
+    """lineitem scored as a stream, counted by prediction."""
+    model = line_model(spark, sf_dir)[1]
+    scored = _drained(increments.score_stream(_stream(spark, sf_dir, "lineitem").select(*LINE_FEATURES), model).select("Prediction"), "stream-scores", "append")
+    return scored.groupBy(F.col("Prediction").cast("string").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark, sf_dir):
+    """Events by day and type, gathered by a stream with a watermark."""
+    events = _stream(spark, sf_dir, "events").select("ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = _drained(increments.windowed_counts(events, "ts", ["event_type"], "1 day", "2 days"), "stream-windows", "complete")
+    return n.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")

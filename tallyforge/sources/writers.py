@@ -9,6 +9,7 @@ import time
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.adaptive import AdaptiveResult
 from ..operators.pairbayes import ModelConfig, PairModel
 from . import fits
 from .readers import _fs, exists, read_text, write_text
@@ -99,6 +100,20 @@ def report(spark: SparkSession, facts: dict, path: str) -> DataFrame:
     return df
 
 
+def finish_run(result: AdaptiveResult, df: DataFrame, key: str, path: str, config: dict | None = None) -> dict:
+    """Writes an adaptive run into one folder and returns its figures over df: model, selection (the keys it was trained
+    on), rounds, report and confusion_matrix as CSV, config.json and report.txt."""
+    spark = df.sparkSession
+    found = result.evaluate(df, key)
+    save_model(result.model, f"{path}/model")
+    result.selection.select(key).write.mode("overwrite").parquet(f"{path}/selection")
+    for name in ("rounds", "report", "confusion_matrix"):
+        found[name].write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+    write_text(spark, f"{path}/config.json", json.dumps(config or {}, indent=1, default=str))
+    report(spark, result.facts | {"accuracy": found["accuracy"]}, f"{path}/report.txt")
+    return found
+
+
 def save_experiment(spark: SparkSession, record: dict, path: str) -> None:
     write_text(spark, path, json.dumps(record, default=str))
 

@@ -5,10 +5,11 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
-from tallyforge.operators import adaptive, metrics, pairbayes, selection
+from tallyforge.operators import adaptive, metrics, pairbayes, ranks, selection, stats
 from tallyforge.sources import writers
 
 FEATURES = ["x", "y", "z"]
@@ -137,6 +138,37 @@ def test_adaptive_loop(data):
     total = {(r.actual, r.predicted): r.n for r in done["confusion_matrix"].collect()}
     assert sum(total.values()) == 60 and done["accuracy"] == pytest.approx(sum(total[k, k] for k in (1, 2, 3)) / 60)
     assert len(total) == 9
+    assert all(1 / 3 <= r.mean_confidence <= 1 for r in rounds)
+
+
+def test_finished_run(spark, data, tmp_path):
+    _, df = data
+    found = adaptive.learn(df, "id", FEATURES, "label", pairbayes.ModelConfig(resol=6, max_epochs=1), adaptive.AdaptiveConfig(initial_samples_per_class=2, max_adaptive_rounds=2))
+    path = str(tmp_path / "run")
+    figures = writers.finish_run(found, df, "id", path, {"a": 1})
+    assert writers.load_model(spark, f"{path}/model").classes == found.model.classes
+    assert {r.id for r in spark.read.parquet(f"{path}/selection").collect()} == {r.id for r in found.selection.collect()}
+    assert spark.read.option("header", True).csv(f"{path}/rounds").count() == found.facts["rounds"]
+    assert spark.read.option("header", True).csv(f"{path}/report").where("class = 'macro avg'").count() == 1
+    assert f"accuracy: {figures['accuracy']}" in "".join(r.value + "\n" for r in spark.read.text(f"{path}/report.txt").collect())
+    assert writers.load_experiment(spark, f"{path}/config.json") == {"a": 1}
+
+
+def test_places_in_order(spark):
+    rows = [(None if i % 5 == 0 else i % 3, i * 37 % 11, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, x int, id int")
+    got = {r.id: (r.before, r.held) for r in ranks.held_before(ranks.held_before(df, ["g"], [F.col("x"), F.col("id")], name="before"), [], [F.col("x"), F.col("id")], F.col("id"), "held").collect()}
+    for g, x, i in rows:
+        assert got[i] == (sum(h == g and (y, j) < (x, i) for h, y, j in rows), sum(j for _, y, j in rows if (y, j) < (x, i)))
+    assert ranks.held_before(df.where("false"), ["g"], [F.col("x")]).count() == 0
+
+
+def test_exact_percentiles(spark):
+    values = [3.0] * 40 + [float(i * i % 17) for i in range(35)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    assert list(stats.quantiles(df, "v", at).first()) == pytest.approx(np.quantile(values, at).tolist())
+    assert list(stats.quantiles(df.where("v IS NULL"), "v", [0.5]).first()) == [None]
 
 
 def test_loop_over_all_wrong_rows(data):
