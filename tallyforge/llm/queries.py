@@ -7,7 +7,7 @@ import secrets
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, exact_dedup, line_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, pii_surrogates, toxicity
+from . import chat_format, exact_dedup, importance_resampling, line_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, periodic_runs, pii_surrogates, secret_scan, toxicity
 from .common import crc_fold
 
 
@@ -93,6 +93,49 @@ def op10_minhash_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """docs, where one document in ten, by its doc_id, ends in a block of its words over and over; null ids have none."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def text(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda x: x.cast("int")
+        block = F.slice(w, at(a + 1), at(p))
+        rest = F.slice(F.flatten(F.array_repeat(block, at(F.ceil((n - a) / p)))), 1, at(n - a))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, at(a)), rest), " ")).otherwise("")
+
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    made = F.transform(F.array(words), text)[0]
+    return docs.select("doc_id", F.when(F.coalesce(h % 10 == 0, F.lit(False)), made).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(repeated(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("p"))))
+    said = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), said.alias("said"), "collapsed")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("m.back")).alias("start"), "m.length", (-F.col("m.p")).alias("period"),
+        F.floor(1000 * F.col("m.length") / -F.col("m.p")).alias("exponent_milli"), F.sha2(F.col("said").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance_resampling.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, n=3, buckets=10_000, seed=42)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
+    base = secret_scan.listed(of(*secret_scan.BASE_KINDS))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 OP4_SQL = """
 WITH d AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
@@ -184,6 +227,84 @@ SELECT d.doc_id, c.class_id, coalesce(n.n_links, 0) AS n_links
 FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes c ON c.id = t.id LEFT JOIN counts n ON n.id = t.id
 """
 
+def _crc_row(i: int) -> int:
+    """What the half byte i adds to a checksum."""
+    for _ in range(4):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+def _crc32_sql(text: str, hexed: str) -> str:
+    """crc32 of a text whose bytes in hexadecimal are hexed, half byte by half byte, the low one of a byte first."""
+    digit = f"strpos('123456789ABCDEF', substr({hexed}, CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END, 1))"
+    table = f"[{', '.join(str(_crc_row(i)) for i in range(16))}]"
+    steps = f"list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(2 * strlen({text})), lambda i: {digit}))"
+    return f"xor(list_reduce({steps}, lambda c, x: xor(c >> 4, {table}[(xor(c, x) & 15) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, CAST(doc_id AS VARCHAR) AS said FROM documents
+), hashed AS (SELECT *, len(w) AS n, {_crc32_sql("said", "hex(encode(said))")} AS h FROM docs),
+cut AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a, coalesce(h % 10 = 0, false) AND n > 0 AS planted FROM hashed),
+planted AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM cut),
+words AS (
+  SELECT r, n, i, CASE WHEN planted AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS v
+  FROM (SELECT *, unnest(range(n)) AS i FROM planted)
+), texts AS (SELECT r, n, list(v ORDER BY i) AS w FROM words GROUP BY r, n),
+grid AS (
+  SELECT r, n, w, p, unnest(range(0, n - 3 * p, p)) AS i FROM (SELECT r, n, w, unnest(range(1, n // 4 + 1)) AS p FROM texts)
+), seen AS (
+  SELECT DISTINCT r, n, p FROM grid WHERE w[i + 1] = w[i + p + 1] AND w[i + p + 1] = w[i + 2 * p + 1] AND w[i + 2 * p + 1] = w[i + 3 * p + 1]
+), far AS (
+  SELECT r, p, i FROM (
+    SELECT s.r, s.p, s.n, a.i, a.v AS x, b.v AS y FROM seen s JOIN words a ON a.r = s.r LEFT JOIN words b ON b.r = s.r AND b.i = a.i + s.p
+  ) WHERE i < n - p AND x <> y
+  UNION ALL SELECT r, p, -1 FROM seen UNION ALL SELECT r, p, n - p FROM seen
+), gaps AS (
+  SELECT r, p, i + 1 AS start, lead(i) OVER (PARTITION BY r, p ORDER BY i) + p AS stop FROM far
+), runs AS (
+  SELECT r, start, stop - start AS length, min(p) AS period FROM gaps WHERE stop - start >= greatest(6, 4 * p) GROUP BY r, start, stop
+), of_runs AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said,
+         arg_min({{'start': start, 'length': length, 'period': period}}, (-length, start, period)) AS m
+  FROM runs GROUP BY r
+), covered AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+short AS (
+  SELECT r, string_agg(v, ' ' ORDER BY i) AS said FROM words ANTI JOIN covered USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(m.start AS BIGINT) AS start, CAST(m.length AS BIGINT) AS length, CAST(m.period AS BIGINT) AS period,
+       CAST(1000 * m.length // m.period AS BIGINT) AS exponent_milli, sha256(coalesce(o.said, '')) AS runs_sha256, sha256(coalesce(s.said, '')) AS collapsed_sha256
+FROM docs d LEFT JOIN of_runs o USING (r) LEFT JOIN short s USING (r)
+"""
+
+OP12_SQL = rf"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, 's' AS side, doc_id, text FROM documents UNION ALL SELECT -row_number() OVER (), 't', 0, text FROM benchmark
+), worded AS (
+  SELECT r, side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM rows
+), grams AS (
+  SELECT r, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+                                     list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS x FROM worded
+), hexed AS (SELECT x, hex(encode(x)) AS b FROM (SELECT DISTINCT x FROM grams)),
+coded AS (SELECT x, {_crc32_sql("x", "b")} % 10000 AS bucket FROM hexed),
+counted AS (SELECT r, side, bucket, count(*) AS c FROM grams JOIN coded USING (x) GROUP BY ALL),
+sums AS (
+  SELECT bucket, coalesce(sum(c) FILTER (side = 's'), 0) AS s, coalesce(sum(c) FILTER (side = 't'), 0) AS t FROM counted GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums
+), weighed AS (SELECT r, sum(c) AS n_features, sum(c * gain) AS weight FROM counted JOIN gains USING (bucket) WHERE side = 's' GROUP BY r),
+scored AS (
+  SELECT r, doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weighed USING (r) WHERE side = 's'
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) OVER () AS held FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CAST(CASE WHEN place <= 5 * held // 100 THEN place END AS BIGINT) AS rank FROM scored LEFT JOIN placed USING (r)
+"""
+
 QUERIES = {
     "op1_noisy_channel_toxicity": op1_noisy_channel_toxicity,
     "op2_cost_balanced_packing": op2_cost_balanced_packing,
@@ -195,6 +316,9 @@ QUERIES = {
     "op8_backoff_automaton_scores": op8_backoff_automaton_scores,
     "op9_hierarchical_mixing": op9_hierarchical_mixing,
     "op10_minhash_jaccard_join": op10_minhash_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 SQL = {
@@ -202,4 +326,6 @@ SQL = {
     "op5_offset_aligned_chat": OP5_SQL,
     "op9_hierarchical_mixing": OP9_SQL,
     "op10_minhash_jaccard_join": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
