@@ -3,9 +3,12 @@
 Shingles are n words in a row (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased); a text of fewer words is one shingle, one
 without words has none. Bands and rows are chosen for a target recall at the threshold. Rows of equal text are one
 node; nodes are shuffled on (band, hash) and each is linked to the least node of its bucket, which keeps buckets linear.
-Components of those links are the only places where a pair can match; inside them full shingle sets are compared, block
-against block, so that no task holds more than two blocks of a component, and links are counted where they are found
-instead of being emitted as rows. Components of the verified links are the classes.
+Components of those links are the only places where a pair can match. A component is compared as a whole, block against
+block, or, where that copies fewer texts, as a component that chance candidates hold together does, bucket by bucket: a
+pair is then looked at in the first bucket that it shares only. No task holds more than two blocks, and links are counted
+where they are found instead of being emitted as rows. MinHash works on 64-bit hashes in which the order of the words
+counts; what is compared is sets of the words' own n-grams, without any hash. Components of the verified links are the
+classes.
 
 Result, a row per row of docs: class_id (least doc_id of the class) and n_links (different texts, copies not counted,
 whose similarity to this row's text is at least the threshold).
@@ -17,6 +20,7 @@ unless all are null; repeated rows are copies; an empty table gives no rows; oth
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -28,8 +32,8 @@ from pyspark.sql import DataFrame
 from .common import MEMO_BYTES, TwoGenerations, arrow_rows, fresh, materialize, small
 from .components import connected
 
-#: Odd 64-bit multipliers of the shingle hash, by position.
-MIX = 0x9E3779B97F4A7C15
+#: An odd 64-bit multiplier.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def banding(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -53,14 +57,16 @@ def _finish(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """64-bit hashes of the word shingles of a text, in order."""
+    """64-bit hashes of the word shingles of a text, in order.
+
+    Each word's hash is added to what the words before it gave, after that was mixed, so words at different places don't
+    swap. Only candidates come from these hashes."""
 
     def __init__(self, n: int):
         import xxhash
 
         self.n = n
         self.word = TwoGenerations(xxhash.xxh3_64_intdigest, MEMO_BYTES // 2)
-        self.factor = [np.uint64((MIX * (2 * k + 1)) % 2**64) for k in range(n)]
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
@@ -68,14 +74,52 @@ class Shingler:
             return np.zeros(0, np.uint64)
         w = np.fromiter(map(self.word.__getitem__, words), np.uint64, len(words))
         n = min(self.n, len(w))
-        h = w[: len(w) - n + 1] * self.factor[0]
+        h = w[: len(w) - n + 1].copy()
         for k in range(1, n):
-            h += w[k : len(w) - n + 1 + k] * self.factor[k]
+            h ^= h >> np.uint64(32)
+            h *= MIX
+            h += w[k : len(w) - n + 1 + k]
         if n < self.n:  # short texts differ from parts of longer ones
             h += np.uint64(n)
         return _finish(h)
 
 
+def ngram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The set of word n-grams of each text, as sorted numbers: within these texts, equal numbers are equal n-grams."""
+    vocabulary: dict[bytes, int] = {}
+    number = itertools.count()
+    coded = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        coded.append(np.fromiter(map(vocabulary.setdefault, words, number), np.int64, len(words)))
+    w = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+    del vocabulary
+    total = next(number) + 1  # more than any number so far
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a * total + b, return_inverse=True)[1]
+
+    runs, size = {1: w}, 1
+    while 2 * size <= min(n, len(w)):
+        runs[2 * size] = pairs(runs[size][:-size], runs[size][size:])
+        size *= 2
+    grams = runs[size]
+    for more in sorted(runs, reverse=True):
+        if more <= min(n, len(w)) - size:
+            grams = pairs(grams[:-more], runs[more][size:])
+            size += more
+    short: dict[bytes, int] = {}
+    out, at = [], 0
+    for t, c in zip(texts, coded, strict=True):
+        if len(c) >= n:
+            out.append(np.unique(grams[at : at + len(c) - n + 1]))
+        else:  # fewer words: one shingle, whose number is below all others
+            whole = b" ".join((t or "").encode().lower().split())
+            out.append(np.array([-1 - short.setdefault(whole, len(short))] if len(c) else [], np.int64))
+        at += len(c)
+    return out
+
+
 class Signer:
     """Band hashes of a set of shingles."""
 
@@ -165,18 +209,28 @@ def least_linked(hit: np.ndarray) -> np.ndarray:
         root = new
 
 
+def met_before(bands: list[list[int]], band: int) -> np.ndarray:
+    """Which two share a bucket of an earlier band."""
+    b = np.array(bands, np.int64)[:, :band]
+    out = np.zeros((len(b), len(b)), bool)
+    for k in range(band):
+        out |= b[:, k, None] == b[None, :, k]
+    return out
+
+
 def _verifier(n: int, threshold: float):
-    def group(shingler: Shingler, rows: list[tuple]) -> list[tuple]:
-        sets = [np.unique(shingler(r[4])) for r in rows]
-        hit = link_matrix(sets, threshold)
-        side = np.array([r[3] for r in rows])
-        if rows[0][1] != rows[0][2]:  # two blocks: pairs inside one are seen elsewhere
+    def group(rows: list[tuple]) -> list[tuple]:
+        _, band, _, bi, bj = rows[0][0]
+        hit = link_matrix(ngram_sets([r[2] for r in rows], n), threshold)
+        if bi != bj:  # two blocks: pairs inside one are seen elsewhere
+            side = np.array([r[1] for r in rows])
             hit &= side[:, None] != side[None, :]
+        if band >= 0:
+            hit &= ~met_before([r[4] for r in rows], band)
         root, count = least_linked(hit), hit.sum(axis=1)
-        return [(rows[i][5], int(count[i]), rows[root[i]][5]) for i in range(len(rows)) if count[i]]
+        return [(rows[i][3], int(count[i]), rows[root[i]][3]) for i in range(len(rows)) if count[i]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n)
         held: list[tuple] = []
         out: list[tuple] = []
 
@@ -186,15 +240,15 @@ def _verifier(n: int, threshold: float):
             return made
 
         for batch in batches:
-            for r in arrow_rows(batch, "cluster", "bi", "bj", "block", "text", "node"):
-                if held and held[0][:3] != r[:3]:
-                    out += group(shingler, held)
+            for *key, block, text, node, bands in arrow_rows(batch, "cluster", "band", "hash", "bi", "bj", "block", "text", "node", "bands"):
+                if held and held[0][0] != key:
+                    out += group(held)
                     held = []
-                held.append(r)
+                held.append((key, block, text, node, bands))
             if out:
                 yield ready()
         if held:
-            out += group(shingler, held)
+            out += group(held)
         if out:
             yield ready()
 
@@ -231,19 +285,42 @@ def _bucket_edges(nodes: DataFrame) -> DataFrame:
     return in_bucket.join(least, ["band", "hash"]).where("node != pivot").select("node", "pivot").distinct()
 
 
-def _verified(source: DataFrame, nodes: DataFrame, clusters: DataFrame, threshold: float, n: int, block: int, most_shingles: int = 1 << 21) -> DataFrame:
-    """(node, links, peer): verified links counted per node, each with a node of the same class, from each two blocks."""
-    sized = nodes.select("node", "size").join(small(clusters), "node")
+def _groups(nodes: DataFrame, clusters: DataFrame, block: int, most_shingles: int) -> DataFrame:
+    """cluster, band, hash, node, blocks: whom to compare with whom. Band -1 is a component as a whole; components of more
+    than one block are compared by buckets where these copy fewer texts."""
     # neither too many texts in a block nor too many shingles
-    held = sized.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / most_shingles)).cast("int").alias("blocks"))
-    member = clusters.join(small(held), "root")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = materialize(member.join(nodes.select("node", "digest"), "node").select("digest", "node", F.col("root").alias("cluster"), "blocks", "block"), "members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("size") / most_shingles)).cast("int")
+    sized = clusters.join(nodes.select("node", "size"), "node")
+    held = materialize(sized.groupBy("root").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n")), "components")
+    whole = clusters.join(small(held), "root").select(F.col("root").alias("cluster"), F.lit(-1).alias("band"), F.lit(0).cast("long").alias("hash"), "node", "blocks")
+    large = held.where("blocks > 1")
+    if large.isEmpty():
+        return whole
+    inside = clusters.join(small(large.select("root", F.col("blocks").alias("parts"), "n")), "root").join(nodes.select("node", "size", "bands"), "node")
+    inside = materialize(inside.select("root", "node", "size", F.posexplode("bands").alias("band", "hash")), "inside")
+    buckets = inside.groupBy("root", "band", "hash").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = materialize(buckets, "buckets")
+    cost = buckets.groupBy("root").agg(F.sum(F.col("m") * F.col("blocks")).alias("copied")).join(large, "root").where(F.col("copied") < F.col("n") * F.col("blocks")).select("root")
+    cost = materialize(cost, "by-bucket")
+    if cost.isEmpty():
+        return whole
+    parts = inside.join(buckets.drop("m").join(small(cost), "root", "left_semi"), ["root", "band", "hash"]).select(F.col("root").alias("cluster"), "band", "hash", "node", "blocks")
+    return whole.join(small(cost), F.col("cluster") == F.col("root"), "left_anti").unionByName(parts)
+
+
+def _verified(source: DataFrame, nodes: DataFrame, clusters: DataFrame, threshold: float, n: int, block: int, most_shingles: int = 1 << 20) -> DataFrame:
+    """(node, links, peer): verified links counted per node, each with a node of the same class, from each two blocks."""
+    member = _groups(nodes, clusters, block, most_shingles).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    mine = F.collect_list(F.struct("cluster", "band", "hash", "blocks", "block")).alias("groups")
+    member = member.groupBy("node").agg(mine).join(nodes.select("node", "digest", "bands"), "node")
+    by_bucket = F.exists("groups", lambda g: g["band"] >= 0)
+    member = materialize(member.select("digest", "node", "groups", F.when(by_bucket, F.col("bands")).alias("bands")), "members")
     texts = source.join(small(member), "digest").dropDuplicates(["node"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = texts.select("cluster", "node", "block", "text", other)
-    spread = spread.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "text")
-    spread = spread.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "node")
+    spread = texts.select("node", "text", "bands", F.explode("groups").alias("g")).select("node", "text", "bands", "g.*")
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("cluster", "band", "hash", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "text", "bands")
+    key = ["cluster", "band", "hash", "bi", "bj"]
+    spread = spread.repartition(*key).sortWithinPartitions(*key, "node")
     return spread.mapInArrow(_verifier(n, threshold), "node long, links long, peer long")
 
 

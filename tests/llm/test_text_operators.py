@@ -1,6 +1,7 @@
 """Each text operator against brute force or a round trip, and on the edge cases of cases.py."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -658,6 +659,19 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def plain_classes(rows):
+    """doc number -> (class, links), from sets of tuples of words, all pairs."""
+    texts = sorted({t or "" for t in rows})
+    sets = {t: shingles(t) for t in texts}
+    link = {t: [u for u in texts if u != t and sets[t] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]) - 1e-9] for t in texts}
+    least = {t: min(i for i, u in enumerate(rows) if (u or "") == t) for t in texts}
+    for _ in texts:
+        for t in texts:
+            for u in link[t]:
+                least[t] = least[u] = min(least[t], least[u])
+    return {i: (least[t or ""], len(link[t or ""])) for i, t in enumerate(rows)}
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_near_copies_against_brute_force(spark, block):
     rng, rows = random.Random(9), []
@@ -671,17 +685,63 @@ def test_near_copies_against_brute_force(spark, block):
     rows += rows[:7] + [None, "", " ", "a b", "A B"]
     df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(rows)], "doc_id long, text string, digest string").repartition(4)
     got = {r.doc_id: (r.class_id, r.n_links) for r in minhash_join.join(df, block=block).collect()}
-    texts = sorted({t or "" for t in rows})
-    sets = {t: shingles(t) for t in texts}
-    link = {t: [u for u in texts if u != t and sets[t] and len(sets[t] & sets[u]) >= 0.8 * len(sets[t] | sets[u]) - 1e-9] for t in texts}
-    least = {t: min(i for i, u in enumerate(rows) if (u or "") == t) for t in texts}
-    for _ in texts:
-        for t in texts:
-            for u in link[t]:
-                least[t] = least[u] = min(least[t], least[u])
-    assert got == {i: (least[t or ""], len(link[t or ""])) for i, t in enumerate(rows)}
+    want = plain_classes(rows)
+    assert got == want
     kept = minhash_join.keep_one(df, block=block)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for c, _ in want.values()})
+
+
+def test_words_that_change_places_are_other_ngrams(spark):
+    swaps = [("a b b a x", "b a a b x"), ("a b c b a", "b a c a b"), ("0 1 1 0 9", "1 0 0 1 9"), ("a a b", "a b a"), ("p q r s t u", "q p r s t u")]
+    shingler = minhash_join.Shingler(5)
+    for a, b in swaps:
+        assert set(shingler(a).tolist()).isdisjoint(shingler(b).tolist())
+    for k in range(2, 7):  # of all orders of few words no two have equal hashes
+        orders = [" ".join(o) for o in itertools.product("abc", repeat=k)]
+        assert len({tuple(shingler(o).tolist()) for o in orders}) == len(orders)
+    rows = [t for pair in swaps for t in pair]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in minhash_join.join(df).collect()} == {i: (i, 0) for i in range(len(rows))}
+    assert minhash_join.keep_one(df).count() == len(rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 7])
+def test_ngram_sets_are_those_of_the_words(n):
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice("abA") for _ in range(rng.randrange(14))) for _ in range(60)] + [None, "", "A b a", "a B a"]
+    sets = minhash_join.ngram_sets(texts, n)
+    plain = [{tuple(w[i : i + min(n, len(w))]) for i in range(len(w) - min(n, len(w)) + 1)} if (w := (t or "").lower().split()) else set() for t in texts]
+    assert all(len(s) == len(p) and (np.diff(s) > 0).all() for s, p in zip(sets, plain, strict=True))
+    assert all(len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j]) for i in range(len(texts)) for j in range(len(texts)))
+    assert minhash_join.ngram_sets([], n) == []
+
+
+def test_long_chains_are_compared_by_bucket(spark, monkeypatch):
+    """A component whose ends have nothing in common: buckets copy fewer texts than blocks of all."""
+    rng = random.Random(2)
+    said = [f"w{rng.randrange(900)}" for _ in range(900)]
+    rows = [" ".join(said[i : i + 60]) for i in range(0, 800, 3)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    bands, made, groups = [], minhash_join._groups, lambda *a: bands.append(made(*a)) or bands[-1]
+    monkeypatch.setattr(minhash_join, "_groups", groups)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in minhash_join.join(df, block=3).collect()}
+    assert got == plain_classes(rows) and bands[0].where("band >= 0").count() > 0
+
+
+def test_recall_of_planted_pairs(spark):
+    """Pairs of 100 words, one word changed in most: five shingles a change, so similarities from 0.8 on."""
+    rng, rows = random.Random(4), []
+    for i in range(400):
+        t = words(rng, 104, "abcdefghijklmnop").split()
+        u = list(t)
+        for at in rng.sample(range(10, 95), i % 3):
+            u[at] = "changed"
+        rows += [" ".join(t), " ".join(u)]
+    sets = [shingles(t) for t in rows]
+    want = {i for i in range(0, 800, 2) if rows[i] != rows[i + 1] and len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    got = {r.doc_id: r.n_links for r in minhash_join.join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in want]
+    assert {i for i in range(0, 800, 2) if got[i]} == want and len(want) > 200 and min(near) < 0.83
 
 
 def test_near_copy_edges(spark, docs):
