@@ -1,8 +1,8 @@
 """The derived-column expression language: a whitelisted grammar turned into Column expressions.
 
 Arithmetic, comparisons, & | ~, the functions below, column names and numbers; `^` and `**` are powers. max and min take
-two arguments, element by element; mean and std (population) are taken over the whole table. Nothing is ever evaluated
-as Python.
+two arguments, element by element; mean and std (population) are taken over the whole table. Sums, differences and
+products are DOUBLE, so whole numbers don't overflow. Nothing is ever evaluated as Python.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ class _Compiler:
     def signed(self, op: ast.unaryop, x: Column) -> Column:
         match op:
             case ast.USub():
-                return -x
+                return -x.cast("double")
             case ast.UAdd():
                 return x
             case ast.Invert() | ast.Not():
@@ -75,11 +75,11 @@ class _Compiler:
         zero = F.nullif(b, F.lit(0))
         match op:
             case ast.Add():
-                return a + b
+                return a.cast("double") + b
             case ast.Sub():
-                return a - b
+                return a.cast("double") - b
             case ast.Mult():
-                return a * b
+                return a.cast("double") * b
             case ast.Div():
                 return a / zero
             case ast.FloorDiv():

@@ -38,6 +38,12 @@ def project(df: DataFrame, features: list[str] | None = None, target: str | None
     return df.select(*wanted)
 
 
+def finite(c: Column) -> Column:
+    """A number as DOUBLE; NULL for NaN and the infinities, which bounds and sums must not see."""
+    x = c.cast("double")
+    return F.when((x > float("-inf")) & (x < float("inf")), x)
+
+
 def is_missing(c: Column) -> Column:
     return c.isNull() | c.cast("string").isin(MISSING)
 
@@ -87,14 +93,17 @@ def encode_mostly_numeric(df: DataFrame, name: str, sentinel_only: bool = False)
 
 
 def encode_target(df: DataFrame, target: str) -> DataFrame:
-    """Rows with a target, as whole numbers if all of them are numbers, else as codes."""
+    """Rows with a target, as whole numbers if all of them are numbers that an INT holds, else as codes."""
     c = F.col(f"`{target}`")
     kind = df.schema[target].dataType
     if isinstance(kind, NumericType | BooleanType):
-        return df.where(c.isNotNull() & ~F.isnan(c.cast("double"))).withColumn(target, c.cast("double").cast("int"))
-    df = df.where(c.isNotNull())
-    if df.where(number(c).isNull()).isEmpty():
-        return df.withColumn(target, number(c).cast("int"))
+        x = c.cast("double")
+        df = df.where(c.isNotNull() & ~F.isnan(x))
+    else:
+        x = number(c)
+        df = df.where(c.isNotNull())
+    if df.where(x.isNull() | (F.abs(x) >= 2.0**31)).isEmpty():
+        return df.withColumn(target, x.cast("int"))
     return label_encode(df, target).withColumn(target, F.col(f"{target}_code")).drop(f"{target}_code")
 
 
@@ -116,8 +125,8 @@ def prepare(df: DataFrame, target: str | None = None, features: list[str] | None
 
 
 def _bounds(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    """min and max of the columns, in one pass; two numbers a column reach the driver."""
-    row = df.agg(*(f(F.col(f"`{c}`").cast("double")).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    """min and max of the columns' finite values, in one pass; two numbers a column reach the driver."""
+    row = df.agg(*(f(finite(F.col(f"`{c}`"))).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     return {c: (row[f"lo_{i}"], row[f"hi_{i}"]) for i, c in enumerate(columns)}
 
 
@@ -140,9 +149,9 @@ def sqrt_transform(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def interactions(df: DataFrame, columns: list[str] | None = None, most: int = 5) -> DataFrame:
-    """{a}_x_{b} for the first pairs of columns."""
+    """{a}_x_{b} for the first pairs of columns, as DOUBLE, which whole numbers don't overflow."""
     pairs = list(combinations(columns or numeric_columns(df), 2))[:most]
-    return df.withColumns({f"{a}_x_{b}": F.col(f"`{a}`") * F.col(f"`{b}`") for a, b in pairs})
+    return df.withColumns({f"{a}_x_{b}": F.col(f"`{a}`").cast("double") * F.col(f"`{b}`") for a, b in pairs})
 
 
 def powers(df: DataFrame, columns: list[str] | None = None, most: int = 3) -> DataFrame:

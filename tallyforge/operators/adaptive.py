@@ -19,13 +19,13 @@ from .selection import append_selection, hash_key, remaining, sample_per_class,
 
 @dataclass(frozen=True)
 class AdaptiveConfig:
-    """The loop's defaults."""
+    """The loop's defaults. min_improvement is in percent points."""
 
-    initial_samples_per_class: int = 5
+    initial_samples_per_class: int = 10
     max_margin_samples_per_class: int = 3
-    max_adaptive_rounds: int = 20
-    patience: int = 10
-    min_improvement: float = 0.001
+    max_adaptive_rounds: int = 10
+    patience: int = 3
+    min_improvement: float = 1e-7
     min_training_accuracy: float = 0.95
     enable_acid_test: bool = True
     max_samples_per_class_fallback: int = 2
@@ -86,11 +86,11 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
     config, model_config = config or AdaptiveConfig(), model_config or ModelConfig()
     spark = df.sparkSession
     df = df.select(key, *features, target).where(F.col(target).isNotNull()).persist()
-    frame = initialise(df, features, target, model_config)
-    rows = df.withColumn("k", class_number(F.col(f"`{target}`"), frame.classes))
-    selection = cut(initial_selection(df, key, target, features, config).distinct())
-    log, parts, best, waited = [], [], None, 0
     try:
+        frame = initialise(df, features, target, model_config)
+        rows = df.withColumn("k", class_number(F.col(f"`{target}`"), frame.classes))
+        selection = cut(initial_selection(df, key, target, features, config).distinct())
+        log, parts, best, waited = [], [], None, 0
         for rnd in range(1, config.max_adaptive_rounds + 1):
             parts.append(selection.withColumn("round", F.lit(rnd)))
             model = fit(selected(df, selection, key), features, target, frame=frame, key=key)
@@ -141,7 +141,7 @@ def _result(spark, model: PairModel, selection: DataFrame, log: list[tuple], bes
 def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: str, model_config: ModelConfig | None = None, config: AdaptiveConfig | None = None, on_round: Callable[[dict], None] | None = None) -> AdaptiveResult:
     """The plainer loop. A round is judged by the model's accuracy on the rows it was trained on, and ends the loop once
     that reaches min_training_accuracy. Else a sample of all wrong rows, selected ones too, joins the selection, where
-    rows that are in it already count once; rounds without a gain of min_improvement use up patience. The last round's
+    rows that are in it already count once; rounds without a gain of more than min_improvement percent points use up patience. The last round's
     model and selection are the result."""
     config, model_config = config or AdaptiveConfig(), model_config or ModelConfig()
     df = df.select(key, *features, target).where(F.col(target).isNotNull()).persist()
@@ -166,7 +166,7 @@ def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: s
                     new = sample_rows(scored.where("predicted != k"), key, take, config.seed, rnd).select(key)
                     grown = cut(append_selection(chosen, new, key))
                     added = grown.count() - size
-                better = wrong and gain > config.min_improvement
+                better = wrong and 100 * gain > config.min_improvement
                 top, waited = (accuracy, 0) if better else (top, waited + 1)
                 done = waited >= config.patience or rnd == config.max_adaptive_rounds
             _note(log, on_round, rnd, size, accuracy, on_all, added, gain, "training", sure)

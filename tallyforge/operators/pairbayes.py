@@ -14,6 +14,7 @@ from itertools import combinations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
+from ..functions.features import finite
 from ..session import cut
 
 CELL = ["i", "bi", "l", "bl"]
@@ -55,8 +56,8 @@ def config_for(kind: str, **override) -> ModelConfig:
 
 
 def feature_bins(df: DataFrame, features: list[str], resol: int, known: dict[str, tuple] | None = None) -> dict[str, tuple]:
-    """feature -> (min, max), one pass, two numbers a feature; known bounds are only ever widened."""
-    row = df.agg(*(f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    """feature -> (min, max) of its finite values, one pass, two numbers a feature; known bounds are only ever widened."""
+    row = df.agg(*(f(finite(F.col(f"`{c}`"))).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
     out = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(features)}
     for c, (lo, hi) in (known or {}).items():
         if c in out:
@@ -66,10 +67,10 @@ def feature_bins(df: DataFrame, features: list[str], resol: int, known: dict[str
 
 
 def bin_of(x: Column, lo: float | None, hi: float | None, resol: int) -> Column:
-    """Bin 0..resol; values out of bounds go to the outer bins, constant features to 0."""
+    """Bin 0..resol; values out of bounds go to the outer bins, NULL, NaN and constant features to 0."""
     if lo is None or hi is None or not hi > lo:
         return F.lit(0)
-    at = F.floor((x.cast("double") - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * resol + 0.5)
+    at = F.floor((F.nanvl(x.cast("double"), F.lit(float("-inf"))) - F.lit(float(lo))) / F.lit(float(hi) - float(lo)) * resol + 0.5)
     return F.least(F.lit(resol), F.greatest(F.lit(0), at)).cast("int")
 
 

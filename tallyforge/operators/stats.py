@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from ..functions.features import numeric_columns
+from ..functions.features import finite, numeric_columns
 from ..session import cut
 from .ranks import held_before
 
@@ -110,13 +110,28 @@ def bucket_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, value: str, by: str, bins: int = 20) -> DataFrame:
-    """by, bucket, n, density: counts in equal-width buckets of the whole range, as a density within each group."""
-    ends = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
-    held = df.select(by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL").crossJoin(F.broadcast(ends))
+    """by, bucket, n, density: counts of finite values in equal-width buckets of the whole range, as a density within each group."""
+    held = df.select(by, finite(F.col(value)).alias("v"))
+    ends = held.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    held = held.where("v IS NOT NULL").crossJoin(F.broadcast(ends))
     n = held.groupBy(by, bucket_of(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bucket"), ((F.col("hi") - F.col("lo")) / bins).alias("width")).agg(F.count(F.lit(1)).alias("n"))
     return n.select(by, "bucket", "n", F.try_divide(F.col("n").cast("double"), F.sum("n").over(Window.partitionBy(by)) * F.col("width")).alias("density"))
 
 
+def group_quantiles(df: DataFrame, by: str, value: str, at: dict[str, float]) -> DataFrame:
+    """by, and a column for each named percentile of the group, exact, in proportion between the two nearest values.
+
+    Values of a group are placed by ranges after equal ones are counted; a group's rows never meet in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = cut(held_before(counts, [by], [F.col("v")], F.col("n"), "before"))
+    whole = placed.groupBy(F.col(by).alias("__of")).agg(F.sum("n").alias("whole"))
+    near = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("n")), F.col("v")))
+    place = lambda q: (F.col("whole") - 1) * F.lit(float(q))
+    parts = [f.alias(f"__{p}{i}") for i, q in enumerate(at.values()) for p, f in (("a", near(F.floor(place(q)))), ("b", near(F.ceil(place(q)))), ("c", F.max(place(q) - F.floor(place(q)))))]
+    ends = placed.join(whole, F.col(by).eqNullSafe(F.col("__of"))).groupBy(by).agg(*parts)
+    return ends.select(by, *((F.col(f"__a{i}") + (F.col(f"__b{i}") - F.col(f"__a{i}")) * F.col(f"__c{i}")).alias(name) for i, name in enumerate(at)))
+
+
 def quantiles(df: DataFrame, value: str, at: list[float]) -> DataFrame:
     """Exact percentiles p{100 * at}, in proportion between the two nearest values.
 
@@ -180,16 +195,24 @@ def key_rounds(rounds: DataFrame, order: str = "round") -> DataFrame:
 
 
 def series_features(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
-    """series, mean, std, min, max, median, p25, p75, mean_diff, std_diff (population)."""
+    """series, mean, std, min, max, median, p25, p75, mean_diff, std_diff (population).
+
+    Exact percentiles come from counts of equal values placed by ranges, not from a series' values in one task."""
     w = Window.partitionBy(series).orderBy(*order)
     steps = df.withColumn("__d", F.col(value) - F.lag(value).over(w))
-    p = lambda q: F.percentile(value, F.lit(q))
-    return steps.groupBy(series).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), p(0.5).alias("median"), p(0.25).alias("p25"), p(0.75).alias("p75"), F.avg("__d").alias("mean_diff"), F.stddev_pop("__d").alias("std_diff"))
+    plain = steps.groupBy(series).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg("__d").alias("mean_diff"), F.stddev_pop("__d").alias("std_diff"))
+    return _with_quantiles(plain, df, series, value, {"median": 0.5, "p25": 0.25, "p75": 0.75}).select(series, "mean", "std", "min", "max", "median", "p25", "p75", "mean_diff", "std_diff")
 
 
 def handcrafted_summary(df: DataFrame, by: str, value: str) -> DataFrame:
     """by, mean, std (population), min, max, median, length."""
-    return df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("length"))
+    plain = df.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), F.count(value).alias("length"))
+    return _with_quantiles(plain, df, by, value, {"median": 0.5}).select(by, "mean", "std", "min", "max", "median", "length")
+
+
+def _with_quantiles(plain: DataFrame, df: DataFrame, by: str, value: str, at: dict[str, float]) -> DataFrame:
+    found = group_quantiles(df, by, value, at).withColumnRenamed(by, "__by")
+    return plain.join(found, plain[by].eqNullSafe(F.col("__by")), "left").drop("__by")
 
 
 def array_series_features(values: Column) -> dict[str, Column]:

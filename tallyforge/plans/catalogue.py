@@ -72,6 +72,17 @@ def pair_score_confusion(spark, sf_dir):
     return found.select("actual", name.alias("predicted"), "n")
 
 
+_GAPS = "g AS (SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice, l_discount, l_returnflag FROM lineitem)"
+
+
+@query(f"WITH {_GAPS}, {with_core('g', LINE_FEATURES[:3], LINE_LABEL, RESOL)} SELECT i, bi, l, bl, k, cnt FROM net")
+def pair_counts_with_gaps(spark, sf_dir):
+    """lineitem with NaN and NULL in two features: bounds come from the other values, gaps lie in bin 0."""
+    gap = lambda c, n, v: F.when(F.col("l_orderkey") % n == 0, F.lit(v).cast("double")).otherwise(F.col(c).cast("double")).alias(c)
+    rows = table(spark, sf_dir, "lineitem").select(gap("l_quantity", 7, float("nan")), gap("l_extendedprice", 5, None), "l_discount", LINE_LABEL)
+    return pairbayes.fit(rows, LINE_FEATURES[:3], LINE_LABEL, LINE_CONFIG).net
+
+
 @query(f"WITH o AS (SELECT o_orderkey, o_totalprice, month(o_orderdate) AS o_month, day(o_orderdate) AS o_day, o_orderstatus FROM orders), {with_core('o', ['o_totalprice', 'o_month', 'o_day'], 'o_orderstatus', 10, 'o_orderkey')} SELECT row_id, k, round(p, 10) AS p FROM post")
 def class_posteriors(spark, sf_dir):
     names, label = ["o_totalprice", "o_month", "o_day"], "o_orderstatus"
@@ -312,6 +323,22 @@ def target_filter(spark, sf_dir):
     return features.encode_target(df, "quality")
 
 
+@query("""WITH o AS (SELECT o_orderkey, 2147483648 + o_custkey % 4 * 100000000000 AS y FROM orders WHERE o_custkey IS NOT NULL),
+c AS (SELECT y, row_number() OVER (ORDER BY CAST(y AS VARCHAR)) - 1 AS code FROM (SELECT DISTINCT y FROM o)) SELECT o_orderkey, code AS y FROM o JOIN c USING (y)""")
+def large_labels(spark, sf_dir):
+    """Whole labels that no INT holds become codes."""
+    y = F.lit(2147483648) + F.col("o_custkey").cast("long") % 4 * F.lit(100000000000)
+    return features.encode_target(table(spark, sf_dir, "orders").select("o_orderkey", y.alias("y")), "y").select("o_orderkey", "y")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(l_partkey + 100000 AS DOUBLE) * (l_suppkey + 100000) AS a_x_b, CAST(l_partkey + 100000 AS DOUBLE) * (l_partkey + 100000) - 1 AS sq FROM lineitem")
+def large_products(spark, sf_dir):
+    """Products of whole numbers beyond the largest INT."""
+    whole = lambda c: (F.col(c) + 100000).cast("int")
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", whole("l_partkey").alias("a"), whole("l_suppkey").alias("b"))
+    return expr.derive(features.interactions(df, ["a", "b"]), "sq", "a * a - 1").select("l_orderkey", "l_linenumber", "a_x_b", "sq")
+
+
 # --- selection ---------------------------------------------------------------------------------------------------------
 
 
@@ -376,14 +403,23 @@ def round_analytics(spark, sf_dir):
     return out.select(F.col("day").cast("string").alias("day"), "n", "new_samples", *r6("best_before", "improvement"), F.round("cumulative", 5).alias("cumulative"), "waited", *r6("growth_pct"))
 
 
-@query("SELECT CAST(r AS INT) AS round, r = 1 OR (r <= 10 AND r % 2 = 0) OR (r > 10 AND r <= 50 AND r % 5 = 0) OR (r > 50 AND r % 10 = 0) AS strategic FROM range(1, 121) t(r)")
+_ROUNDS = "t AS (SELECT DISTINCT CAST(1 + datediff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS INT) AS r FROM events)"
+
+
+def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round for each day of events, counted from the first."""
+    day = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day")).distinct()
+    return day.crossJoin(F.broadcast(day.agg(F.min("day").alias("first")))).select((F.datediff("day", "first") + 1).alias("round"))
+
+
+@query(f"WITH {_ROUNDS} SELECT r AS round, r = 1 OR (r <= 10 AND r % 2 = 0) OR (r > 10 AND r <= 50 AND r % 5 = 0) OR (r > 50 AND r % 10 = 0) AS strategic FROM t")
 def strategic_rounds(spark, sf_dir):
-    return stats.strategic_rounds(spark.range(1, 121).select(F.col("id").cast("int").alias("round")))
+    return stats.strategic_rounds(_rounds(spark, sf_dir))
 
 
-@query("SELECT CAST(r AS INT) AS round FROM (VALUES (1), (61), (120)) t(r)")
+@query(f"WITH {_ROUNDS}, p AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS place, count(*) OVER () AS n FROM t) SELECT r AS round FROM p WHERE n <= 5 OR place IN (0, n // 2, n - 1)")
 def key_rounds(spark, sf_dir):
-    return stats.key_rounds(spark.range(1, 121).select(F.col("id").cast("int").alias("round")))
+    return stats.key_rounds(_rounds(spark, sf_dir))
 
 
 @query(f"WITH {_DAYS} SELECT CAST(day AS VARCHAR) AS day, n, acc FROM d ORDER BY acc DESC, day LIMIT 1")
@@ -518,14 +554,26 @@ def discovered_scan(spark, sf_dir):
     return readers.load(spark, readers.discover(spark, folder, "customer"))
 
 
-@query("SELECT 'f' || CAST(r AS INT) AS name, CAST(r AS INT) * 10 AS resol FROM range(3) t(r)")
+@query("SELECT lower(c_mktsegment) AS name, count(*) AS resol FROM customer GROUP BY ALL")
 def config_scan(spark, sf_dir):
+    """A configuration file for each market segment, with its number of customers, found by name and read again."""
     folder, out = own_path(spark, "configs"), []
-    for i in range(3):
-        readers.write_text(spark, f"{folder}/f{i}.{'json' if i % 2 else 'conf'}", f'{{"resol": {i * 10}}}')
+    for i, r in enumerate(table(spark, sf_dir, "customer").groupBy(F.lower("c_mktsegment").alias("name")).count().collect()):
+        readers.write_text(spark, f"{folder}/{r['name']}.{'json' if i % 2 else 'conf'}", f'{{"resol": {r["count"]}}}')
     for name in readers.dataset_names(spark, folder):
         out.append((name, readers.config(spark, folder, name)[0]["resol"]))
-    return spark.createDataFrame(out, "name string, resol int")
+    return spark.createDataFrame(out, "name string, resol long")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(p_size AS VARCHAR) AS p_size FROM part
+UNION ALL SELECT 'p_partkey', 'p_size' FROM part WHERE p_size % 10 = 0""")
+def dat_rows_like_the_header(spark, sf_dir):
+    """Files with headers, in which rows stand that equal the header: only the headers go."""
+    path = own_path(spark, "doubled") + ".dat"
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), F.col("p_size").cast("string"))
+    doubled = part.unionByName(part.where("p_size % 10 = 0").select(F.lit("p_partkey").alias("p_partkey"), F.lit("p_size").alias("p_size")))
+    doubled.repartition(3).write.option("header", True).option("sep", " ").csv(path)
+    return readers.load(spark, path)
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

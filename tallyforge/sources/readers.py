@@ -40,9 +40,13 @@ def csv(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def delimited_text(spark: SparkSession, path: str, pattern: str, header: bool = True) -> DataFrame:
-    """Lines split at a pattern; all must have as many fields as the first. Columns that cast are numbers."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), pattern).alias("f")).where(F.size("f") > 0)
-    lines = lines.where("NOT (size(f) = 1 AND f[0] = '')")
+    """Lines split at a pattern; all must have as many fields as the first. Columns that cast are numbers. A header is the
+    first line that isn't empty of each file, and left out as such; rows that happen to equal it are rows."""
+
+    def fields(lines: DataFrame) -> DataFrame:
+        return lines.select(F.split(F.trim("value"), pattern).alias("f")).where("NOT (size(f) = 1 AND f[0] = '')")
+
+    lines = fields(spark.read.text(path))
     first = lines.first()
     if first is None:
         raise ValueError(f"{path} is empty")
@@ -50,7 +54,9 @@ def delimited_text(spark: SparkSession, path: str, pattern: str, header: bool =
     if n < 2 or not lines.where(F.size("f") != n).isEmpty():
         raise ValueError(f"{path} has no even columns parted by {pattern!r}")
     names = first.f if header else [f"feature_{i}" for i in range(n - 1)] + ["target"]
-    rows = lines.where(F.col("f") != F.array(*map(F.lit, first.f))) if header else lines
+    # a line is one field of the CSV reader, which leaves out each file's header by its place
+    whole = {"header": True, "sep": "\u0001", "quote": "", "escape": "", "comment": "", "maxCharsPerColumn": -1}
+    rows = fields(spark.read.schema("value string").options(**whole).csv(path).where("value IS NOT NULL")) if header else lines
     out = rows.select(*(F.col("f")[i].alias(c) for i, c in enumerate(names)))
     from ..functions.features import number
 
@@ -72,9 +78,11 @@ def matrix(spark: SparkSession, path: str) -> DataFrame:
     """Numbers without a header: feature_0, feature_1, ..., target."""
     for pattern in (r"\s+", r"\s*,\s*"):
         try:
-            return delimited_text(spark, path, pattern, header=False)
+            df = delimited_text(spark, path, pattern, header=False)
         except ValueError:
             continue
+        if all(t == "double" for _, t in df.dtypes):
+            return df
     raise ValueError(f"{path} isn't a matrix of numbers")
 
 
