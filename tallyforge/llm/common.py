@@ -19,6 +19,8 @@ BROADCAST_ROWS = 300_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _made: list[tuple[SparkSession, str]] = []
+#: Path of a table -> weak reference of the JVM to the files that plans read it from.
+_read: dict[str, object] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -59,13 +61,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage at a table in the shared folder: survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _read[path] = df.sparkSession.sparkContext._jvm.java.lang.ref.WeakReference(files)
+    return out
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of plans that nothing refers to any more, before its own driver comes to it."""
+    """Lets Spark remove shuffle files of plans that nothing refers to any more, before its own driver comes to it, and
+    removes the tables of materialize() that no plan reads any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    for at, path in [m for m in _made if m[0] is spark and m[1] in _read]:
+        if _read[path].get() is None:
+            remove(spark, path)
+            _made.remove((at, path))
+            del _read[path]
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pathlib
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ from collections import Counter
 import pyspark.sql.functions as F
 import pytest
 
-from tallyforge.llm import importance_resampling, periodic_runs, queries, secret_scan
+from tallyforge.llm import common, importance_resampling, periodic_runs, queries, secret_scan
 
 from ..conftest import rows_of
 from .cases import CLASHING, edge_docs, edge_rows, no_docs
@@ -282,3 +283,19 @@ def test_scan_edges(spark, docs):
     masked = {(r.doc_id, r.text) for r in secret_scan.redact(more).collect()}
     assert masked == {(i, f"{t or ''} [SECRET] [SECRET].") for i, t, *_ in edge_rows()}
     assert secret_scan.redact(docs).columns == docs.columns and rows_of(secret_scan.redact(docs)) == rows_of(docs)
+
+
+# --- scratch tables --------------------------------------------------------------------------------------------------
+
+
+def test_scratch_goes_once_no_plan_reads_it(spark):
+    path = lambda: common._made[-1][1]
+    first = common.materialize(spark.range(10), "first")
+    gone = path()
+    second = common.materialize(first.where("id > 3"), "second")
+    kept = path()
+    derived = second.groupBy().count()
+    del first, second
+    common.release(spark)
+    exists = lambda p: pathlib.Path(p.removeprefix("file:")).exists()
+    assert not exists(gone) and exists(kept) and derived.first()[0] == 6
