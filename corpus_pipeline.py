@@ -1,7 +1,13 @@
 """The corpus pipeline: toxicity, exact dedup, near-duplicate dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run()
-writes each stage's result to the shared folder and reads it again as the next one's docs.
+writes each stage's result to the shared folder and reads it again as the next one's docs. Before a stage begins, scratch
+tables and shuffle files that no plan refers to any more are removed.
+
+Defined cases, in every stage: rows with a null doc_id and repeated rows are rows like others; null and empty texts are
+equal to each other, clean, and packed as their end token alone; very long texts are read whole; columns beside those of
+documents pass through; an empty table gives an empty result. Ties go to the largest doc_id among equal texts, and to the
+least among near copies.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import exact_dedup, minhash_join, mixing, packing, toxicity
-from tallyforge.llm.common import crc_fold, materialize
+from tallyforge.llm.common import crc_fold, materialize, release
 from tallyforge.llm.queries import mix_plan, table, word_tokenizer
 from tallyforge.session import ship
 
@@ -24,23 +30,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id."""
+    release(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    ship(spark)
+    release(ship(spark))
     return minhash_join.keep_one(docs, threshold=0.8, n=5)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens, by weights; no document twice."""
+    release(spark)
     return mixing.select(docs, mix_plan(docs, budget_percent=90, max_epochs=1, seed=7))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
-    ship(spark)
+    release(ship(spark))
     pieces = packing.pack(docs, word_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
