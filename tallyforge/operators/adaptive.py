@@ -60,7 +60,7 @@ class AdaptiveResult:
     def evaluate(self, df: DataFrame, key: str) -> dict:
         """accuracy, confusion and report over df, and what the loop did."""
         m = self.model
-        scored = m.score(df.withColumn("k", class_number(F.col(f"`{m.target}`"), m.classes)), key)
+        scored = m.score(df.withColumn("k", class_number(F.col(f"`{m.target}`"), m.classes)))
         return {
             "accuracy": scored.agg(F.avg((F.col("k") == F.col("predicted")).cast("double"))).first()[0],
             "confusion_matrix": confusion(scored, "k", "predicted", list(range(1, len(m.classes) + 1))),
@@ -93,7 +93,7 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
         log, parts, best, waited = [], [], None, 0
         for rnd in range(1, config.max_adaptive_rounds + 1):
             parts.append(selection.withColumn("round", F.lit(rnd)))
-            model = fit(selected(df, selection, key), features, target, frame=frame, key=key)
+            model = fit(selected(df, selection, key), features, target, frame=frame)
             scored = _judged(model, rows, key)  # read for figures and for the pool
             judged = scored.join(selection.withColumn("__in", F.lit(True)), key, "left")
             right = (F.col("k") == F.col("predicted")).cast("double")
@@ -124,7 +124,7 @@ def learn(df: DataFrame, key: str, features: list[str], target: str, model_confi
 def _judged(model: PairModel, rows: DataFrame, key: str) -> DataFrame:
     """key, k, predicted, confidence (the predicted class's probability), in a table."""
     sure = F.array_max(posteriors(F.col("scores"))).alias("confidence")
-    return cut(model.score(rows, key).select(key, "k", "predicted", sure))
+    return cut(model.score(rows).select(key, "k", "predicted", sure))
 
 
 def _note(log: list[tuple], on_round: Callable[[dict], None] | None, *row) -> None:
@@ -153,7 +153,7 @@ def learn_from_all_wrong(df: DataFrame, key: str, features: list[str], target: s
         for rnd in range(1, config.max_adaptive_rounds + 1):
             parts.append(chosen.withColumn("round", F.lit(rnd)))
             known = selected(rows, chosen, key)
-            model = fit(known.drop("k"), features, target, frame=frame, key=key)
+            model = fit(known.drop("k"), features, target, frame=frame)
             right = (F.col("k") == F.col("predicted")).cast("double")
             scored = _judged(model, rows, key)
             size, accuracy = selected(scored, chosen, key).agg(F.count(F.lit(1)), F.avg(right)).first()

@@ -61,6 +61,6 @@ def run_pipeline(df: DataFrame, key: str, item: str, label: str, kind: str, size
     table = made.select(key, label, *(F.coalesce(F.get("features", i), F.lit(0.0)).alias(n) for i, n in enumerate(names)))
     parts = stratified_split(table, label, arithmetic_key(key, 42), key)
     config = config_for({"vector": "high_dimensional"}.get(kind, kind), **override)
-    model: PairModel = fit(parts.where("part = 'train'"), names, label, config, key=key)
-    scored = model.score(parts.where("part = 'test'").withColumn("k", class_number(F.col(label), model.classes)), key)
+    model: PairModel = fit(parts.where("part = 'train'"), names, label, config)
+    scored = model.score(parts.where("part = 'test'").withColumn("k", class_number(F.col(label), model.classes)))
     return {"analysis": dataset_analysis(table, names, label), "model": model, "test": confusion(scored, "k", "predicted", list(range(1, len(model.classes) + 1)))}

@@ -2,8 +2,8 @@
 
 Counts are a sparse table (i, bi, l, bl, k, cnt); cells that aren't there stand for the prior of one row per class.
 Scoring looks cells up pair by pair: the table of one pair of features has at most (resol + 1)^2 rows, whatever the
-input, so these are broadcast, if they are counted to be small, and a row is scored where it lies. With many features and
-a key of the rows these are unpivoted and joined.
+input, so these are broadcast, if they are counted to be small, and a row is scored where it lies. A plan of a join a pair
+suits few features; with more, features are counted and looked up in blocks (feature_blocks.py), with the same results.
 """
 
 from __future__ import annotations
@@ -12,15 +12,16 @@ from dataclasses import asdict, dataclass, field, replace
 from itertools import combinations
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from ..functions.features import finite
 from ..session import cut
+from . import feature_blocks
 
 CELL = ["i", "bi", "l", "bl"]
-#: Up to so many pairs of features a row is scored in place unasked; each is a join of its own.
-IN_PLACE_PAIRS = 66
-#: Cells are broadcast up to so many bytes of scores in all; larger ones are joined as Spark sees fit.
+#: Features whose pairs a plan joins one by one; more are dealt into blocks.
+JOINED_FEATURES = 12
+#: Cells are broadcast up to so many bytes in all; larger ones are joined as Spark sees fit.
 BROADCAST_BYTES = 128 << 20
 
 
@@ -57,8 +58,13 @@ def config_for(kind: str, **override) -> ModelConfig:
 
 def feature_bins(df: DataFrame, features: list[str], resol: int, known: dict[str, tuple] | None = None) -> dict[str, tuple]:
     """feature -> (min, max) of its finite values, one pass, two numbers a feature; known bounds are only ever widened."""
-    row = df.agg(*(f(finite(F.col(f"`{c}`"))).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    out = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(features)}
+    if len(features) <= JOINED_FEATURES:
+        row = df.agg(*(f(finite(F.col(f"`{c}`"))).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("lo", F.min), ("hi", F.max)))).first()
+        out = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(features)}
+    else:  # hundreds of aggregates make a plan that takes longer than the data
+        long = df.select(F.posexplode(F.array(*(F.col(f"`{c}`").cast("double") for c in features))).alias("i", "x")).select("i", finite(F.col("x")).alias("x"))
+        held = {r.i: (r.lo, r.hi) for r in long.groupBy("i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+        out = {c: held.get(i, (None, None)) for i, c in enumerate(features)}
     for c, (lo, hi) in (known or {}).items():
         if c in out:
             held = [x for x in (lo, out[c][0]) if x is not None], [x for x in (hi, out[c][1]) if x is not None]
@@ -129,28 +135,22 @@ def cell_scores(net: DataFrame, n_classes: int, weights: DataFrame | None = None
     return cells.select(*CELL, F.array(*score).alias("s"))
 
 
-def add_scores(df: DataFrame, n: int, cells: DataFrame, n_classes: int, key: str | None = None, in_place: bool = False) -> DataFrame:
-    """df with scores, an array of one log score a class. If there are many features, key names rows, for one join of all
-    pairs, or in_place asks for a join a pair, which streams need."""
+def add_scores(df: DataFrame, n: int, cells: DataFrame, n_classes: int) -> DataFrame:
+    """df with scores, an array of one log score a class, by a join for each pair of features; rows stay where they are as
+    long as the counted cells are small enough to broadcast."""
     blank = F.array(*[F.lit(0.0) - F.ln(F.lit(float(n_classes)))] * n_classes)
     cells = cut(cells)
-    if in_place or len(pairs_of(n)) <= IN_PLACE_PAIRS:
-        fits = cells.count() * (n_classes + len(CELL)) * 8 <= BROADCAST_BYTES
-        out, names = df, []
-        for p, (i, j) in enumerate(pairs_of(n)):
-            part = cells.where((F.col("i") == i) & (F.col("l") == j)).select(F.col("bi").alias(f"b{i}"), F.col("bl").alias(f"b{j}"), F.col("s").alias(f"__s{p}"))
-            out = out.join(F.broadcast(part) if fits else part, [f"b{i}", f"b{j}"], "left")
-            names.append(f"__s{p}")
-        total = [F.lit(0.0) for _ in range(n_classes)]
-        for s in names:
-            held = F.coalesce(s, blank)
-            total = [t + held[k] for k, t in enumerate(total)]
-        return out.withColumn("scores", F.array(*total)).drop(*names)
-    if key is None:
-        raise ValueError("a key of the rows is needed to score so many features, or in_place=True")
-    long = _exploded(df, n, key).join(cells, CELL, "left").withColumn("s", F.coalesce("s", blank))
-    summed = long.groupBy(key).agg(*(F.sum(F.col("s")[k]).alias(f"s{k}") for k in range(n_classes)))
-    return df.join(summed.select(key, F.array(*(f"s{k}" for k in range(n_classes))).alias("scores")), key)
+    fits = cells.count() * (n_classes + len(CELL)) * 8 <= BROADCAST_BYTES
+    out, names = df, []
+    for p, (i, j) in enumerate(pairs_of(n)):
+        part = cells.where((F.col("i") == i) & (F.col("l") == j)).select(F.col("bi").alias(f"b{i}"), F.col("bl").alias(f"b{j}"), F.col("s").alias(f"__s{p}"))
+        out = out.join(F.broadcast(part) if fits else part, [f"b{i}", f"b{j}"], "left")
+        names.append(f"__s{p}")
+    total = [F.lit(0.0) for _ in range(n_classes)]
+    for s in names:
+        held = F.coalesce(s, blank)
+        total = [t + held[k] for k, t in enumerate(total)]
+    return out.withColumn("scores", F.array(*total)).drop(*names)
 
 
 def best_class(scores: Column) -> Column:
@@ -169,12 +169,16 @@ def posteriors(scores: Column) -> Column:
 # --- boosting ------------------------------------------------------------------------------------------------------
 
 
+def lagging(gain: float) -> Column:
+    """What a wrong row adds to the weights of its true class: gain * (1 - p_true / p_predicted)."""
+    return gain * (1 - F.exp(F.element_at("scores", F.col("k")) - F.element_at("scores", F.col("predicted"))))
+
+
 def boost(scored: DataFrame, n: int, weights: DataFrame | None, gain: float) -> DataFrame:
     """Weights after one batch epoch: each cell of the true class that wrong rows touch grows by the mean of
     gain * (1 - p_true / p_predicted) over those rows. scored has bins, scores, k and predicted."""
     wrong = scored.where("predicted != k")
-    delta = gain * (1 - F.exp(F.element_at("scores", F.col("k")) - F.element_at("scores", F.col("predicted"))))
-    touched = _exploded(wrong.withColumn("__d", delta), n, "k", "__d").groupBy(*CELL, "k").agg(F.avg("__d").alias("d"))
+    touched = _exploded(wrong.withColumn("__d", lagging(gain)), n, "k", "__d").groupBy(*CELL, "k").agg(F.avg("__d").alias("d"))
     if weights is None:
         return touched.select(*CELL, "k", (F.lit(1.0) + F.col("d")).alias("w"))
     both = weights.join(touched, [*CELL, "k"], "full")
@@ -197,6 +201,8 @@ class PairModel:
     weights: DataFrame | None = None
     accuracy: float | None = None
     history: list[dict] = field(default_factory=list)
+    #: With many features the counts and weights are here, and net and weights are read from it.
+    packed: DataFrame | None = None
 
     @property
     def n(self) -> int:
@@ -208,20 +214,41 @@ class PairModel:
             raise ValueError(f"features not found: {', '.join(gone)}")
         return df
 
-    def score(self, df: DataFrame, key: str | None = None, in_place: bool = False) -> DataFrame:
-        """df with bins, scores, predicted (class number)."""
-        cells = cell_scores(self.net, len(self.classes), self.weights)
-        out = add_scores(binned(self.check(df), self.bins, self.config.resol), self.n, cells, len(self.classes), key, in_place)
+    @property
+    def grid(self) -> feature_blocks.Grid:
+        return feature_blocks.Grid(self.n, self.config.resol, len(self.classes))
+
+    def with_packed(self, packed: DataFrame) -> PairModel:
+        """The model with these packed counts and weights."""
+        rows = feature_blocks.cells(packed, self.grid)
+        return replace(self, packed=packed, net=rows.drop("w"), weights=rows.where("w != 1").select(*CELL, "k", "w"))
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """df with scores and predicted (class number), and with few features their bins."""
+        self.check(df)
+        if self.packed is None:
+            out = add_scores(binned(df, self.bins, self.config.resol), self.n, cell_scores(self.net, len(self.classes), self.weights), len(self.classes))
+        elif feature_blocks.size_of(self.packed) <= BROADCAST_BYTES:
+            out = feature_blocks.score_in_place(df, self.bins, self.packed, self.grid)
+        elif df.isStreaming:
+            raise ValueError("the model is too large to score a stream's rows where they lie; use increments.score_batches")
+        else:
+            rows = cut(df.withColumn("__row", F.monotonically_increasing_id()))
+            blocks = cut(feature_blocks.deal(rows, self.bins, self.grid, "__row"))
+            found = feature_blocks.score(blocks, self.packed, self.grid).select(F.col("row").alias("__row"), "scores")
+            out = rows.join(found, "__row").drop("__row")
         return out.withColumn("predicted", best_class(F.col("scores")))
 
-    def transform(self, df: DataFrame, key: str | None = None, in_place: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame) -> DataFrame:
         """df with Prediction (the class's name) and Confidence (its probability)."""
-        out = self.score(df, key, in_place)
+        out = self.score(df)
         name = F.element_at(F.array(*(F.lit(str(c)) for c in self.classes)), F.col("predicted"))
         best = F.array_max(posteriors(F.col("scores")))
         return out.withColumn("Prediction", name).withColumn("Confidence", best).drop("scores", "predicted", *(f"b{i}" for i in range(self.n)))
 
     def without_weights(self) -> PairModel:
+        if self.packed is not None:
+            return self.with_packed(self.packed.withColumn("weights", F.lit(None).cast("binary")))
         return replace(self, weights=None)
 
     def describe(self) -> dict:
@@ -230,25 +257,35 @@ class PairModel:
 
 def initialise(df: DataFrame, features: list[str], target: str, config: ModelConfig, known: dict[str, tuple] | None = None) -> PairModel:
     """Bounds and classes from the full data, with no counts yet: every class is as likely everywhere."""
-    bins = feature_bins(df, features, config.resol, known)
-    empty = df.sparkSession.createDataFrame([], "i int, bi int, l int, bl int, k int, cnt long")
-    return PairModel(config, features, target, bins, classes_of(df, target), empty)
+    return initialised(df.sparkSession, config, features, target, feature_bins(df, features, config.resol, known), classes_of(df, target))
+
+
+def initialised(spark: SparkSession, config: ModelConfig, features: list[str], target: str, bins: dict[str, tuple], classes: list) -> PairModel:
+    return PairModel(config, features, target, bins, classes, spark.createDataFrame([], "i int, bi int, l int, bl int, k int, cnt long"))
 
 
-def fit(df: DataFrame, features: list[str], target: str, config: ModelConfig | None = None, frame: PairModel | None = None, key: str | None = None) -> PairModel:
+def fit(df: DataFrame, features: list[str], target: str, config: ModelConfig | None = None, frame: PairModel | None = None) -> PairModel:
     """Counts df and boosts epoch by epoch, until all rows are right, patience ends without a better epoch, or
     max_epochs. The best epoch's weights are kept. frame: bounds and classes to keep from another fit."""
     frame = frame or initialise(df, features, target, config or ModelConfig())
     config = config or frame.config
-    rows = df.withColumn("k", class_number(F.col(f"`{target}`"), frame.classes)).where("k IS NOT NULL")
-    rows = rows.select(*dict.fromkeys([*features, *([key] if key else []), "k"]))
-    net = cut(pair_counts(binned(rows, frame.bins, config.resol), len(features), F.col("k")))
-    model = replace(frame, config=config, net=net, weights=None, accuracy=None, history=[])
-    rows = rows.persist()
+    rows = df.withColumn("k", class_number(F.col(f"`{target}`"), frame.classes)).where("k IS NOT NULL").select(*features, "k")
+    frame = replace(frame, config=config, weights=None, packed=None, accuracy=None, history=[])
+    if len(features) > JOINED_FEATURES:
+        # rows are dealt into blocks once; epochs only read these
+        rows = cut(feature_blocks.deal(cut(rows.withColumn("__row", F.monotonically_increasing_id())), frame.bins, frame.grid, "__row", F.col("k")))
+        model = frame.with_packed(feature_blocks.count(rows, frame.grid))
+        score = lambda m: cut(feature_blocks.score(rows, m.packed, m.grid).withColumn("predicted", best_class(F.col("scores"))))
+        better = lambda m, scored: m.with_packed(cut(feature_blocks.boost(rows, m.packed, scored.where("predicted != k").select("shard", "at", lagging(config.gain).alias("delta")), m.grid)))
+    else:
+        model = replace(frame, net=cut(pair_counts(binned(rows, frame.bins, config.resol), len(features), F.col("k"))))
+        rows = rows.persist()
+        score = lambda m: m.score(rows)
+        better = lambda m, scored: replace(m, weights=cut(boost(scored, m.n, m.weights, config.gain)))
     best, waited = None, 0
     try:
         for epoch in range(config.max_epochs + 1):
-            scored = model.score(rows, key)
+            scored = score(model)
             accuracy = scored.agg(F.avg((F.col("predicted") == F.col("k")).cast("double"))).first()[0]
             if accuracy is None:
                 break
@@ -259,7 +296,7 @@ def fit(df: DataFrame, features: list[str], target: str, config: ModelConfig | N
                 waited += 1
             if accuracy >= 1 or waited >= config.patience or epoch == config.max_epochs:
                 break
-            model = replace(model, weights=cut(boost(scored, model.n, model.weights, config.gain)))
+            model = better(model, scored)
     finally:
         rows.unpersist()
     return best or model

@@ -100,6 +100,32 @@ def feature_bins(spark, sf_dir):
 PART_GAIN = 2.0
 
 
+WIDE = [f"x{i}" for i in range(64)]
+WIDE_CONFIG = pairbayes.ModelConfig(resol=10, max_epochs=0)
+WIDE_CORE = f"e AS (SELECT vec_id, label, {', '.join(f'embedding[{i + 1}] AS {c}' for i, c in enumerate(WIDE))} FROM embeddings), {with_core('e', WIDE, 'label', 10, 'vec_id')}"
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with a column for each of their 64 dimensions."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.get("embedding", i).alias(c) for i, c in enumerate(WIDE)))
+
+
+@query(f"WITH {WIDE_CORE} SELECT i, l, count(*) AS cells, CAST(sum(cnt) AS BIGINT) AS n, max(cnt) AS most, CAST(sum(bi * 1000000 + bl * 1000 + k * cnt) AS BIGINT) AS check_sum FROM net GROUP BY i, l")
+def wide_pair_counts(spark, sf_dir):
+    """Counts of all pairs of 64 features, each pair summed up."""
+    net = pairbayes.fit(_wide(spark, sf_dir), WIDE, "label", WIDE_CONFIG).net
+    said = F.sum(F.col("bi") * 1000000 + F.col("bl") * 1000 + F.col("k") * F.col("cnt")).cast("long")
+    return net.groupBy("i", "l").agg(F.count(F.lit(1)).alias("cells"), F.sum("cnt").alias("n"), F.max("cnt").alias("most"), said.alias("check_sum"))
+
+
+@query(f"WITH {WIDE_CORE} SELECT row_id AS vec_id, p AS predicted, round(top, 8) AS confidence FROM pred JOIN (SELECT row_id, max(p) AS top FROM post GROUP BY row_id) USING (row_id)")
+def wide_predictions(spark, sf_dir):
+    """The class of each row by all 2,016 pairs of features."""
+    rows = _wide(spark, sf_dir)
+    model = pairbayes.fit(rows, WIDE, "label", WIDE_CONFIG)
+    return model.score(rows).select("vec_id", "predicted", F.round(F.array_max(pairbayes.posteriors(F.col("scores"))), 8).alias("confidence"))
+
+
 @query(f"""WITH {with_core('part', [*PART_FEATURES, 'p_partkey'], PART_LABEL, 10, 'p_partkey')},
 wrong AS (SELECT d.row_id, d.y, {PART_GAIN} * (1 - exp(st.s - sp.s)) AS d FROM pred d JOIN score st ON st.row_id = d.row_id AND st.k = d.y JOIN score sp ON sp.row_id = d.row_id AND sp.k = d.p WHERE d.p <> d.y)
 SELECT q.i, q.bi, q.l, q.bl, q.y AS k, round(1 + avg(w.d), 6) AS w FROM pairs q JOIN wrong w USING (row_id) GROUP BY q.i, q.bi, q.l, q.bl, q.y""")

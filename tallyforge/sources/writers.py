@@ -5,12 +5,13 @@ from __future__ import annotations
 
 import json
 import time
+from dataclasses import replace
 
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.adaptive import AdaptiveResult
-from ..operators.pairbayes import ModelConfig, PairModel
+from ..operators.pairbayes import ModelConfig, PairModel, initialised
 from . import fits
 from .readers import _fs, exists, read_text, write_text
 
@@ -59,12 +60,15 @@ def predictions(df: DataFrame, path: str, prediction: str, model_type: str, feat
 
 
 def save_model(model: PairModel, path: str) -> None:
-    """Parquet tables net and wts, and model.json."""
+    """Parquet tables net and wts, or packed with many features, and model.json."""
     spark = model.net.sparkSession
-    model.net.write.mode("overwrite").parquet(f"{path}/net")
-    if model.weights is not None:
+    if model.packed is not None:
+        model.packed.write.mode("overwrite").parquet(f"{path}/packed")
+    else:
+        model.net.write.mode("overwrite").parquet(f"{path}/net")
+    if model.weights is not None and model.packed is None:
         model.weights.write.mode("overwrite").parquet(f"{path}/wts")
-    write_text(spark, f"{path}/model.json", json.dumps(model.describe() | {"weighted": model.weights is not None, "saved": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}, default=str))
+    write_text(spark, f"{path}/model.json", json.dumps(model.describe() | {"weighted": model.weights is not None, "packed": model.packed is not None, "saved": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}, default=str))
 
 
 def load_model(spark: SparkSession, path: str) -> PairModel:
@@ -73,8 +77,11 @@ def load_model(spark: SparkSession, path: str) -> PairModel:
     d = json.loads(read_text(spark, f"{path}/model.json"))
     if not d["features"] or not d["classes"]:
         raise ValueError(f"the model in {path} has no features or classes")
-    weights = spark.read.parquet(f"{path}/wts") if d["weighted"] else None
-    return PairModel(ModelConfig(**d["config"]), d["features"], d["target"], {k: tuple(v) for k, v in d["bins"].items()}, d["classes"], spark.read.parquet(f"{path}/net"), weights, d["accuracy"], d["history"])
+    model = initialised(spark, ModelConfig(**d["config"]), d["features"], d["target"], {k: tuple(v) for k, v in d["bins"].items()}, d["classes"])
+    model = replace(model, accuracy=d["accuracy"], history=d["history"])
+    if d.get("packed"):
+        return model.with_packed(spark.read.parquet(f"{path}/packed"))
+    return replace(model, net=spark.read.parquet(f"{path}/net"), weights=spark.read.parquet(f"{path}/wts") if d["weighted"] else None)
 
 
 def save_config(spark: SparkSession, config: dict, data_file: str) -> str:

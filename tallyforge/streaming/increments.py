@@ -6,15 +6,23 @@ training on a stream is a keyed sum without expiry, kept by the state store; lat
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.pairbayes import CELL, PairModel, binned, class_number, pairs_of
 
 
 def score_stream(stream: DataFrame, model: PairModel) -> DataFrame:
-    """The stream with Prediction and Confidence; rows are scored in place, whatever the number of features."""
-    return model.transform(stream, in_place=True)
+    """The stream with Prediction and Confidence; rows are scored where they lie, whatever the number of features."""
+    return model.transform(stream)
+
+
+def score_batches(stream: DataFrame, model: PairModel, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
+    """A writer of the stream that hands each scored micro-batch to write, as a table: for models of any size."""
+    return stream.writeStream.foreachBatch(lambda batch, number: write(model.transform(batch), number))
 
 
 def count_stream(stream: DataFrame, model: PairModel) -> DataFrame:

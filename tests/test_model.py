@@ -48,26 +48,8 @@ def test_counts_and_scores(data):
     assert {tuple(r)[:5]: r.cnt for r in model.net.collect()} == dict(net)
     got = {r.id: r.scores for r in model.score(df).collect()}
     assert all(got[i] == pytest.approx(s) for i, s in scores.items())
-    long = pairbayes.add_scores(pairbayes.binned(df, model.bins, 8), 3, pairbayes.cell_scores(model.net, 3), 3, "id")
-    assert {r.id: r.scores for r in long.collect()}[5] == pytest.approx(scores[5])
-
-
-def test_unpivoted_scores_agree(data, monkeypatch):
-    _, df = data
-    model = pairbayes.fit(df, FEATURES, "label", pairbayes.ModelConfig(resol=8, max_epochs=0))
-    want = {r.id: r.scores for r in model.score(df).collect()}
-    monkeypatch.setattr(pairbayes, "IN_PLACE_PAIRS", 0)
-    assert {r.id: pytest.approx(r.scores) for r in model.score(df, "id").collect()} == want
-    with pytest.raises(ValueError, match="key"):
-        model.score(df)
-
-
-def test_many_features_are_scored_in_place(spark):
-    names = [f"f{i}" for i in range(13)]
-    df = spark.range(60).select("id", *(F.pmod(F.hash("id", F.lit(i)), F.lit(9)).cast("double").alias(c) for i, c in enumerate(names)), F.pmod("id", F.lit(2)).alias("label"))
-    model = pairbayes.fit(df, names, "label", pairbayes.ModelConfig(resol=3, max_epochs=0), key="id")
-    want = {r.id: r.scores for r in model.score(df, "id").collect()}
-    assert {r.id: pytest.approx(r.scores) for r in model.score(df, in_place=True).collect()} == want
+    joined = pairbayes.add_scores(pairbayes.binned(df, model.bins, 8), 3, pairbayes.cell_scores(model.net, 3), 3)
+    assert {r.id: r.scores for r in joined.collect()}[5] == pytest.approx(scores[5])
 
 
 @pytest.mark.parametrize("most", [0, pairbayes.BROADCAST_BYTES])
