@@ -71,7 +71,8 @@ def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files of plans that nothing refers to any more, before its own driver comes to it, and
     removes the tables of materialize() that no plan reads any more."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python's objects held in the JVM
+        spark.sparkContext._jvm.System.gc()
     for at, path in [m for m in _made if m[0] is spark and m[1] in _read]:
         if _read[path].get() is None:
             remove(spark, path)
