@@ -121,7 +121,7 @@ _DEALT = [("shard", pa.int64()), ("block", pa.int32()), ("rows", pa.binary()), (
 def deal(df: DataFrame, bounds: dict[str, tuple], grid: Grid, row: str, k: Column | None = None) -> DataFrame:
     """shard, block, rows, ks, bins: up to SHARD rows of df each; a shard is named by its first row."""
 
-    bins_of = binned(bounds, grid)
+    bins_of, most = binned(bounds, grid), SHARD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -138,10 +138,10 @@ def deal(df: DataFrame, bounds: dict[str, tuple], grid: Grid, row: str, k: Colum
             n = batch.num_rows
             x = bins_of(batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(n, grid.n))
             rows, ks = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
-            for at in range(0, n, SHARD):
-                held.append((rows[at : at + SHARD], ks[at : at + SHARD], x[at : at + SHARD]))
+            for at in range(0, n, most):
+                held.append((rows[at : at + most], ks[at : at + most], x[at : at + most]))
                 size += len(held[-1][0])
-                if size >= SHARD:
+                if size >= most:
                     yield from full()
                     held, size = [], 0
         if held:

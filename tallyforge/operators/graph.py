@@ -9,7 +9,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame, Window
 
 from ..session import cut
-from .stats import quantiles
+from . import distances
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -26,10 +26,10 @@ def class_pairs(df: DataFrame, label: str, row_id: str, vector: str) -> DataFram
 
 
 def proximity(df: DataFrame, label: str, row_id: str, vector: str, at: float) -> DataFrame:
-    """The class pairs at most as far apart as that percentile of all of them; distances are computed once."""
-    pairs = cut(class_pairs(df, label, row_id, vector))
-    limit = quantiles(pairs, "dist", [at]).toDF("limit")
-    return pairs.crossJoin(F.broadcast(limit)).where("dist <= limit").drop("limit")
+    """The class pairs at most as far apart as that percentile of all of them; only these pairs are ever rows."""
+    blocks = distances.point_blocks(df, label, row_id, vector)
+    limit = distances.distance_quantile(blocks, label, at)
+    return distances.close_pairs(blocks, label, -1.0 if limit is None else limit)
 
 
 def spanning_forest(edges: DataFrame, label: str, most_rounds: int = 40) -> DataFrame:
