@@ -6,10 +6,10 @@ import pyspark.sql.functions as F
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 
 from ..session import cut
-from . import distances
+from . import distances, neighbours
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -70,12 +70,9 @@ def _relabel(tree: DataFrame, links: DataFrame, label: str) -> DataFrame:
 
 def neighbour_density(df: DataFrame, row_id: str, vector: str, k: int = 10, by: str | None = None) -> DataFrame:
     """row_id, avg_dist (to the k nearest points of the group, itself included), density."""
-    group = F.col(by) if by else F.lit(0)
-    a = df.select(group.alias("__g"), F.col(row_id).alias("a"), F.col(vector).alias("u"))
-    b = df.select(group.alias("__g"), F.col(row_id).alias("b"), F.col(vector).alias("v"))
-    near = a.join(b, "__g").select("a", "b", distance(F.col("u"), F.col("v")).alias("d"))
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("rn") <= k)
-    return near.groupBy(F.col("a").alias(row_id)).agg(F.avg("d").alias("avg_dist")).withColumn("density", 1 / (F.col("avg_dist") + 1e-8))
+    near = neighbours.nearest(df, row_id, vector, k, by)
+    mean = F.aggregate("dists", F.lit(0.0), lambda s, d: s + d) / F.size("dists")
+    return near.select(row_id, mean.alias("avg_dist")).withColumn("density", 1 / (F.col("avg_dist") + 1e-8))
 
 
 def pca(df: DataFrame, vector: str, k: int = 3) -> tuple[DataFrame, list[float]]:
