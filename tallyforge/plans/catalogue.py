@@ -642,3 +642,49 @@ def stream_windowed_counts(spark, sf_dir):
     events = _stream(spark, sf_dir, "events").select("ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
     n = _drained(increments.windowed_counts(events, "ts", ["event_type"], "1 day", "2 days"), "stream-windows", "complete")
     return n.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+# events as predictions, and labels of most of them that come up to six hours later; two days before the last event every
+# wait is over, so what the streams have given up to then is all they ever give
+_OVER = "(SELECT date_trunc('day', max(ts)) - INTERVAL 2 DAY FROM events)"
+_LABELS = "SELECT event_id, ts + (event_id % 7) * INTERVAL 1 HOUR AS label_ts, floor(value) + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS label FROM events WHERE event_id % 5 <> 0"
+_LATE = f"""SELECT p.event_id, p.ts, p.value, l.label FROM events p LEFT JOIN ({_LABELS}) l
+ON p.event_id = l.event_id AND l.label_ts BETWEEN p.ts AND p.ts + INTERVAL 4 HOUR WHERE p.ts < {_OVER}"""
+
+
+def _over(spark: SparkSession, sf_dir: str):
+    return table(spark, sf_dir, "events").agg(F.date_trunc("day", F.max(F.col("ts").cast("timestamp"))) - F.expr("INTERVAL 2 DAY")).first()[0]
+
+
+def _late_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stream(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    later = F.col("ts") + F.make_dt_interval(hours=F.pmod("event_id", F.lit(7)).cast("int"))
+    label = F.floor("value").cast("double") + F.when(F.col("event_id") % 3 == 0, 2.0).otherwise(0.0)
+    labels = _stream(spark, sf_dir, "events").where("event_id % 5 <> 0").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", later.alias("label_ts"), label.alias("label"))
+    return increments.labelled_later(events, labels, "event_id", "ts", "label_ts", "4 HOUR", "6 hours")
+
+
+@query(f"SELECT event_id, label FROM ({_LATE})")
+def stream_late_labels(spark, sf_dir):
+    """Every event of all but the last days with its label, or with none where none came in time: a join of two streams."""
+    joined = _drained(_late_labels(spark, sf_dir), "stream-labels", "append")
+    return joined.where(F.col("ts") < F.lit(_over(spark, sf_dir))).select("event_id", "label")
+
+
+@query(f"SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(label) AS labelled, count(*) FILTER (abs(value - label) <= 1) AS correct FROM ({_LATE}) GROUP BY ALL")
+def stream_late_accuracy(spark, sf_dir):
+    """Accuracy by day of predictions whose labels come later: a join of two streams and windows after it, in one stream."""
+    days = increments.accuracy_by_window(_late_labels(spark, sf_dir), "ts", F.col("label"), F.col("value"), 1.0, "1 day")
+    days = _drained(days, "stream-accuracy", "append").where(F.col("window.start") < F.lit(_over(spark, sf_dir)))
+    return days.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", "labelled", "correct")
+
+
+@query(f"""WITH s AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
+SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS n FROM n GROUP BY user_id, k HAVING max(ts) < {_OVER}""")
+def stream_sessions(spark, sf_dir):
+    """Sessions of users with pauses of up to three hours, of all but the last days, each given once."""
+    events = _stream(spark, sf_dir, "events").select("ts", "user_id")
+    held = _drained(increments.sessions(events, "ts", ["user_id"], "3 hours", "6 hours"), "stream-sessions", "append")
+    last = F.col("window.end") - F.expr("INTERVAL 3 HOUR")
+    return held.where(last < F.lit(_over(spark, sf_dir))).select("user_id", F.unix_micros("window.start").alias("first_us"), F.unix_micros(last).alias("last_us"), "n")
