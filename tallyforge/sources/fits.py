@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK, CARD = 2880, 80
 #: Codes of column and image types, big-endian as stored.
-TABLE_TYPES = {"L": "i1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "A": "S"}
+TABLE_TYPES = {"L": "i1", "B": "u1", "I": ">i2", "J": ">i4", "K": ">i8", "E": ">f4", "D": ">f8", "C": ">c8", "M": ">c16", "A": "S"}
 IMAGE_TYPES = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 #: Header keywords shown for a file.
 KEYWORDS = ["TELESCOP", "INSTRUME", "OBJECT", "RA", "DEC", "EXPTIME"]
@@ -33,14 +35,15 @@ def _value(text: str):
     return text or None
 
 
-def units(data: bytes) -> list[tuple[dict, bytes]]:
-    """(header, data) of the header-data units of a file."""
-    out, at = [], 0
-    while at + BLOCK <= len(data):
+def scan(f) -> Iterator[tuple[dict, int, int]]:
+    """(header, place of its data, their length) of the header-data units of an open file, of which only headers are read."""
+    at, end = 0, f.seek(0, 2)
+    while at + BLOCK <= end:
         header: dict = {}
         ended = False
         while not ended:
-            block = data[at : at + BLOCK]
+            f.seek(at)
+            block = f.read(BLOCK)
             if len(block) < BLOCK:
                 raise ValueError("FITS header without an end")
             at += BLOCK
@@ -55,9 +58,13 @@ def units(data: bytes) -> list[tuple[dict, bytes]]:
         shape = [int(header.get(f"NAXIS{i}", 0)) for i in range(1, int(header.get("NAXIS", 0)) + 1)]
         size = math.prod(shape) * abs(int(header.get("BITPIX", 8))) // 8 * int(header.get("GCOUNT", 1)) if shape else 0
         size += int(header.get("PCOUNT", 0)) if header.get("XTENSION") == "BINTABLE" else 0
-        out.append((header, data[at : at + size]))
+        yield header, at, size
         at += -(-size // BLOCK) * BLOCK
-    return out
+
+
+def units(data: bytes) -> list[tuple[dict, bytes]]:
+    """(header, data) of the header-data units of a file."""
+    return [(header, data[at : at + size]) for header, at, size in scan(io.BytesIO(data))]
 
 
 def ascii_table(header: dict, data: bytes) -> dict[str, list]:
@@ -90,28 +97,99 @@ def _scaled(values: np.ndarray, header: dict, number: int | None = None) -> np.n
     return values if (scale, zero) == (1, 0) else values * scale + zero
 
 
-def binary_table(header: dict, data: bytes) -> dict[str, list]:
-    """Columns of a binary table; those of several values become lists."""
-    rows, fields = int(header["NAXIS2"]), []
-    for i in range(1, int(header["TFIELDS"]) + 1):
-        m = re.match(r"(\d*)([A-Z])", str(header[f"TFORM{i}"]))
-        n, code = int(m[1] or 1), m[2]
-        if code not in TABLE_TYPES:
-            raise ValueError(f"FITS column type {code} isn't read")
-        fields.append((f"f{i}", f"S{n}" if code == "A" else TABLE_TYPES[code], (n,) if n > 1 and code != "A" else ()))
-    table = np.frombuffer(data[: rows * int(header["NAXIS1"])], np.dtype(fields))
-    out = {}
-    for i, (f, kind, _) in enumerate(fields, 1):
-        v = table[f]
-        if kind.startswith("S"):
-            out[str(header.get(f"TTYPE{i}", f"col{i}"))] = [x.decode("latin-1").rstrip("\x00 ") for x in v]
-        elif str(header[f"TFORM{i}"]).endswith("L"):
-            out[str(header.get(f"TTYPE{i}", f"col{i}"))] = (v == ord("T")).tolist()
+def field_of(header: dict, i: int) -> tuple[str, int, str, str]:
+    """Name, repeats, code and, for arrays of any length, the code of their elements, of a binary table's column."""
+    m = re.match(r"\s*(\d*)([A-Z])([A-Z]?)", str(header[f"TFORM{i}"]))
+    n, code = int(m[1] or 1), m[2]
+    if code not in TABLE_TYPES and code not in "XPQ" or code in "PQ" and m[3] not in {*TABLE_TYPES, "X"}:
+        raise ValueError(f"FITS column type {header[f'TFORM{i}']} isn't known")
+    return str(header.get(f"TTYPE{i}", f"col{i}")), n, code, m[3]
+
+
+def _stored(n: int, code: str):
+    """How a field lies in a row, as numpy says it."""
+    if code == "A":
+        return f"S{n}"
+    if code == "X":
+        return "u1", (-(-n // 8),)
+    if code in "PQ":
+        return {"P": ">i4", "Q": ">i8"}[code], (2 * n,)
+    return (TABLE_TYPES[code], (n,)) if n > 1 else TABLE_TYPES[code]
+
+
+def _numbers(v: np.ndarray, code: str) -> np.ndarray:
+    """Logical values as such, complex ones as pairs of a real and an imaginary part."""
+    if code == "L":
+        return v == ord("T")
+    if code in "CM":
+        return np.ascontiguousarray(v).view(v.dtype.str.replace("c16", "f8").replace("c8", "f4")).reshape(len(v), -1)
+    return v
+
+
+def _varying(ends: np.ndarray, code: str, header: dict, i: int, heap: Callable[[int, int], bytes]) -> tuple[list, set[int]]:
+    """Arrays of any length by their (count, place in the heap), and the rows whose array doesn't lie inside the heap."""
+    out, bad = [], set()
+    wide = 1 if code in "AX" else np.dtype(TABLE_TYPES[code]).itemsize
+    for row, (count, at) in enumerate(ends.tolist()):
+        size = -(-count // 8) if code == "X" else count * wide
+        raw = heap(at, size) if count >= 0 and at >= 0 else b""
+        if len(raw) < size or count < 0:
+            out.append(None)
+            bad.add(row)
+        elif code == "A":
+            out.append(raw.decode("latin-1").rstrip("\x00 "))
+        elif code == "X":
+            out.append(np.unpackbits(np.frombuffer(raw, "u1"))[:count].astype(float).tolist())
         else:
-            held = _scaled(v, header, i).tolist()
+            out.append(_scaled(_numbers(np.frombuffer(raw, TABLE_TYPES[code]), code), header, i).astype(float).ravel().tolist())
+    return out, bad
+
+
+def binary_rows(header: dict, data: bytes, heap: Callable[[int, int], bytes], wanted: set[str] | None = None) -> tuple[dict[str, list], set[int]]:
+    """Columns of rows of a binary table, all or those wanted, and the rows that hold something unreadable, which is None.
+
+    Columns of several values, of bits and of complex numbers become lists. heap gives bytes by place and length."""
+    fields = [(i, *field_of(header, i)) for i in range(1, int(header["TFIELDS"]) + 1)]
+    kinds = [(f"f{i}", kind) if isinstance(kind, str) else (f"f{i}", *kind) for i, _, n, code, _ in fields if n for kind in [_stored(n, code)]]
+    row = np.dtype(kinds)
+    if row.itemsize > int(header["NAXIS1"]):
+        raise ValueError("FITS rows are shorter than their columns")
+    row = np.dtype({"names": row.names, "formats": [row.fields[f][0] for f in row.names], "offsets": [row.fields[f][1] for f in row.names], "itemsize": int(header["NAXIS1"])}) if row.names else row
+    rows = len(data) // max(1, int(header["NAXIS1"]))
+    table = np.frombuffer(data, row, rows) if rows and row.names else None
+    out, bad = {}, set()
+    for i, name, n, code, inner in fields:
+        if wanted is not None and name not in wanted:
+            continue
+        if table is None or not n:
+            out[name] = [None] * rows
+            continue
+        v = table[f"f{i}"]
+        if code == "A":
+            out[name] = [x.decode("latin-1").rstrip("\x00 ") for x in v]
+        elif code in "PQ":
+            out[name], missed = _varying(v[:, :2], inner, header, i, heap)
+            bad |= missed
+        elif code == "X":
+            bits = np.unpackbits(v.reshape(rows, -1), axis=1)[:, :n]
+            out[name] = bits[:, 0].astype(bool).tolist() if n == 1 else bits.astype(float).tolist()
+        elif code == "L":
+            out[name] = _numbers(v, code).tolist()
+        else:
+            held = _scaled(_numbers(v, code), header, i).tolist()
             if f"TNULL{i}" in header and v.ndim == 1 and v.dtype.kind in "iu":
                 held = [None if raw == header[f"TNULL{i}"] else x for raw, x in zip(v.tolist(), held, strict=True)]
-            out[str(header.get(f"TTYPE{i}", f"col{i}"))] = held
+            out[name] = held
+    return out, bad
+
+
+def binary_table(header: dict, data: bytes) -> dict[str, list]:
+    """Columns of a binary table."""
+    rows = int(header["NAXIS1"]) * int(header["NAXIS2"])
+    heap = data[int(header.get("THEAP", rows)) :]
+    out, bad = binary_rows(header, data[:rows], lambda at, n: heap[at : at + n])
+    if bad:
+        raise ValueError(f"FITS arrays outside the heap in {len(bad)} rows")
     return out
 
 
@@ -134,7 +212,20 @@ def columns_of(data: bytes) -> dict[str, list]:
     raise ValueError("no table or image in the FITS file")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, columns: list[str] | None = None, problems: bool = False) -> DataFrame:
+    """The table of FITS files, by ranges of rows (see fits_source) where executors can open the files by their path; what only
+    Spark's readers can open is read whole, one task a file."""
+    from . import fits_source
+
+    if fits_source.reachable(path):
+        return fits_source.read(spark, path, columns, problems)
+    if problems:
+        raise ValueError(f"{path} is read whole, without a column of problems")
+    whole = read_whole(spark, path)
+    return whole.select(*(F.col(f"`{c}`") for c in columns)) if columns else whole
+
+
+def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """The table of FITS files, one task a file, with the columns of all of them: a column that a file lacks is null
     there, and a type is the widest that any file has (whole number, number, text; lists of numbers)."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
