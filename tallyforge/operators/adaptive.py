@@ -11,7 +11,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from ..session import cut
-from .graph import diverse_per_class
+from .clusters import diverse_per_class
 from .metrics import report_with_averages
 from .pairbayes import ModelConfig, PairModel, class_number, confusion, fit, initialise, posteriors
 from .selection import append_selection, hash_key, remaining, sample_per_class, sample_rows, selected

@@ -1,11 +1,10 @@
-"""Distances, neighbours, spanning trees, projections and clusters of vectors."""
+"""Distances, neighbours, spanning trees and projections of vectors."""
 
 from __future__ import annotations
 
 import pyspark.sql.functions as F
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import Column, DataFrame
 
 from ..session import cut
@@ -85,24 +84,3 @@ def pca(df: DataFrame, vector: str, k: int = 3) -> tuple[DataFrame, list[float]]
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(centred).withColumn("components", vector_to_array("__p")).drop("__v", "__p"), [float(x) for x in model.explainedVariance]
-
-
-def diverse_per_class(df: DataFrame, label: str, row_id: str, vector: str, n: int, seed: int = 42) -> DataFrame:
-    """label, row_id: of each class the rows nearest to the centres of n clusters, each once; whole classes of up to n.
-
-    One clustering for each class, as many as there are classes."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(label).collect()
-    out = None
-    for r in sizes:
-        one = df.where(F.col(label).eqNullSafe(F.lit(r[label]))).select(label, row_id, F.transform(vector, lambda x: x.cast("double")).alias("__x"))
-        if r.n <= n:
-            chosen = one.select(label, row_id)
-        else:
-            rows = one.withColumn("__v", array_to_vector("__x"))
-            centres = KMeans(k=n, seed=seed, featuresCol="__v", predictionCol="__c").fit(rows).clusterCenters()
-            book = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "c int, centre array<double>")
-            near = one.crossJoin(F.broadcast(book)).withColumn("d", distance(F.col("__x"), F.col("centre")))
-            near = near.groupBy(label, "c").agg(F.min(F.struct("d", row_id)).alias("m"))
-            chosen = near.select(label, F.col(f"m.{row_id}").alias(row_id)).distinct()
-        out = chosen if out is None else out.unionByName(chosen)
-    return out

@@ -8,7 +8,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import expr, features
-from ..operators import adaptive, graph, metrics, modality, pairbayes, selection, stats
+from ..operators import adaptive, clusters, graph, metrics, modality, pairbayes, selection, stats
 from ..session import cut, shared_path
 from ..sources import readers, writers
 from ..streaming import increments
@@ -527,7 +527,24 @@ def pca_variance(spark, sf_dir):
 
 @query()
 def kmeans_diverse(spark, sf_dir):
-    return graph.diverse_per_class(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 5)
+    return clusters.diverse_per_class(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 5)
+
+
+def _round_sql(i: int) -> str:
+    """CTEs of a round of k-means: a{i}, every row with its nearest centre of c{i}; c{i + 1}, the means."""
+    return f"""a{i} AS (SELECT * FROM (SELECT v.*, j, list_distance(x, m) AS d, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(x, m), j) AS rn FROM v JOIN c{i} USING (label)) WHERE rn = 1),
+m{i} AS (SELECT label, j, list(s ORDER BY p) AS m FROM (SELECT label, j, p, avg(x[p]) AS s FROM a{i}, range(1, 65) t(p) GROUP BY ALL) GROUP BY label, j),
+c{i + 1} AS (SELECT c.label, c.j, coalesce(n.m, c.m) AS m FROM c{i} c LEFT JOIN m{i} n USING (label, j))"""
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+c0 AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 7919 + 42) % 104729, vec_id) AS j, x AS m FROM v QUALIFY j <= 5),
+{_round_sql(0)}, {_round_sql(1)}, {_round_sql(2)}
+SELECT DISTINCT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label, j ORDER BY d, vec_id) AS nth FROM a2) WHERE nth = 1""")
+def kmeans_two_rounds(spark, sf_dir):
+    """Rows nearest to the centres of two rounds of k-means, all classes in one plan, begun from rows by an arithmetic key."""
+    begin = lambda df: selection.sample_per_class(df, "label", selection.arithmetic_key("vec_id", 42), "vec_id", 5)
+    return clusters.diverse_per_class(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 5, rounds=2, start=begin)
 
 
 @query("""WITH s AS (SELECT 1 AS round, c_custkey FROM customer WHERE (c_custkey * 7919 + 42) % 104729 < 10000 UNION ALL SELECT 2, c_custkey FROM customer WHERE (c_custkey * 7919 + 42) % 104729 < 30000)
