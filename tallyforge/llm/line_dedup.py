@@ -185,11 +185,24 @@ def _in_blocks(rows: DataFrame, lines: DataFrame, side: str, other: str) -> Data
     """key, block_a, block_b and an array of the side's lines, once for each block of the other side."""
     rows = materialize(rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col(f"blocks_{side}")).cast("int")), f"line-members-{side}")
     rows = lines.join(small(rows), "node")  # few lines meet others, so that the texts of all needn't be shuffled
-    rows = rows.groupBy("key", "own", f"blocks_{other}").agg(F.collect_list(F.struct("node", "i", "n", "line")).alias(side))
+    rows = rows.groupBy("key", "own", f"blocks_{other}").agg(F.collect_list(F.struct("node", "i", "n", "line", signature(F.col("line")).alias("bits"))).alias(side))
     against = F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1)).alias(f"block_{other}")
     return rows.select("key", F.col("own").alias(f"block_{side}"), side, against)
 
 
+def signature(line: Column) -> Column:
+    """64 bits, each whether an odd number of the line's pairs of neighbouring characters hash to it. An edit takes away at
+    most two such pairs and adds at most two, so lines within a threshold differ in at most 4 * threshold bits."""
+    pair = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.pmod(F.xxhash64(F.get(c, i), F.get(c, i + 1)), F.lit(64)).cast("int"))
+    at = F.when(F.length(line) > 1, _let(F.split(line, ""), pair)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+
+
+def _near(a: Column, bits: Column, places: Column, threshold: int) -> Column:
+    """Those places of bits, signatures of lines, that leave room for a line within the threshold of a."""
+    return F.filter(places, lambda j: F.bit_count(F.get(bits, j).bitwiseXOR(a["bits"])) <= 4 * threshold)
+
+
 def _meet(a: Column, b: Column, i: Column, threshold: int) -> Column:
     """Whether segment i of line a, or where a is tiny its i-th character, stands in b where a probe looks for it."""
     at, size = _segment(a["n"], i, threshold + 1)
@@ -212,7 +225,9 @@ def _linked(a: Column, b: Column, threshold: int) -> Column:
 def _compared(blocks: DataFrame, threshold: int) -> DataFrame:
     """node, links, peer from two arrays of lines, a and b."""
     places = F.sequence(F.lit(0), F.size("b") - 1)
-    hits = F.transform("a", lambda x: F.filter(places, lambda j: _linked(x, F.get(F.col("b"), j), threshold)))
+    # nearly all pairs end at one comparison of two numbers; texts are only looked into where signatures are near
+    linked = lambda x, bits, js: F.filter(_near(x, bits, js, threshold), lambda j: _linked(x, F.get(F.col("b"), j), threshold))
+    hits = _let(F.struct(F.col("b.bits").alias("bits"), places.alias("js")), lambda b: F.transform("a", lambda x: linked(x, b["bits"], b["js"])))
 
     def joined(label: Column, own: Column) -> Column:
         """Labels of b's lines once those of own, the lines that one of a is linked to, are the least of them."""
