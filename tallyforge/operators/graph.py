@@ -11,6 +11,10 @@ from ..session import cut
 from . import distances, neighbours
 
 
+#: Edges of a class that a task may hold; the forest of more is found by joins, round by round.
+FOREST_EDGES = 2_000_000
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v))
@@ -31,6 +35,18 @@ def proximity(df: DataFrame, label: str, row_id: str, vector: str, at: float) ->
     return distances.close_pairs(blocks, label, -1.0 if limit is None else limit)
 
 
+def class_forest(df: DataFrame, label: str, row_id: str, vector: str, at: float) -> DataFrame:
+    """The minimum spanning forest of proximity(), from the few of its edges that can be in it."""
+    blocks = distances.point_blocks(df, label, row_id, vector)
+    limit = distances.distance_quantile(blocks, label, at)
+    edges = cut(distances.light_edges(blocks, label, -1.0 if limit is None else limit))
+    sizes = cut(edges.groupBy(F.col(label).alias("__of")).agg((F.count(F.lit(1)) <= FOREST_EDGES).alias("__few")))
+    dealt = edges.join(F.broadcast(sizes), F.col(label) == F.col("__of"))
+    few, many = (dealt.where(w).select(label, "src", "dst", "dist") for w in ("__few", "not __few"))
+    found = distances.forest_of(few, label)
+    return found if sizes.where("not __few").isEmpty() else found.unionByName(spanning_forest(cut(many), label))
+
+
 def spanning_forest(edges: DataFrame, label: str, most_rounds: int = 40) -> DataFrame:
     """label, src, dst, dist of the minimum spanning forest of each class, by Boruvka's rounds.
 
