@@ -4,14 +4,16 @@ A few reference points are chosen, and every point knows its distance to each of
 their nearest reference point and its distance, and cut into blocks of about equal size, so that a block holds points that
 lie near each other and, for each reference point, the range of their distances. A point's k nearest inside its block bound how
 far its k nearest can be at all. Another block is read only where the triangle inequality leaves room: if some point of
-the block may be nearer to a reference point, or further from it, by less than that bound. What is found in different
-blocks is merged by rank, at most k distances from each.
+the block may be nearer to a reference point, or further from it, by less than that bound. Blocks that meet are dealt into tiles of
+some blocks by some others, so that a block is copied once for each tile and not for each block that it meets; what is found
+in different tiles is merged by rank, at most k distances from each.
 
 Where all points lie about equally far from each other nothing can be left out; then all pairs of blocks of a group meet.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from ..session import cut, ship
-from .distances import matrix
+from .distances import STRIPE, TILES, distances_at, matrix, squares
 from .ranks import held_before
 
 #: Reference points, the rows they are chosen from, points of a block, and blocks that are compared in one slice.
@@ -118,31 +120,55 @@ def nearest(df: DataFrame, row_id: str, vector: str, k: int, by: str | None = No
     group = F.col(by) if by else F.lit(0)
     points = df.select(group.alias("g"), F.col(row_id).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("g IS NOT NULL AND id IS NOT NULL AND v IS NOT NULL")
     held = point_blocks(points, reference_points(points, pivots), k, block)
-    a = held.select("g", "block", "ids", "points", "refs", "kth")
-    b = held.select(F.col("g").alias("of"), F.col("block").alias("b"), F.col("points").alias("points_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    met = meetings(held).join(a, ["g", "block"]).join(b.withColumnRenamed("of", "g"), ["g", "b"]).select("ids", "points", "refs", "kth", "points_b", "lo_b", "hi_b")
+    met = meetings(held)
+    tasks = TILES * held.sparkSession.sparkContext.defaultParallelism
+    width = min(STRIPE, max(1, math.ceil(math.sqrt(met.count() / tasks))))
+    tiles = met.select("g", "block", "b", F.floor(F.col("block") / width).alias("s"), F.floor(F.col("b") / width).alias("t"))
+    asking = tiles.groupBy("g", "s", "t", "block").agg(F.collect_list("b").alias("asks")).join(held.select("g", "block", "ids", "points", "refs", "kth"), ["g", "block"])
+    asked = tiles.select("g", "s", "t", F.col("b").alias("block")).distinct().join(held.select("g", "block", "points", "lo", "hi"), ["g", "block"])
+    sides = asking.unionByName(asked, allowMissingColumns=True).repartition(tasks, "g", "s", "t")
     id_type = held.schema["ids"].dataType.elementType
     ids_arrow = to_arrow_type(id_type)
+    floats = lambda v: v.values.to_numpy(zero_copy_only=False)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        those, others = [], {}
         for batch in batches:
             for i in range(batch.num_rows):
-                at = {c: batch.column(c)[i].values for c in batch.schema.names}
-                refs, kth, lo, hi = (at[c].to_numpy(zero_copy_only=False) for c in ("refs", "kth", "lo_b", "hi_b"))
-                refs = refs.reshape(len(kth), -1)
+                at = {c: batch.column(c)[i] for c in batch.schema.names}
+                if at["ids"].is_valid:
+                    those.append(at)
+                else:
+                    others[at["block"].as_py()] = floats(at["points"]), floats(at["lo"]), floats(at["hi"])
+        for at in those:
+            kth, refs = floats(at["kth"]), floats(at["refs"]).reshape(len(at["ids"]), -1)
+            x = floats(at["points"]).reshape(len(kth), -1)
+            of_x, slack = np.einsum("ij,ij->i", x, x), (8 * x.shape[1] + 32) * np.finfo(float).eps
+            best, room = np.full((len(x), k), np.inf), kth
+            for number in at["asks"].as_py():
+                y, lo, hi = others[number]
+                y = y.reshape(-1, x.shape[1])
                 gap = np.maximum(refs - hi, lo - refs).max(1) - SLACK * max(refs.max(), hi.max())
-                open_ = np.flatnonzero(gap < kth)
-                dims = len(at["points"]) // len(kth)
-                x, y = (at[c].to_numpy(zero_copy_only=False).reshape(-1, dims) for c in ("points", "points_b"))
-                d = np.sort(matrix(x[open_], y), axis=1)[:, :k]
-                nearer = d < kth[open_, None]
-                n = nearer.sum(1)
-                whose = open_[n > 0]
-                ends = np.r_[0, np.cumsum(n[n > 0])]
-                dists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(d[nearer], pa.float64()))
-                yield pa.RecordBatch.from_arrays([at["ids"].take(pa.array(whose)).cast(ids_arrow), dists], names=["id", "dists"])
-
-    found = met.mapInArrow(across, StructType().add("id", id_type).add("dists", DOUBLES))
+                open_ = np.flatnonzero(gap < room)
+                if not len(open_):
+                    continue
+                of_y = np.einsum("ij,ij->i", y, y)
+                # products may be off by a rounding: what may be near enough is computed again
+                near = squares(x[open_], y, of_x[open_], of_y) <= (room[open_] ** 2 + slack * max(of_x.max(), of_y.max()))[:, None]
+                i, _, d = distances_at(x[open_], y, near)
+                order = np.lexsort((d, i))
+                i, d = i[order], d[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                found = np.full((len(open_), k), np.inf)
+                found[i[place < k], place[place < k]] = d[place < k]
+                best[open_] = np.sort(np.concatenate([best[open_], found], 1), axis=1)[:, :k]
+                room = np.minimum(kth, best[:, -1])
+            nearer = best < kth[:, None]
+            n = nearer.sum(1)
+            dists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[n > 0])], pa.int32()), pa.array(best[nearer], pa.float64()))
+            yield pa.RecordBatch.from_arrays([at["ids"].values.take(pa.array(np.flatnonzero(n))).cast(ids_arrow), dists], names=["id", "dists"])
+
+    found = sides.groupBy("g", "s", "t").applyInArrow(across, StructType().add("id", id_type).add("dists", DOUBLES))
     own = held.select(F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("tops").alias("dists"))).alias("p")).select("p.id", F.col("p.dists").alias("dists"))
     each = own.unionByName(found).select("id", F.explode("dists").alias("d"))
     best = each.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("d"))).where(F.col("rn") <= k)

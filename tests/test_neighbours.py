@@ -63,3 +63,18 @@ def test_no_points_and_ids_of_text(spark):
     df = spark.createDataFrame([("b", [0.0]), ("a", [3.0]), ("c", [1.0])], "name string, v array<double>")
     assert neighbours.nearest(df.where("false"), "name", "v", 2).count() == 0
     assert sorted(map(tuple, neighbours.nearest(df, "name", "v", 2).collect())) == [("a", [0.0, 2.0]), ("b", [0.0, 1.0]), ("c", [0.0, 1.0])]
+
+
+def test_blocks_are_copied_for_tiles_only(spark, monkeypatch):
+    """Where nothing can be left out, blocks that meet many others don't travel once for each of them."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=24)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    monkeypatch.setattr(neighbours, "TILES", 1)
+    seen, plan = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (seen.append(self), plan(self, *a))[1])
+    got = {r.id: r.dists for r in neighbours.nearest(df, "id", "v", 3, None, 10, 4).collect()}
+    x = np.array([v for _, v in rows])
+    for i in range(0, 600, 41):
+        assert got[i] == pytest.approx(np.sort(np.sqrt(((x - x[i]) ** 2).sum(1)))[:3].tolist(), abs=1e-9)
+    assert seen[-1].count() <= 60 * 2 * 5
