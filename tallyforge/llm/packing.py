@@ -65,6 +65,7 @@ class ChunkTokenizer:
             return
         self.model, self.normalize, self.split = self.tok.model, self.tok.normalizer.normalize_str, self.tok.pre_tokenizer.pre_tokenize_str
         self.memo = TwoGenerations(self._encode, memo_bytes)
+        self.marked = True  # whether the text has an added token, so that its chunks may
         # printable bytes stand for themselves, the others in order for the characters from U+0100 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = dict(zip([b for b in range(256) if b not in plain], range(256, 512)))
@@ -75,7 +76,7 @@ class ChunkTokenizer:
 
     def _encode(self, chunk: bytes) -> bytes:
         said = chunk.decode()
-        if any(a in chunk.lower() for a in self.added):
+        if self.marked and any(a in chunk.lower() for a in self.added):
             return np.array(self.tok.encode(said, add_special_tokens=False).ids, "<u4").tobytes()
         if said.isprintable() and max(said) < "\u0250" and is_normalized("NFC", said) and max(low := said.lower()) < "\u0250":
             pieces = self.PIECES.findall(low)
@@ -95,7 +96,8 @@ class ChunkTokenizer:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         raw = text.encode()
         low = raw.lower()
-        if any(a in low for a in self.added):
+        self.marked = any(a in low for a in self.added)
+        if self.marked:
             low = raw
         return b"".join(map(self.memo.__getitem__, low.split()))
 

@@ -35,7 +35,7 @@ def op1_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), memo_bytes=112 << 20)
+    pieces = packing.pack(table(spark, sf_dir, "documents"), word_tokenizer(), memo_bytes=224 << 20)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

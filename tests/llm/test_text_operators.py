@@ -858,3 +858,26 @@ def test_pipeline_stages_keep_what_plain_python_keeps(spark, sf_dir, tmp_path):
         have[r.doc_id] += r.length
         used[r.sequence_id] += r.length
     assert have == want and max(used.values()) <= 2048
+
+
+def test_added_tokens_are_looked_for_once_a_text():
+    """Chunks of a text without added tokens aren't searched again, those of a text with one are."""
+    from tallyforge.llm.packing import ChunkTokenizer
+    from tallyforge.llm.queries import word_tokenizer
+
+    tok = ChunkTokenizer(word_tokenizer())
+
+    class Counted(list):
+        read = 0
+
+        def __iter__(self):
+            Counted.read += 1
+            return super().__iter__()
+
+    tok.added = Counted(tok.added)
+    name = next(t.content for t in tok.tok.get_added_tokens_decoder().values())
+    for text in ("one, two and three-four", f"Five {name} six{name}seven Two", "one, Two six"):
+        Counted.read = 0
+        ids = list(memoryview(tok(text)).cast("I"))
+        assert ids == tok.tok.encode(text, add_special_tokens=False).ids
+        assert (Counted.read == 1) == (name not in text)
