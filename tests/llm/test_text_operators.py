@@ -881,3 +881,26 @@ def test_added_tokens_are_looked_for_once_a_text():
         ids = list(memoryview(tok(text)).cast("I"))
         assert ids == tok.tok.encode(text, add_special_tokens=False).ids
         assert (Counted.read == 1) == (name not in text)
+
+
+def test_lines_within_the_threshold_have_near_signatures(spark):
+    """An edit changes at most four bits of a signature, so no link is lost; lines that only share words are told apart by it."""
+    import random
+
+    from tallyforge.llm import line_dedup
+
+    rng = random.Random(4)
+    line = lambda: "".join(rng.choice("abcdeé ñ🙂") for _ in range(rng.randrange(1, 40)))
+
+    def edited(s):
+        for _ in range(rng.randrange(3)):
+            at, c = rng.randrange(len(s) + 1), rng.choice("abé🙂")
+            s = rng.choice([s[:at] + c + s[at:], s[:at] + s[at + 1 :], s[:at] + c + s[at + 1 :]])
+        return s
+
+    rows = [(x, edited(x)) for x in (line() for _ in range(400))] + [("", ""), ("a", ""), ("ab", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    apart = F.bit_count(line_dedup.signature(F.col("a")).bitwiseXOR(line_dedup.signature(F.col("b"))))
+    assert df.agg(F.max(apart)).first()[0] <= 8
+    far = spark.createDataFrame([("the first segment and then some words", "the first segment but other things here")], "a string, b string")
+    assert far.select(apart).first()[0] > 8
