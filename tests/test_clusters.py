@@ -3,6 +3,7 @@
 import numpy as np
 import pyspark.sql.functions as F
 
+from tallyforge import session
 from tallyforge.operators import clusters
 
 
@@ -51,3 +52,19 @@ def test_classes_in_slices_and_no_rows(spark, monkeypatch):
     monkeypatch.setattr(clusters, "CENTRE_BYTES", 100)
     assert sorted(map(tuple, clusters.diverse_per_class(df, "y", "id", "v", 3).collect())) == whole
     assert clusters.diverse_per_class(df.where(F.lit(False)), "y", "id", "v", 3).count() == 0
+
+
+def test_one_class_in_one_part_lies_in_many_tasks(spark, monkeypatch):
+    seen, seeds = [], clusters.seeds
+    monkeypatch.setattr(clusters, "seeds", lambda rows, *rest: seen.append(rows) or seeds(rows, *rest))
+    monkeypatch.setattr(session, "TASK_ROWS", 50, raising=False)
+    df = spark.createDataFrame([(i, "a", [float(i % 40), float(i % 7)]) for i in range(400)], "id int, y string, v array<double>").coalesce(1)
+    got = clusters.diverse_per_class(df, "y", "id", "v", 3).collect()
+    assert len(got) == 3 and len({r.id for r in got}) == 3
+    assert seen[0].select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+
+
+def test_equal_points_of_text_ids(spark):
+    """The least id of rows equally near stays, whatever its type and the tasks that hold them."""
+    df = spark.createDataFrame([(f"r{i:03}", 1, [float(i % 3 * 10)]) for i in range(90)], "id string, y int, v array<double>")
+    assert {r.id for r in clusters.diverse_per_class(df.repartition(7), "y", "id", "v", 3).collect()} == {"r000", "r001", "r002"}

@@ -9,6 +9,7 @@ import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
+from tallyforge import session
 from tallyforge.operators import adaptive, metrics, pairbayes, ranks, selection, stats
 from tallyforge.sources import writers
 
@@ -123,6 +124,34 @@ def test_adaptive_loop(data):
     assert all(1 / 3 <= r.mean_confidence <= 1 for r in rounds)
 
 
+@pytest.mark.parametrize("loop", [adaptive.learn, adaptive.learn_from_all_wrong])
+def test_loops_score_in_all_tasks(spark, data, monkeypatch, loop):
+    """A small file is read in one part; its rows are scored in as many tasks as there are cores, and rounds read no more parts."""
+    _, df = data
+    parts, score = [], pairbayes.PairModel.score
+    held = lambda m, d: parts.append((d.count(), d.select(F.spark_partition_id()).distinct().count())) or score(m, d)
+    monkeypatch.setattr(pairbayes.PairModel, "score", held)
+    monkeypatch.setattr(session, "TASK_ROWS", 5, raising=False)
+    config = adaptive.AdaptiveConfig(initial_samples_per_class=2, max_adaptive_rounds=2)
+    log = lambda d: loop(d, "id", FEATURES, "label", pairbayes.ModelConfig(resol=6, max_epochs=1), config).rounds.orderBy("round").collect()
+    one = log(df.coalesce(1))
+    assert {p for n, p in parts if n == 60} == {spark.sparkContext.defaultParallelism}
+    for a, b in zip(one, log(df.repartition(9)), strict=True):
+        assert all(x == (pytest.approx(y) if isinstance(y, float) else y) for x, y in zip(a, b, strict=True))
+    monkeypatch.setattr(adaptive, "SELECTED_ROWS", 0)
+    assert [r[:7] for r in log(df)] == [r[:7] for r in one]
+
+
+def test_best_class_and_probabilities(spark):
+    rows = [[-2.0, -1.0, -1.0 + 4e-10], [-1.0, -1.0 + 3e-9, -4.0], [-7.0] * 4, [-1e12, -1e12 + 1], [-3.0]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, s array<double>")
+    s = F.col("s")
+    for r in df.select("i", pairbayes.best_class(s).alias("k"), pairbayes.posteriors(s).alias("p"), pairbayes.confidence(s).alias("c")).collect():
+        e = np.exp(np.array(rows[r.i]) - max(rows[r.i]))
+        assert r.k == [2, 2, 1, 2, 1][r.i] and r.p == pytest.approx((e / e.sum()).tolist()) and r.c == max(r.p)
+    assert spark.range(1).select(pairbayes.best_class(F.array().cast("array<double>"))).first()[0] is None
+
+
 def test_finished_run(spark, data, tmp_path):
     _, df = data
     found = adaptive.learn(df, "id", FEATURES, "label", pairbayes.ModelConfig(resol=6, max_epochs=1), adaptive.AdaptiveConfig(initial_samples_per_class=2, max_adaptive_rounds=2))
