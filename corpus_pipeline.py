@@ -15,17 +15,21 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import exact_dedup, minhash_join, mixing, packing, toxicity
+from tallyforge.llm import common, exact_dedup, minhash_join, mixing, packing, toxicity
 from tallyforge.llm.common import crc_fold, materialize, release
 from tallyforge.llm.queries import mix_plan, table, word_tokenizer
-from tallyforge.session import ship
+from tallyforge.session import ARROW_BYTES, ship
+
+#: An executor runs all stages in one go, and memory that one of them took outside the heap is rarely given back; so
+#: a Python worker remembers half of what it does in a query of one stage, and batches are a quarter.
+MEMO_BYTES, BATCH_BYTES = common.MEMO_BYTES // 2, ARROW_BYTES // 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic; labels of one fold in three are never learnt from."""
-    labels = table(ship(spark), sf_dir, "labels")
-    model = toxicity.fit(docs, labels.where(crc_fold(F.col("doc_id"), 3) != 1))
-    return toxicity.drop_toxic(docs, model, threshold=0.7)
+    labels = table(ship(spark, BATCH_BYTES), sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(crc_fold(F.col("doc_id"), 3) != 1), memo_bytes=MEMO_BYTES)
+    return toxicity.drop_toxic(docs, model, threshold=0.7, memo_bytes=MEMO_BYTES)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    release(ship(spark))
+    release(ship(spark, BATCH_BYTES))
     return minhash_join.keep_one(docs, threshold=0.8, n=5)
 
 
@@ -48,8 +52,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens."""
-    release(ship(spark))
-    pieces = packing.pack(docs, word_tokenizer())
+    release(ship(spark, BATCH_BYTES))
+    pieces = packing.pack(docs, word_tokenizer(), memo_bytes=MEMO_BYTES)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

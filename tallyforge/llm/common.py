@@ -152,12 +152,12 @@ def worker_wide(key, make):
         if _worker:
             _worker.clear()
             gc.collect()
-            _give_back()
+            give_back()
         _worker[key] = make()
     return _worker[key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Returns freed memory to the system, which allocators otherwise keep."""
     pa.default_memory_pool().release_unused()
     try:

@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from .common import MEMO_BYTES, TwoGenerations, arrow_rows, fresh, materialize, small
+from .common import MEMO_BYTES, TwoGenerations, arrow_rows, fresh, give_back, materialize, small, worker_wide
 from .components import connected
 
 #: An odd 64-bit multiplier.
@@ -144,7 +144,8 @@ class Signer:
 
 def _sketcher(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(n), Signer(bands, rows)
+        # what an earlier stage left in this worker goes
+        shingler, signer = worker_wide(("shingler", n), lambda: Shingler(n)), Signer(bands, rows)
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             made, size = [], []
@@ -249,8 +250,10 @@ def _verifier(n: int, threshold: float):
                 yield ready()
         if held:
             out += group(held)
+            held = []
         if out:
             yield ready()
+        give_back()
 
     return run
 

@@ -234,9 +234,9 @@ class Restorer:
         return " ".join(w for ws in self.words(text) for w in ws)
 
 
-def shared_restorer(model: np.ndarray) -> Restorer:
+def shared_restorer(model: np.ndarray, memo_bytes: int = MEMO_BYTES) -> Restorer:
     """One restorer with its memo for all tasks of a Python worker, that of the model at hand."""
-    return worker_wide(("restorer", hashlib.sha256(model.tobytes()).digest()), lambda: Restorer(model))
+    return worker_wide(("restorer", hashlib.sha256(model.tobytes()).digest(), memo_bytes), lambda: Restorer(model, memo_bytes))
 
 
 # --- scores ------------------------------------------------------------------------------------------------------
@@ -292,9 +292,9 @@ NOTHING: tuple = ((), "x")
 class Finder:
     """Evidence of texts, from a memo of that of each word: what Restorer.words gives, but only where it counts."""
 
-    def __init__(self, model: Model):
-        self.weights, self.lengths, self.restorer = model.weights, model.lengths, Restorer(model.characters, MEMO_BYTES // 16)
-        self.memo = TwoGenerations(self._own, MEMO_BYTES * 15 // 16, shared=NOTHING)
+    def __init__(self, model: Model, memo_bytes: int = MEMO_BYTES):
+        self.weights, self.lengths, self.restorer = model.weights, model.lengths, Restorer(model.characters, memo_bytes // 16)
+        self.memo = TwoGenerations(self._own, memo_bytes * 15 // 16, shared=NOTHING)
 
     def _own(self, word: str) -> tuple[tuple[str, ...], str]:
         found, kind = evidence(self.restorer.read(word), self.weights, self.lengths), Restorer.kind(word)
@@ -319,17 +319,17 @@ class Finder:
         return sorted(hits)
 
 
-def shared_finder(model: Model) -> Finder:
+def shared_finder(model: Model, memo_bytes: int = MEMO_BYTES) -> Finder:
     """One finder with its memo for all tasks of a Python worker, that of the model at hand."""
     said = hashlib.sha256(model.characters.tobytes() + repr(sorted(model.weights.items())).encode()).digest()
-    return worker_wide(("finder", said), lambda: Finder(model))
+    return worker_wide(("finder", said, memo_bytes), lambda: Finder(model, memo_bytes))
 
 
-def _restored(docs: DataFrame, characters: np.ndarray) -> DataFrame:
+def _restored(docs: DataFrame, characters: np.ndarray, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """y and the distinct restored words of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = shared_restorer(characters)
+        restorer = shared_restorer(characters, memo_bytes)
         for batch in batches:
             said = [sorted({w for ws in restorer.words(t) for w in ws}) for (t,) in arrow_rows(batch, "text")]
             yield pa.record_batch([batch.column(batch.schema.get_field_index("y")), pa.array(said, pa.list_(pa.string()))], names=["y", "words"])
@@ -365,13 +365,17 @@ def select_features(restored: DataFrame, least: int = 4, z: float = 4.5, beginni
     return {r.feature: r.odds for r in seen.where((p1 - p0) / spread > z).select("feature", odds.alias("odds")).orderBy("feature").collect()}
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = 12_000) -> Model:
-    """The character model from docs, weights from labels (doc_id and the label column)."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = 12_000, memo_bytes: int = MEMO_BYTES) -> Model:
+    """The character model from docs, weights from labels (doc_id and the label column).
+
+    memo_bytes, here and in drop_toxic(): what each Python worker may remember of words; it changes the time taken and
+    no result.
+    """
     characters = log_model(trigram_counts(docs))
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("label_id", F.lit(29)), "label_id", "y").limit(most_labelled)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
-    restored = materialize(_restored(rows, characters), "restored")
+    restored = materialize(_restored(rows, characters, memo_bytes), "restored")
     share = restored.agg(F.avg("y")).first()[0]
     p = min(max(0.5 if share is None else share, 1e-6), 1 - 1e-6)
     prior = float(np.log(p / (1 - p)))
@@ -415,13 +419,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, with_text: bool
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """The rows of docs that aren't predicted toxic, all columns, in one pass over the texts."""
     said = docs.schema["text"].dataType.simpleString() == "string"
     mark = "text" if said else fresh(docs.columns, "judged_text")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = shared_finder(model)
+        finder = shared_finder(model, memo_bytes)
         for batch in batches:
             keep = [model.score(finder(t)) < threshold for (t,) in arrow_rows(batch, mark)]
             kept = batch.filter(pa.array(keep, pa.bool_()))

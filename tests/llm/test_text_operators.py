@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pyspark.sql.functions as F
 import pytest
@@ -18,6 +19,7 @@ import corpus_pipeline
 from tallyforge.llm import chat_format, crf, exact_dedup, line_dedup, line_quality, lm_scoring, minhash_join, mixing, packing, pii_surrogates, queries, toxicity
 from tallyforge.llm import common
 from tallyforge.llm.common import TwoGenerations, fresh, worker_wide
+from tallyforge.session import ARROW_BYTES, ship
 
 from ..conftest import duck_rows, rows_of
 from .cases import CLASHING, SCHEMA, edge_docs, edge_rows, no_docs, words
@@ -778,6 +780,31 @@ def test_memo_and_names():
     assert fresh(["A", "b", "_b"], "a", "b", "c") == ["_a", "__b", "c"]
 
 
+def test_sketches_let_go_of_the_memos_of_the_stage_before():
+    worker_wide("of toxicity", dict)
+    batch = pa.record_batch([pa.array([1]), pa.array([b"d"]), pa.array(["a b c d e f"])], names=["doc_id", "digest", "text"])
+    made = [list(minhash_join._sketcher(5, 4, 2)(iter([batch]))) for _ in range(2)]
+    assert list(common._worker) == [("shingler", 5)] and made[0] == made[1]
+
+
+def test_pipeline_memory_bounds(spark, toxic_model):
+    small, usual = toxicity.Finder(toxic_model, 4000), toxicity.Finder(toxic_model)
+    assert small.memo.limit * 2 + small.restorer.memo.limit * 2 <= 4000
+    rng = random.Random(8)
+    texts = [words(rng, 60, "abdeghilmnorstu") + rng.choice([" idiot", " m0ron", " s c u m b a g", ""]) for _ in range(40)]
+    assert [small(t) for t in texts] == [usual(t) for t in texts] and any(map(usual, texts))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        for given, want in ((ARROW_BYTES, ARROW_BYTES), (corpus_pipeline.BATCH_BYTES, 2 << 20), (ARROW_BYTES, ARROW_BYTES)):
+            assert ship(spark, given).conf.get(key) == str(want)
+        spark.conf.set(key, "123456")  # the session's own
+        assert ship(spark, corpus_pipeline.BATCH_BYTES).conf.get(key) == "123456"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_pipeline_stages(spark, sf_dir, tmp_path, docs):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
     for name, stage in corpus_pipeline.STAGES:
